@@ -225,3 +225,26 @@ def sequence_texts(json_text: Column, columns: dict[str, str], item: str) -> lis
 def flat_report(df: DataFrame, fields: dict[str, str]) -> DataFrame:
     """Nested report columns as one flat row; ``fields`` maps output to path."""
     return df.select(*[F.col(path).alias(name) for name, path in fields.items()])
+
+
+def resolve_images(
+    df: DataFrame, key: str, messages: str, files: DataFrame, moved: tuple[str, str] | None = None
+) -> DataFrame:
+    """Contents of the first turn's images, from a (path, content) table.
+
+    ``moved`` names a folder and the one to look in when a path is not there.
+    Rows for which no image is found are dropped. Adds ``pictures`` in order.
+    """
+    first = F.filter(F.get(messages, F.lit(0))["content"], lambda e: e["type"] == "image")
+    wanted = df.select(key, F.posexplode(F.transform(first, lambda e: e["image_path"])).alias("_pos", "_want"))
+    tries = F.array(F.struct(F.lit(0).alias("_try"), F.col("_want").alias("path")))
+    if moved:
+        other = F.replace("_want", F.lit(moved[0]), F.lit(moved[1]))
+        again = F.when(other != F.col("_want"), F.array(F.struct(F.lit(1).alias("_try"), other.alias("path"))))
+        tries = F.concat(tries, F.coalesce(again, F.filter(tries, lambda _: F.lit(False))))
+    found = wanted.select(key, "_pos", F.inline(tries)).join(files.select("path", "content"), "path")
+    # of two places the original one counts
+    best = found.groupBy(key, "_pos").agg(F.min_by("content", "_try").alias("content"))
+    listed = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "content"))).alias("_found"))
+    joined = df.join(listed, key, "inner")
+    return joined.withColumn("pictures", F.transform("_found", lambda s: s["content"])).drop("_found")

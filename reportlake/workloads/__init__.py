@@ -1,4 +1,4 @@
-from reportlake.workloads import column_rules, counting, joining, report_text  # noqa: F401
+from reportlake.workloads import batch_tables, chat_tables, column_rules, counting, joining, report_text  # noqa: F401
 from reportlake.workloads.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
