@@ -26,8 +26,9 @@ IMAGE_SCHEMA = "path string, height int, width int, n_channels int, mode int, da
 
 # Type codes of the data buffer, per channel count 1.
 DEPTH = {0: np.uint8, 2: np.uint16, 5: np.float32}
-# Luminance weights in the order they are applied.
-GREY_WEIGHTS = {"as_bgr": (0.114, 0.587, 0.299), "rgb": (0.299, 0.587, 0.114)}
+# Luminance weights in 15-bit fixed point, in the order they are applied.
+GREY_WEIGHTS = {"as_bgr": (3735, 19235, 9798), "rgb": (9798, 19235, 3735)}
+GREY_BITS = 15
 PNG_START = b"\x89PNG\r\n\x1a\n"
 
 
@@ -62,8 +63,8 @@ def grey(image: np.ndarray, channel_order: str = "as_bgr") -> np.ndarray:
     """One channel; by default the weights meet the channels in swapped order."""
     if image.ndim == 2:
         return image
-    weights = np.array(GREY_WEIGHTS[channel_order])
-    return np.floor(image[:, :, :3] @ weights + 0.5).astype(np.uint8)
+    summed = image[:, :, :3].astype(np.int64) @ np.array(GREY_WEIGHTS[channel_order])
+    return ((summed + (1 << GREY_BITS - 1)) >> GREY_BITS).astype(np.uint8)
 
 
 def equalise(image: np.ndarray) -> np.ndarray:

@@ -3,7 +3,8 @@
 A plan holds the row key, its ``position`` in the epoch and its place in a
 batch; join it to the payload when writing. All random orders are seeded md5
 orders. Groups that are gathered hold one megabatch, so their size is set by
-the arguments and never by the data.
+the arguments and never by the data. Where several branches need the same
+half-finished plan, that narrow table is written once to the shared folder.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from reportlake.functions.text import digest
 from reportlake.plans.ordinals import by_digest, by_key, by_value, chunk_of
+from reportlake.session import stage
 
 EPOCH_SEED = 42
 # One-image and two-image rows in a batch of 1, 2 and 4.
@@ -214,6 +216,7 @@ def variable_length_grouped(
     rows = rows.withColumn("batch_id", chunk_of(F.col("_place"), m)).withColumn(
         "_inner", F.pmod("_place", F.lit(m))
     )
+    rows = stage(rows.select(key, "batch_id", "_inner"), "batches")
     return _batches_in_digest_order(rows, ["batch_id"], "_inner", f"{seed}b").select(key, "position", "batch_id")
 
 
@@ -245,9 +248,8 @@ def modality_grouped(
     rows = rows.withColumn("mega", chunk_of(F.col("_rank"), m)).withColumn(
         "last_mega", chunk_of(F.col("_total") - 1, m)
     )
-    dealt = _chunked(rows, key, ["modality", "mega", "last_mega"], world)
-    single = _one_modality(rows)
-    dealt = dealt.withColumn("_single", single)
+    dealt = stage(_chunked(rows, key, ["modality", "mega", "last_mega"], world), "batches")
+    dealt = dealt.withColumn("_single", _one_modality(dealt))
     plain = dealt.filter("_single").select(
         key, (F.col("mega") * m + F.col("in_mega")).alias("position"), "modality", "mega"
     )
@@ -258,7 +260,7 @@ def modality_grouped(
     )
     # at most two megabatches in all, so one small window
     rest = mixed.filter(F.col("mega") == F.col("last_mega"))
-    before = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    before = dealt.select(F.count(F.lit(1)).alias("n")).scalar()
     size = F.count(F.lit(1)).over(Window.partitionBy("_single"))
     order = F.row_number().over(Window.partitionBy("_single").orderBy(key))
     rest = rest.select(key, (before - size + order - 1).alias("position"), "modality", "mega")
@@ -288,6 +290,7 @@ def _auto_single(rows: DataFrame, m: int, world: int, key: str, seed: int | str)
     )
     rows = rows.withColumn("mega", chunk_of(F.col("_rank"), m))
     dealt = _chunked(rows.select(key, "modality", "length", "_rank", "mega"), key, ["modality", "mega"], world)
+    dealt = stage(dealt, "batches")
     label = F.concat_ws("/", F.col("modality"), F.col("mega").cast("string"))
     sizes = dealt.groupBy("modality", "mega").agg(F.count(F.lit(1)).alias("_size")).withColumn("_batch", label)
     starts = by_digest(
@@ -306,8 +309,8 @@ def modality_grouped_auto(
     With one modality only, nothing is dropped. Gives (key, position, modality).
     """
     m = batch_size * world
-    rows = _signed(df, key, length)
-    dealt = _auto_single(rows, m, world, key, seed).withColumn("_single", _one_modality(rows))
+    dealt = stage(_auto_single(_signed(df, key, length), m, world, key, seed), "batches")
+    dealt = dealt.withColumn("_single", _one_modality(dealt))
     plain = dealt.filter("_single").select(key, F.col("_pos").alias("position"), "modality")
     mixed = dealt.filter("not _single").withColumn("mega", chunk_of(F.col("_pos"), m))
     front = mixed.filter(F.col("mega") < chunk_of(F.col("_total") - 1, m)).withColumn(

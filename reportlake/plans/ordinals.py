@@ -26,11 +26,11 @@ KEY_BUCKETS = 256
 MOST_BUCKETS = 16**DIGEST_CHARS
 
 
-def quantiles(df: DataFrame, column: str, parts: int) -> list:
-    """Distinct approximate quantiles: at most ``parts - 1`` numbers, by one job."""
+def quantiles(df: DataFrame, columns: list[str], parts: int) -> list[list]:
+    """Distinct approximate quantiles per column: at most ``parts - 1`` numbers each, by one job."""
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    row = df.agg(F.percentile_approx(column, shares, F.lit(20 * parts)).alias("q")).first()
-    return sorted(set(row.q or []))
+    row = df.agg(*[F.percentile_approx(c, shares, F.lit(20 * parts)).alias(c) for c in columns]).first()
+    return [sorted(set(row[c] or [])) for c in columns]
 
 
 def below(value: Column, bounds: list) -> Column:
@@ -93,7 +93,7 @@ def by_digest(
 
 def by_key(df: DataFrame, key: str, parts: int = KEY_BUCKETS, **options) -> DataFrame:
     """Ordinal in the order of a unique numeric key."""
-    bounds = quantiles(df, key, parts)
+    (bounds,) = quantiles(df, [key], parts)
     return running_total(df, below(F.col(key), bounds), [F.col(key)], **options)
 
 
@@ -102,7 +102,7 @@ def by_value(
 ) -> DataFrame:
     """Ordinal in the order of a numeric value; ties in the order of the unique key."""
     df = df.withColumn("_value", -F.col(value) if descending else F.col(value))
-    bounds, key_bounds = quantiles(df, "_value", parts), quantiles(df, key, parts)
+    bounds, key_bounds = quantiles(df, ["_value", key], parts)
     place = below(F.col("_value"), bounds)
     if bounds:
         heavy = F.get(F.array(*[F.lit(b) for b in bounds]), place) == F.col("_value")

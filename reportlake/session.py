@@ -25,20 +25,23 @@ def local_session(app: str = "reportlake", cores: str = "*", partitions: int = 8
     )
 
 
+_FALLBACK: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, taken from ``spark.checkpoint.dir``.
 
     Only a local master may fall back to a folder of this machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    named = named or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    named = named or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="reportlake-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _FALLBACK:
+        _FALLBACK.append(tempfile.mkdtemp(prefix="reportlake-"))
+    return _FALLBACK[0]
 
 
 def scratch(spark: SparkSession, label: str) -> str:

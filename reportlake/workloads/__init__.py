@@ -1,4 +1,13 @@
-from reportlake.workloads import batch_tables, chat_tables, column_rules, counting, joining, report_text  # noqa: F401
+from reportlake.workloads import (  # noqa: F401
+    batch_tables,
+    chat_tables,
+    column_rules,
+    counting,
+    joining,
+    pixels,
+    report_text,
+    storage,
+)
 from reportlake.workloads.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
