@@ -109,6 +109,17 @@ def sectioned(df: DataFrame, text: str = "text", out: str = "sections") -> DataF
     return settle_sections(normalise_sections(split_sections(df, text, out), out), out)
 
 
+def section_rows(df: DataFrame, keep: list[str], sections: str = "sections") -> DataFrame:
+    """One row per section: the kept columns, pos, name, start, text.
+
+    A report always has a section, so the outer form gives the same rows; it
+    spares the filter that an inner explode infers, which would run the whole
+    sectioning a second time.
+    """
+    rows = df.select(*keep, F.posexplode_outer(sections).alias("pos", "_s"))
+    return rows.select(*keep, "pos", *[F.col(f"_s.{c}").alias(c) for c in ("name", "start", "text")])
+
+
 def last_section(sections: str | Column, name: str | Column) -> Column:
     """Stripped text of the last section called ``name``, else null."""
     hits = F.filter(sections, lambda s: s["name"] == name)

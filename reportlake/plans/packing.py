@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.plans.ordinals import by_key
+from reportlake.session import stage
 
 
 def pack(df: DataFrame, key: str, ids: str = "input_ids", block_size: int = 512) -> DataFrame:
@@ -16,14 +17,15 @@ def pack(df: DataFrame, key: str, ids: str = "input_ids", block_size: int = 512)
     Gives (block_id, input_ids, labels).
     """
     sized = df.select(key, F.col(ids).alias("_ids")).filter(F.size("_ids") > 0)
-    offsets = by_key(
-        sized.select(key, F.size("_ids").alias("_n")), key, weight=F.col("_n"), name="_start", total="_total"
-    )
+    # the sizes are written once, so the arrays are made twice and not once per pass
+    sizes = stage(sized.select(key, F.size("_ids").alias("_n")), "sizes")
+    offsets = by_key(sizes, key, weight=F.col("_n"), name="_start", total="_total")
     placed = sized.join(offsets.drop("_n"), key)
     size = F.lit(block_size)
     end = F.col("_start") + F.size("_ids")
     first, last = F.floor(F.col("_start") / size), F.floor((end - 1) / size)
-    piece = F.explode(
+    # the outer form, as an inner explode would build the pieces twice
+    piece = F.explode_outer(
         F.transform(
             F.sequence(first, last),
             lambda b: F.struct(

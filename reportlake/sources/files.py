@@ -89,9 +89,23 @@ def keyed_sequences(found: DataFrame, text: str = "text") -> DataFrame:
     return entries.select(F.explode("entry").alias("key", "sequences"))
 
 
-def keyed_sequences_file(spark: SparkSession, path: str) -> DataFrame:
-    """S4 for files that each hold one array; gzip is undone by the text source."""
-    return keyed_sequences(spark.read.option("wholetext", "true").text(path), "value")
+def keyed_sequences_lines(found: DataFrame, line: str = "value") -> DataFrame:
+    """S4 for an array written with one entry per line, as the exporter does.
+
+    Each line is parsed where it stands, so a file of any size is cut into tasks
+    and no row holds more than one entry.
+    """
+    body = F.rtrim(strip(line), F.lit(","))
+    entry = F.from_json(F.when(body.startswith("{"), body), "map<string, map<string, array<map<string, string>>>>")
+    return found.select(F.explode(entry).alias("key", "sequences"))
+
+
+def keyed_sequences_file(spark: SparkSession, path: str, one_per_line: bool = True) -> DataFrame:
+    """S4 from files, plain or gzip. Indented files need ``one_per_line=False``
+    and are then read whole, one row per file."""
+    if one_per_line:
+        return keyed_sequences_lines(spark.read.text(path))
+    return keyed_sequences(spark.read.text(path, wholetext=True), "value")
 
 
 def annotations(found: DataFrame, text: str = "text", key: str = "0") -> DataFrame:

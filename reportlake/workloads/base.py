@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reportlake.session import table
+from reportlake.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,5 +129,10 @@ def derived_sql(name: str) -> str:
 
 def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
     source, expressions, where = DERIVED[name]
-    df = table(spark, folder, source)
+    df = documents(spark, folder) if name == "reports" else table(spark, folder, source)
     return (df.filter(where) if where else df).selectExpr(*expressions)
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, spread over the cores for the operators that read whole texts."""
+    return spread(table(spark, folder, "documents"))

@@ -11,7 +11,7 @@ from reportlake.plans import folds
 from reportlake.plans import ordinals as W
 from reportlake.plans.packing import pack
 from reportlake.session import table
-from reportlake.workloads.base import derived, register
+from reportlake.workloads.base import derived, documents, register
 
 WORLD, BATCH = 3, 10
 M = WORLD * BATCH
@@ -78,7 +78,7 @@ def w03(spark, folder):
         SELECT doc_id, string_agg(x, ' ' ORDER BY r) AS sampled FROM k WHERE r <= greatest(1, CAST(floor(0.05::DOUBLE * n) AS INT)) GROUP BY doc_id""",
 )
 def w04(spark, folder):
-    df = table(spark, folder, "documents").select("doc_id", F.split("text", " ", -1).alias("words"))
+    df = documents(spark, folder).select("doc_id", F.split("text", " ", -1).alias("words"))
     return df.select("doc_id", F.array_join(folds.sample_items("words", 0.05, "doc_id"), " ").alias("sampled"))
 
 
@@ -252,7 +252,7 @@ def w12(spark, folder):
         FROM p WHERE n < 512 OR pos < (n // 512) * 512 GROUP BY 1""",
 )
 def w13(spark, folder):
-    df = table(spark, folder, "documents").select("doc_id", F.transform(tokens("text"), F.length).alias("input_ids"))
+    df = documents(spark, folder).select("doc_id", F.transform(tokens("text"), F.length).alias("input_ids"))
     return pack(df, "doc_id").select("block_id", F.size("input_ids").alias("size"), F.md5(F.array_join("labels", " ")).alias("ids"))
 
 

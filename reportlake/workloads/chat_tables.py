@@ -12,7 +12,7 @@ from reportlake.operators import columns as C
 from reportlake.operators import joins as J
 from reportlake.plans.folds import sample_items
 from reportlake.session import table
-from reportlake.workloads.base import register
+from reportlake.workloads.base import documents, register
 from reportlake.workloads.report_text import tokens_sql
 
 IMAGES = """CASE u.conv_id % 4 WHEN 0 THEN array() WHEN 1 THEN array(concat('i/', CAST(u.conv_id AS STRING)))
@@ -157,7 +157,7 @@ def n09(spark, folder):
        SELECT doc_id, batch_id, CAST(m AS INT) AS width, CAST(n AS INT) AS n_real, CAST(m - n AS INT) AS n_pad FROM w""",
 )
 def n13(spark, folder):
-    df = table(spark, folder, "documents").select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch_id"), F.transform(tokens("text"), F.length).alias("input_ids"))
+    df = documents(spark, folder).select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch_id"), F.transform(tokens("text"), F.length).alias("input_ids"))
     df = N.pad_batches(df, "batch_id")
     mask = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
     pads = F.size(F.filter("input_ids", lambda x: x == 0))
@@ -207,13 +207,13 @@ def f01(spark, folder):
 @register("f02_outside_tokeniser", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \n\t]+')) AS INT) AS n_tokens FROM documents")
 def f02(spark, folder):
     count = R.outside_counter(lambda: str.split)
-    return table(spark, folder, "documents").select("doc_id", count(F.col("text")).alias("n_tokens"))
+    return documents(spark, folder).select("doc_id", count(F.col("text")).alias("n_tokens"))
 
 
 @register("f03_counter_by_model", f"SELECT doc_id, CAST(len({tokens_sql('text')}) AS INT) AS n_tokens FROM documents")
 def f03(spark, folder):
     count = R.token_counter("vendor/Gemma-3-4b")
-    return table(spark, folder, "documents").select("doc_id", count(F.col("text")).alias("n_tokens"))
+    return documents(spark, folder).select("doc_id", count(F.col("text")).alias("n_tokens"))
 
 
 @register("f04_reader_by_name", "SELECT conv_id, count(*) AS n_turns FROM conversations GROUP BY 1")
@@ -243,7 +243,7 @@ def instruction_rows(spark, folder):
     listing = df.select(F.explode("image").alias("path")).filter("path <> 'k'")
     df = C.with_items(J.keep_existing_items(df, "sample_id", "image", listing), "image")
     pairs = F.transform(F.split("instruction", r"\. ", -1), lambda q: F.struct(q.alias("q"), F.col("response").alias("a")))
-    df = df.withColumn("qa", F.explode(sample_items(pairs, 0.3, "sample_id")))
+    df = df.withColumn("qa", F.explode_outer(sample_items(pairs, 0.3, "sample_id"))).filter("qa IS NOT NULL")
     built = N.gemma_messages(F.col("qa.q"), F.col("qa.a"), F.col("image"), F.lit("You read reports."))
     df = C.with_items(df.withColumn("messages", built), "messages")
     words = F.size(tokens(F.col("qa.q"))) + F.size(tokens(F.col("qa.a")))

@@ -11,7 +11,7 @@ from reportlake.operators import columns as C
 from reportlake.operators.aggregates import json_keys
 from reportlake.functions import fixed_values as V
 from reportlake.session import table
-from reportlake.workloads.base import FS, derived, register
+from reportlake.workloads.base import FS, derived, documents, register
 from reportlake.workloads.report_text import quoted
 
 
@@ -273,7 +273,7 @@ def a11(spark, folder):
        SELECT doc_id, array_to_string([CASE WHEN i <= len(ids) THEN ids[i] ELSE 0 END for i in range(1, 65)], ' ') AS padded FROM t""",
 )
 def n11(spark, folder):
-    df = table(spark, folder, "documents").select("doc_id", F.transform(tokens("text"), F.length).alias("ids"))
+    df = documents(spark, folder).select("doc_id", F.transform(tokens("text"), F.length).alias("ids"))
     return df.select("doc_id", F.array_join(N.pad_or_cut("ids", 64), " ").alias("padded"))
 
 
@@ -284,5 +284,5 @@ def n11(spark, folder):
 )
 def n12(spark, folder):
     hidden = N.hidden_ids({"<img>": 3, "word": 9}, ["<img>", "<absent>"], pad=1)
-    df = table(spark, folder, "documents").select("doc_id", F.transform(tokens("text"), F.length).alias("ids"))
+    df = documents(spark, folder).select("doc_id", F.transform(tokens("text"), F.length).alias("ids"))
     return df.select("doc_id", F.md5(F.array_join(N.mask_ids("ids", hidden), " ")).alias("labels"))

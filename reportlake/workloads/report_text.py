@@ -10,16 +10,16 @@ from reportlake.functions import text as X
 from reportlake.functions.cleaning import chunks, clean_reports, dates, sentence_case, spread_punctuation, tidy, without_dates
 from reportlake.functions.sections import (
     conclusions,
-    sectioned,
-    sectioned_table,
     section_name,
+    section_rows,
+    sectioned,
     split_sections,
     with_conclusion,
 )
 from reportlake.operators.joins import split_heavy
 from reportlake.operators.labels import label_reports
 from reportlake.session import table
-from reportlake.workloads.base import derived, register
+from reportlake.workloads.base import derived, documents, register
 
 
 def quoted(s: str) -> str:
@@ -94,9 +94,8 @@ concluded AS (
     f"WITH {SECTION_ROWS} SELECT doc_id, CAST(i - 1 AS INT) AS pos, name, start, md5(text) AS text_md5 FROM placed",
 )
 def t01(spark, folder):
-    df = split_sections(derived(spark, folder, "reports"))
-    df = df.select("doc_id", F.posexplode("sections").alias("pos", "s"))
-    return df.select("doc_id", "pos", F.trim("s.name").alias("name"), F.col("s.start").alias("start"), F.md5("s.text").alias("text_md5"))
+    df = section_rows(split_sections(derived(spark, folder, "reports")), ["doc_id"])
+    return df.select("doc_id", "pos", F.trim("name").alias("name"), "start", F.md5("text").alias("text_md5"))
 
 
 @register(
@@ -104,9 +103,9 @@ def t01(spark, folder):
     f"WITH {SECTION_ROWS} SELECT name AS written, {NAME_SQL} AS name, count(*) AS n FROM placed GROUP BY 1, 2",
 )
 def t02(spark, folder):
-    df = split_sections(derived(spark, folder, "reports")).select(F.explode("sections").alias("s"))
+    df = section_rows(split_sections(derived(spark, folder, "reports")), [])
     return (
-        df.groupBy(F.trim("s.name").alias("written"))
+        df.groupBy(F.trim("name").alias("written"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select("written", section_name(F.col("written")).alias("name"), "n")
     )
@@ -118,9 +117,8 @@ def t02(spark, folder):
         name, start, md5(text) AS text_md5 FROM settled""",
 )
 def t03(spark, folder):
-    df = sectioned(derived(spark, folder, "reports"))
-    df = df.select("doc_id", F.posexplode("sections").alias("pos", "s"))
-    return df.select("doc_id", "pos", F.col("s.name").alias("name"), F.col("s.start").alias("start"), F.md5("s.text").alias("text_md5"))
+    df = section_rows(sectioned(derived(spark, folder, "reports")), ["doc_id"])
+    return df.select("doc_id", "pos", "name", "start", F.md5("text").alias("text_md5"))
 
 
 @register(
@@ -192,7 +190,7 @@ NOTED_SQL = "(SELECT doc_id, " + NOTED.replace("AS STRING", "AS VARCHAR") + " FR
 
 
 def noted(spark, folder):
-    return table(spark, folder, "documents").selectExpr("doc_id", NOTED)
+    return documents(spark, folder).selectExpr("doc_id", NOTED)
 
 
 # RE2 has no look-around and no \w for letters beyond ASCII, so words are spelled out
@@ -250,7 +248,7 @@ def t07(spark, folder):
 @register("t07_dates_removed")
 def t07_dates(spark, folder):
     """Rows only: the pattern depends on the row. Tests compare it with a brute-force search."""
-    df = noted(spark, folder).select("doc_id", F.explode(chunks(tidy(F.col("text")))).alias("chunk"))
+    df = noted(spark, folder).select("doc_id", F.explode_outer(chunks(tidy(F.col("text")))).alias("chunk"))
     df = df.filter(F.col("chunk").rlike(V.DATE)).withColumn("left", without_dates(F.col("chunk")))
     return df.select("doc_id", F.md5("chunk").alias("chunk"), F.col("left"))
 
@@ -402,7 +400,7 @@ def t14(spark, folder):
     f"SELECT doc_id, CAST(len({tokens_sql('text')}) + (1 + doc_id % 2) * 256 AS BIGINT) AS length FROM documents",
 )
 def t15(spark, folder):
-    df = table(spark, folder, "documents")
+    df = documents(spark, folder)
     return df.select("doc_id", X.total_length(F.col("text"), 1 + F.col("doc_id") % 2, 256).alias("length"))
 
 
@@ -433,6 +431,6 @@ def _label_sql() -> str:
 
 @register("t16_label_reports", _label_sql())
 def t16(spark, folder):
-    df = table(spark, folder, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    df = documents(spark, folder).select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
     df = label_reports(df, "text", MENTIONS, pre_uncertain=PRE, negated=NEGATED, post_uncertain=POST)
     return df.select("doc_id", *MENTIONS)

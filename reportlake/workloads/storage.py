@@ -77,6 +77,16 @@ def s04(spark, folder):
     return df.select("key", F.col("sequences")["528434"][0][V.CODE_MEANING].alias("meaning"), F.size("sequences").alias("n"))
 
 
+@register("s04_sequence_lines", "SELECT 'd' || event_id AS key, event_type AS meaning FROM events")
+def s04_lines(spark, folder):
+    """The same entries as lines of one big array."""
+    path = scratch(spark, "sequences")
+    line = F.expr("concat('{\"d', CAST(event_id AS STRING), '\":{\"528434\":[{\"524548\":\"', event_type, '\"}]}},')")
+    table(spark, folder, "events").select(line.alias("value")).write.text(path)
+    df = S.keyed_sequences_file(spark, path)
+    return df.select("key", F.col("sequences")["528434"][0][V.CODE_MEANING].alias("meaning"))
+
+
 @register(
     "s05_annotations",
     "SELECT CAST(0 AS BIGINT) AS position, source AS annotation, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 1, lang, count(*) FROM documents GROUP BY 2",
