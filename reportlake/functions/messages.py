@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportlake.functions.text import strip
+from reportlake.operators.joins import split_heavy
 
 
 
@@ -242,7 +243,8 @@ def resolve_images(
         other = F.replace("_want", F.lit(moved[0]), F.lit(moved[1]))
         again = F.when(other != F.col("_want"), F.array(F.struct(F.lit(1).alias("_try"), other.alias("path"))))
         tries = F.concat(tries, F.coalesce(again, F.filter(tries, lambda _: F.lit(False))))
-    found = wanted.select(key, "_pos", F.inline(tries)).join(files.select("path", "content"), "path")
+    # one picture may stand in most rows
+    found = split_heavy(wanted.select(key, "_pos", F.inline(tries)), files.select("path", "content"), ["path"], "inner")
     # of two places the original one counts
     best = found.groupBy(key, "_pos").agg(F.min_by("content", "_try").alias("content"))
     listed = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "content"))).alias("_found"))

@@ -5,24 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reportlake.functions.prompt_values import PROMPTS
 from reportlake.functions.text import digest_int
 
-# The tasks, in published order.
-TASKS = [
-    "Image Classification", "Temporal Image Classification", "View Classification",
-    "Abnormality Detection", "Abnormality Grounding", "Pneumothorax Segmentation",
-    "Foreign Object Detection", "Phrase Grounding", "Grounded Captioning", "Grounded Diagnosis",
-    "Grounded Phrase Extraction", "Findings Generation with Indication", "Findings Generation",
-    "Impression Generation with Indication", "Impression Generation",
-    "Progression Findings Generation", "Progression Impression Generation",
-    "Findings Summarization", "Open-Ended VQA", "Close-Ended VQA", "Difference VQA", "Text QA",
-    "Report Evaluation", "Natural Language Explanation", "Natural Language Inference",
-    "Temporal Sentence Similarity", "Named Entity Recognition",
-]
-
 PROMPT_SCHEMA = "task string, prompts array<string>"
 
 
+def default_prompts(spark: SparkSession) -> DataFrame:
+    """The built-in table: one row per task."""
+    return spark.createDataFrame(list(PROMPTS.items()), PROMPT_SCHEMA)
+
+
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """A prompt table kept as JSON lines: {"task": ..., "prompts": [...]}."""
     return spark.read.schema(PROMPT_SCHEMA).json(path)

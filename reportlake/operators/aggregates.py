@@ -22,22 +22,30 @@ def count_by(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     return df.dropna("any", subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
+def _by_entity(df: DataFrame, split: str, keys: list[str], flag: Column, *more: Column) -> DataFrame:
+    """One row per (split, keys): what is left to count distinctly is far smaller."""
+    return df.groupBy(split, *keys).agg(F.coalesce(F.max(flag.cast("int")), F.lit(0)).alias("_hit"), *more)
+
+
+def _distinct(keys: list[str]) -> list[Column]:
+    hit = F.col("_hit") == 1
+    return [
+        c
+        for k in keys
+        for c in (
+            F.count_distinct(F.col(k)).alias(f"n_{k}"),
+            F.count_distinct(F.when(hit, F.col(k))).alias(f"n_{k}_with_finding"),
+        )
+    ]
+
+
 def distinct_by_split(df: DataFrame, split: str, keys: list[str], flag: Column) -> DataFrame:
     """A3: distinct keys per split, overall and where the flag holds.
 
-    Each (split, key) pair is reduced before the count, so a split with most of
-    the rows never gathers them in one task.
+    One pass over the input. Rows are reduced per key before the shuffle and
+    spread by key after it, so a split with most of the rows fills no one task.
     """
-    parts = []
-    for k in keys:
-        pairs = df.groupBy(split, k).agg(F.max(flag.cast("int")).alias("_hit"))
-        parts.append(
-            pairs.filter(F.col(k).isNotNull()).groupBy(split).agg(
-                F.count(F.lit(1)).alias(f"n_{k}"),
-                F.coalesce(F.sum("_hit"), F.lit(0)).cast("bigint").alias(f"n_{k}_with_finding"),
-            )
-        )
-    return reduce(lambda a, b: a.join(b, split), parts)
+    return _by_entity(df, split, keys, flag).groupBy(split).agg(*_distinct(keys))
 
 
 def cohort_table(
@@ -45,18 +53,14 @@ def cohort_table(
 ) -> DataFrame:
     """A4: measures as rows, splits as columns, cells ``N`` or ``N (p%)``.
 
-    Everything after the first aggregates works on one row per split.
+    One pass over the input; everything after works on one row per split.
     """
-    by_view = (
-        df.filter(F.col(view).isin(*views) & F.col(split).isin(*splits))
-        .groupBy(split)
-        .agg(
-            F.count(F.lit(1)).alias("images"),
-            *[F.count_if(F.col(view) == v).alias(f"view_{i}") for i, v in enumerate(views)],
-        )
-    )
-    people = distinct_by_split(df.filter(F.col(split).isin(*splits)), split, [study, subject], flag)
-    row = by_view.join(people, split)
+    seen = F.col(view).isin(*views)
+    counted = [F.count_if(seen).alias("images")]
+    counted += [F.count_if(F.col(view) == v).alias(f"view_{i}") for i, v in enumerate(views)]
+    names = ["images", *[f"view_{i}" for i in range(len(views))]]
+    entities = _by_entity(df.filter(F.col(split).isin(*splits)), split, [study, subject], flag, *counted)
+    row = entities.groupBy(split).agg(*[F.sum(n).alias(n) for n in names], *_distinct([study, subject]))
     share = lambda n, of: count_with_percent(F.col(n), F.col(of))
     plain = lambda n: F.col(n).cast("string")
     measures = [("Number of images", plain("images"))]
@@ -74,10 +78,10 @@ def cohort_table(
     return long.groupBy("line", "measure").pivot(split, splits).agg(F.first("cell"))
 
 
-def label_frequency(df: DataFrame, findings: list[str], names: list[str], key: str) -> DataFrame:
+def label_frequency(df: DataFrame, findings: list[str], names: list[str]) -> DataFrame:
     """A5: for each finding, ``N (p%)`` of every label name; none leaves null."""
-    total = df.select(F.count(F.lit(1)).alias("n")).scalar()
     counts = df.agg(
+        F.count(F.lit(1)).alias("_n"),
         *[F.count_if(F.col(f"`{f}`") == n).alias(f"c{i}_{j}") for i, f in enumerate(findings) for j, n in enumerate(names)]
     )
     rows = F.array(
@@ -89,7 +93,7 @@ def label_frequency(df: DataFrame, findings: list[str], names: list[str], key: s
             for i, f in enumerate(findings)
         ]
     )
-    long = counts.select(F.inline(rows)).withColumn("_n", total)
+    long = counts.select("_n", F.inline(rows))
     shown = [
         F.when(F.col(n) > 0, count_with_percent(F.col(n), F.col("_n"), thousands=True)).alias(n) for n in names
     ]

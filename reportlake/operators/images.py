@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -261,32 +261,52 @@ def read_png(content: bytes) -> np.ndarray:
     return pixels if channels == 1 else pixels.reshape(height, width, channels)
 
 
-def decode_png(found: DataFrame) -> DataFrame:
-    """(path, content) to image rows; what cannot be read gets an ``error``."""
+IMAGE_COLUMNS = ["path", "height", "width", "n_channels", "mode", "data", "error"]
+BATCH_BYTES = 32 * 1024 * 1024
+
+
+def image_row(path: str, image: np.ndarray) -> tuple:
+    mode = mode_of(image)
+    return (path, image.shape[0], image.shape[1], mode // 8 + 1, mode, image.tobytes(), None)
+
+
+def bad_row(path: str, error: Exception) -> tuple:
+    return (path, -1, -1, -1, -1, None, f"{type(error).__name__}: {error}")
+
+
+def _mapped(df: DataFrame, columns: list[str], work: Callable[[tuple], np.ndarray]) -> DataFrame:
+    """Rows to image rows. A failed row carries its error; output leaves in
+    batches of bounded bytes, since a decoded image is far larger than its file.
+    """
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for r in batch.itertuples(index=False):
+                if getattr(r, "error", None) is not None:
+                    rows.append(tuple(r))
+                    continue
                 try:
-                    rows.append(_row(path, read_png(content)))
+                    rows.append(image_row(r.path, np.ascontiguousarray(work(r))))
+                    size += len(rows[-1][5])
                 except (OSError, SyntaxError, ValueError) as e:
-                    rows.append(_bad(path, e))
+                    rows.append(bad_row(r.path, e))
+                if size >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=IMAGE_COLUMNS)
+                    rows, size = [], 0
+        if rows:
             yield pd.DataFrame(rows, columns=IMAGE_COLUMNS)
 
-    return found.select("path", "content").mapInPandas(decode, IMAGE_SCHEMA)
+    return df.select(*columns).mapInPandas(run, IMAGE_SCHEMA)
 
 
-IMAGE_COLUMNS = ["path", "height", "width", "n_channels", "mode", "data", "error"]
+def decode_png(found: DataFrame, then: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(path, content) to image rows; what cannot be read gets an ``error``.
 
-
-def _row(path: str, image: np.ndarray) -> tuple:
-    mode = mode_of(image)
-    return (path, image.shape[0], image.shape[1], mode // 8 + 1, mode, image.tobytes(), None)
-
-
-def _bad(path: str, error: Exception) -> tuple:
-    return (path, -1, -1, -1, -1, None, f"{type(error).__name__}: {error}")
+    ``then`` is applied in the same pass, so decoded pixels never travel.
+    """
+    step = then or (lambda image: image)
+    return _mapped(found, ["path", "content"], lambda r: step(read_png(r.content)))
 
 
 def decode_8bit(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -318,26 +338,14 @@ def quarantined(images: DataFrame) -> DataFrame:
     return images.filter(F.col("error").isNotNull()).select("path", "error")
 
 
-def apply_to_images(images: DataFrame, function, bgr: bool = False) -> DataFrame:
+def apply_to_images(images: DataFrame, function: Callable[[np.ndarray], np.ndarray], bgr: bool = False) -> DataFrame:
     """Apply an array function to every good image row; failures are quarantined."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch[IMAGE_COLUMNS].itertuples(index=False):
-                if r.error is not None:
-                    rows.append(tuple(r))
-                    continue
-                try:
-                    array = to_array(r.height, r.width, r.mode, r.data)
-                    if bgr and array.ndim == 3:
-                        array = array[:, :, [2, 1, 0]]
-                    rows.append(_row(r.path, np.ascontiguousarray(function(array))))
-                except (OSError, SyntaxError, ValueError) as e:
-                    rows.append(_bad(r.path, e))
-            yield pd.DataFrame(rows, columns=IMAGE_COLUMNS)
+    def work(r: tuple) -> np.ndarray:
+        array = to_array(r.height, r.width, r.mode, r.data)
+        return function(array[:, :, [2, 1, 0]] if bgr and array.ndim == 3 else array)
 
-    return images.select(*IMAGE_COLUMNS).mapInPandas(work, IMAGE_SCHEMA)
+    return _mapped(images, IMAGE_COLUMNS, work)
 
 
 def prepare(images: DataFrame, preset: str, size: int = 512, channel_order: str = "as_bgr", bgr: bool = False) -> DataFrame:
@@ -373,10 +381,10 @@ def prepare_folder(
     )
     good = found.filter(plausible)
     png = F.lower("path").endswith(".png")
-    read = decode_png(good.filter(png))
+    done = decode_png(good.filter(png), lambda a: prepared(a, steps, size))
     if set(steps.suffixes) - {"png"}:
         jpeg = decode_8bit(spark, root, "*.{jpg,jpeg,JPG,JPEG}")
         wanted = good.filter(~png).select("path")
         rest = jpeg.join(wanted, "path", "left_semi")
-        return prepare(read, preset, size).unionByName(prepare(rest, preset, size, bgr=True)).unionByName(bad)
-    return prepare(read, preset, size).unionByName(bad)
+        done = done.unionByName(prepare(rest, preset, size, bgr=True))
+    return done.unionByName(bad)

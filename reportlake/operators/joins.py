@@ -26,7 +26,8 @@ def split_heavy(
     rows are repeated. Exact for inner, left, left_semi and left_anti.
     """
     counted = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = left.select(F.count(F.lit(1)).alias("n")).scalar()
+    # over the counts, so that their shuffle serves both
+    total = counted.select(F.sum("_n").alias("n")).scalar()
     heavy = counted.filter(F.col("_n") * HEAVY_SHARE > total).filter(F.col("_n") > salts)
     heavy = heavy.select(*on, F.lit(True).alias("_heavy"))
     spread = F.when(F.col("_heavy"), F.pmod(F.xxhash64(*[c for c in left.columns]), F.lit(salts)).cast("int"))
@@ -68,11 +69,12 @@ def keep_existing_items(
     """Drop list items that are not listed (or are known to be absent).
 
     Order inside the list is kept; rows left without an item keep an empty list.
+    One path may stand in most rows, so both joins split heavy paths.
     """
     exploded = df.select(key, F.posexplode(items).alias("_pos", path))
-    exploded = exploded.join(listing.select(path).distinct(), path, "left_semi")
+    exploded = split_heavy(exploded, listing.select(path), [path], "left_semi")
     if absent is not None:
-        exploded = exploded.join(absent.select(path).distinct(), path, "left_anti")
+        exploded = split_heavy(exploded, absent.select(path), [path], "left_anti")
     kept = exploded.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", path))).alias("_kept"))
     return (
         df.drop(items)
@@ -85,15 +87,14 @@ def keep_existing_items(
 def labels_by_text(labels: DataFrame, reports: DataFrame, label_text: str, report_text: str, key: str) -> DataFrame:
     """Give labels the report ids by equal full text, without duplicate rows.
 
-    Labels are reduced to distinct rows first, so copies of a text meet one
-    label row and not each other; reports of one heavy text are split.
+    Texts are compared by SHA-256, so 32 bytes travel instead of the report.
+    Both sides are reduced to distinct rows first: copies of a text meet one
+    label row and not each other. Reports of one heavy text are split.
     """
-    # the text itself decides, the hash only makes the key short to compare
-    left = reports.select(key, F.col(report_text).alias("_text")).dropDuplicates()
-    left = left.withColumn("_hash", F.xxhash64("_text"))
-    right = labels.dropDuplicates().withColumnRenamed(label_text, "_text").withColumn("_hash", F.xxhash64("_text"))
-    joined = split_heavy(left, right, ["_hash", "_text"], "inner")
-    return joined.drop("_hash").withColumnRenamed("_text", label_text).dropDuplicates()
+    digest = lambda text: F.sha2(F.col(text), 256)
+    left = reports.select(key, digest(report_text).alias("_text")).dropDuplicates()
+    right = labels.withColumn("_text", digest(label_text)).drop(label_text).dropDuplicates()
+    return split_heavy(left, right, ["_text"], "inner").drop("_text")
 
 
 def aligned(truth: DataFrame, table: DataFrame, on: str, strict: bool = True) -> DataFrame:

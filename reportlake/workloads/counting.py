@@ -108,7 +108,7 @@ def a07(spark, folder):
         FROM (SELECT unnest([{', '.join(f"'{f}'" for f in FS)}]) AS finding) f LEFT JOIN c USING (finding) GROUP BY f.finding""",
 )
 def a05(spark, folder):
-    return A.label_frequency(agreed(spark, folder), FS, NAMES, "study_id")
+    return A.label_frequency(agreed(spark, folder), FS, NAMES)
 
 
 STEPS = ["impression", "findings", "last_paragraph"]

@@ -32,7 +32,7 @@ def image_rows(spark, folder, height: int, width: int, channels: int = 1, kind:
                 if kind != "float32":
                     pixels = np.floor(np.abs(pixels.astype(np.float64)) * 1000).astype(kind)
                 shape = (height, width) if channels == 1 else (height, width, channels)
-                rows.append(I._row(str(key), pixels.reshape(shape)))
+                rows.append(I.image_row(str(key), pixels.reshape(shape)))
             yield pd.DataFrame(rows, columns=I.IMAGE_COLUMNS)
 
     return table(spark, folder, "embeddings").select("vec_id", "embedding").mapInPandas(build, I.IMAGE_SCHEMA)

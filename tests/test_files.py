@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reportlake.functions.cleaning import clean_reports
-from reportlake.functions.prompts import read_prompts, with_prompt
+from reportlake.functions.prompts import all_tasks, default_prompts, prompts_for, read_prompts, with_prompt
 from reportlake.functions.sections import sectioned, with_conclusion
 from reportlake.session import scratch, shared_folder, stage
 from reportlake.sources import files as S
@@ -89,6 +89,13 @@ def test_prompts_file(spark, tmp_path):
     assert len(got) == 60
 
 
+def test_default_prompts(spark):
+    prompts = default_prompts(spark)
+    assert all_tasks(prompts).count() == 27
+    assert prompts_for(prompts, "View Classification").count() == 2 and prompts_for(prompts, "none").count() == 0
+    assert prompts.filter("exists(prompts, p -> p = '') OR size(prompts) = 0").count() == 0
+
+
 def test_report_sink(spark, tmp_path):
     df = spark.sql("SELECT 'z' AS b, named_struct('y', 1, 'x', named_struct('w', 2)) AS a")
     K.save_report(df, str(tmp_path), "r", "1")
