@@ -22,34 +22,44 @@ def count_by(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     return df.dropna("any", subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
-def _by_entity(df: DataFrame, split: str, keys: list[str], flag: Column, *more: Column) -> DataFrame:
-    """One row per (split, keys): what is left to count distinctly is far smaller."""
-    return df.groupBy(split, *keys).agg(F.coalesce(F.max(flag.cast("int")), F.lit(0)).alias("_hit"), *more)
+def _by_entity(
+    df: DataFrame, split: str, study: str, subject: str, flags: DataFrame, flag: str, *counts: Column
+) -> DataFrame:
+    """One row per (split, study, subject), with the study's flag.
+
+    Rows are reduced before they meet the flags, so a study that owns most of
+    them joins as a single row.
+    """
+    entities = df.groupBy(split, study, subject).agg(*(counts or [F.count(F.lit(1)).alias("_n")]))
+    flagged = flags.select(study, F.col(flag).cast("boolean").alias("_hit"))
+    return entities.join(flagged, study, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
 
 
 def _distinct(keys: list[str]) -> list[Column]:
-    hit = F.col("_hit") == 1
     return [
         c
         for k in keys
         for c in (
             F.count_distinct(F.col(k)).alias(f"n_{k}"),
-            F.count_distinct(F.when(hit, F.col(k))).alias(f"n_{k}_with_finding"),
+            F.count_distinct(F.when(F.col("_hit"), F.col(k))).alias(f"n_{k}_with_finding"),
         )
     ]
 
 
-def distinct_by_split(df: DataFrame, split: str, keys: list[str], flag: Column) -> DataFrame:
-    """A3: distinct keys per split, overall and where the flag holds.
+def distinct_by_split(
+    df: DataFrame, split: str, study: str, subject: str, flags: DataFrame, flag: str = "flag"
+) -> DataFrame:
+    """A3: distinct studies and subjects per split, overall and with a flagged study.
 
-    One pass over the input. Rows are reduced per key before the shuffle and
-    spread by key after it, so a split with most of the rows fills no one task.
+    One pass over the input; distinct values are spread by value, so a split
+    with most of the rows fills no one task. ``flags`` has one row per study.
     """
-    return _by_entity(df, split, keys, flag).groupBy(split).agg(*_distinct(keys))
+    return _by_entity(df, split, study, subject, flags, flag).groupBy(split).agg(*_distinct([study, subject]))
 
 
 def cohort_table(
-    df: DataFrame, split: str, view: str, study: str, subject: str, flag: Column, splits: list[str], views: list[str]
+    df: DataFrame, split: str, view: str, study: str, subject: str, flags: DataFrame, splits: list[str],
+    views: list[str], flag: str = "flag",
 ) -> DataFrame:
     """A4: measures as rows, splits as columns, cells ``N`` or ``N (p%)``.
 
@@ -59,7 +69,7 @@ def cohort_table(
     counted = [F.count_if(seen).alias("images")]
     counted += [F.count_if(F.col(view) == v).alias(f"view_{i}") for i, v in enumerate(views)]
     names = ["images", *[f"view_{i}" for i in range(len(views))]]
-    entities = _by_entity(df.filter(F.col(split).isin(*splits)), split, [study, subject], flag, *counted)
+    entities = _by_entity(df.filter(F.col(split).isin(*splits)), split, study, subject, flags, flag, *counted)
     row = entities.groupBy(split).agg(*[F.sum(n).alias(n) for n in names], *_distinct([study, subject]))
     share = lambda n, of: count_with_percent(F.col(n), F.col(of))
     plain = lambda n: F.col(n).cast("string")

@@ -16,7 +16,12 @@ HEAVY_SHARE = 1000
 
 
 def split_heavy(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int = SALTS
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    how: str = "left",
+    salts: int = SALTS,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Join where single keys may hold a large share of the left rows.
 
@@ -24,8 +29,11 @@ def split_heavy(
     are fewer than ``HEAVY_SHARE`` of them and that list is safe to broadcast.
     Heavy left rows are spread over ``salts`` parts and only the matching right
     rows are repeated. Exact for inner, left, left_semi and left_anti.
+
+    ``keys`` may name a cheaper table with much the same keys to count, such as
+    the scan below a derived ``left``; it only decides what is spread.
     """
-    counted = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    counted = (left if keys is None else keys).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     # over the counts, so that their shuffle serves both
     total = counted.select(F.sum("_n").alias("n")).scalar()
     heavy = counted.filter(F.col("_n") * HEAVY_SHARE > total).filter(F.col("_n") > salts)
@@ -69,12 +77,13 @@ def keep_existing_items(
     """Drop list items that are not listed (or are known to be absent).
 
     Order inside the list is kept; rows left without an item keep an empty list.
-    One path may stand in most rows, so both joins split heavy paths.
+    One path may stand in most rows, so the join splits heavy paths.
     """
-    exploded = df.select(key, F.posexplode(items).alias("_pos", path))
-    exploded = split_heavy(exploded, listing.select(path), [path], "left_semi")
+    present = listing.select(path)
     if absent is not None:
-        exploded = split_heavy(exploded, absent.select(path), [path], "left_anti")
+        present = missing(present, absent.select(path), path)
+    exploded = df.select(key, F.posexplode(items).alias("_pos", path))
+    exploded = split_heavy(exploded, present, [path], "left_semi")
     kept = exploded.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", path))).alias("_kept"))
     return (
         df.drop(items)

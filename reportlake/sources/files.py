@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,6 +137,16 @@ def parquet_splits(spark: SparkSession, path: str, splits: list[str]) -> DataFra
     return spark.read.parquet(path).filter(F.col("split").isin(*splits))
 
 
+def tokenised_or_plain(spark: SparkSession, path: str, splits: list[str]) -> DataFrame:
+    """The tokenised sibling ``path_tok`` where there is one, else the table itself."""
+    try:
+        return parquet_splits(spark, path.rstrip("/") + "_tok", splits)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return parquet_splits(spark, path, splits)
+
+
 def parquet_split_files(spark: SparkSession, paths: list[str], splits: list[str]) -> DataFrame:
     """Single files named after their split, with ``split`` taken from the name."""
     check_splits(splits)

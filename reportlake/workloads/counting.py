@@ -29,13 +29,16 @@ COHORT_SQL = f"""cohort AS (SELECT i.*, view, coalesce(flag, FALSE) AS flag FROM
 
 
 def cohort(spark, folder):
-    """J1, J2, P4, P5, P7 in one plan; labels reduce to the flag before the join."""
+    """Images with their view."""
     metadata = derived(spark, folder, "metadata").select(
         "dicom_id", view_of(F.col("ViewPosition"), F.col("Description")).alias("view")
     )
-    flags = derived(spark, folder, "second_labels").select("study_id", any_present(FS, [FS[0]]).alias("flag"))
-    images = J.join_metadata(derived(spark, folder, "images"), metadata, "dicom_id", [])
-    return J.join_labels(images, flags, "study_id").withColumn("flag", F.coalesce("flag", F.lit(False)))
+    return J.join_metadata(derived(spark, folder, "images"), metadata, "dicom_id", [])
+
+
+def flags(spark, folder):
+    """One row per study."""
+    return derived(spark, folder, "second_labels").select("study_id", any_present(FS, [FS[0]]).alias("flag"))
 
 
 @register("a02_count_by_view", f"WITH {COHORT_SQL} SELECT split, view, count(*) AS n FROM cohort WHERE view IS NOT NULL GROUP BY 1, 2")
@@ -49,7 +52,7 @@ def a02(spark, folder):
         count(DISTINCT subject_id) AS n_subject_id, count(DISTINCT CASE WHEN flag THEN subject_id END) AS n_subject_id_with_finding FROM cohort GROUP BY split""",
 )
 def a03(spark, folder):
-    return A.distinct_by_split(cohort(spark, folder), "split", ["study_id", "subject_id"], F.col("flag"))
+    return A.distinct_by_split(cohort(spark, folder), "split", "study_id", "subject_id", flags(spark, folder))
 
 
 def _cell(n: str, t: str | None = None) -> str:
@@ -75,7 +78,7 @@ _LINES = [
         SELECT line, measure, {', '.join(f"max(cell) FILTER (WHERE split = '{s}') AS {s}" for s in SPLITS)} FROM l GROUP BY line, measure""",
 )
 def a04(spark, folder):
-    return A.cohort_table(cohort(spark, folder), "split", "view", "study_id", "subject_id", F.col("flag"), SPLITS, VIEWS)
+    return A.cohort_table(cohort(spark, folder), "split", "view", "study_id", "subject_id", flags(spark, folder), SPLITS, VIEWS)
 
 
 NAMES = list(V.LABEL_NAMES.values())

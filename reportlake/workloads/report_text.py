@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from reportlake.functions import fixed_values as V
 from reportlake.functions import prompts as P
 from reportlake.functions import text as X
+from reportlake.functions.prompt_values import PROMPTS
 from reportlake.functions.cleaning import chunks, clean_reports, dates, sentence_case, spread_punctuation, tidy, without_dates
 from reportlake.functions.sections import (
     conclusions,
@@ -375,6 +376,22 @@ def t13_lists(spark, folder):
     )
 
 
+_TASKS = list(PROMPTS)
+_TASK_CASE = "CASE doc_id % 28 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TASKS)) + " ELSE 'Unknown' END"
+_PROMPT_ROWS = ", ".join(f"('{t}', [{', '.join(quoted(p) for p in ps)}])" for t, ps in PROMPTS.items())
+
+
+@register(
+    "t13_default_prompts",
+    f"""WITH p(task, prompts) AS (VALUES {_PROMPT_ROWS}) SELECT doc_id, d.task, coalesce(prompts[1 +
+        ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT % len(prompts)], '') AS prompt
+        FROM (SELECT doc_id, {_TASK_CASE} AS task FROM documents) d LEFT JOIN p ON p.task = d.task""",
+)
+def t13_default(spark, folder):
+    df = table(spark, folder, "documents").selectExpr("doc_id", f"{_TASK_CASE} AS task")
+    return P.with_prompt(df, P.default_prompts(spark), "doc_id")
+
+
 REFERENCE = """CASE doc_id % 5 WHEN 0 THEN concat('https://host/', CAST(doc_id AS STRING)) WHEN 1 THEN concat('file:///data/', CAST(doc_id AS STRING), '.png')
  WHEN 2 THEN concat('data:image/png;base64,', base64(encode(lang, 'utf-8'))) WHEN 3 THEN 'data:image/svg,plain' ELSE concat('imgs/', source) END"""
 

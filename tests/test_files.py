@@ -41,6 +41,9 @@ def test_splits(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(split" in S.parquet_splits(spark, str(tmp_path / "t"), ["val"])._jdf.queryExecution().toString()
     with pytest.raises(ValueError):
         S.parquet_splits(spark, str(tmp_path / "t"), ["validation"])
+    assert S.tokenised_or_plain(spark, str(tmp_path / "t"), ["val", "test"]).count() == 20
+    K.save_splits(df.filter("id < 6"), str(tmp_path / "t_tok"))
+    assert S.tokenised_or_plain(spark, str(tmp_path / "t"), ["val", "test"]).count() == 4
     one = tmp_path / "set_data_val.parquet"
     df.filter("id < 3").drop("split").toPandas().to_parquet(one)
     got = S.parquet_split_files(spark, [str(one)], ["val"])
