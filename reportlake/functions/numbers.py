@@ -14,8 +14,8 @@ MAX_RATIO = 200
 
 
 def round_to(value: Column, factor: int) -> Column:
-    """Nearest multiple, halves to even."""
-    return (F.bround(value / F.lit(float(factor)), 0) * factor).cast("bigint")
+    """Nearest multiple, halves to even (``rint``, as ``bround`` goes through decimals)."""
+    return (F.rint(value / F.lit(float(factor))) * factor).cast("bigint")
 
 
 def ceil_to(value: Column, factor: int) -> Column:

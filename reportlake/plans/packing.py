@@ -16,7 +16,8 @@ def pack(df: DataFrame, key: str, ids: str = "input_ids", block_size: int = 512)
     pieces where it stands; a block then gathers at most ``block_size`` tokens.
     Gives (block_id, input_ids, labels).
     """
-    sized = df.select(key, F.col(ids).alias("_ids")).filter(F.size("_ids") > 0)
+    # empty rows are left out by their pieces: a filter here would make every array twice
+    sized = df.select(key, F.col(ids).alias("_ids"))
     # the sizes are written once, so the arrays are made twice and not once per pass
     sizes = stage(sized.select(key, F.size("_ids").alias("_n")), "sizes")
     offsets = by_key(sizes, key, weight=F.col("_n"), name="_start", total="_total")
@@ -27,7 +28,7 @@ def pack(df: DataFrame, key: str, ids: str = "input_ids", block_size: int = 512)
     # the outer form, as an inner explode would build the pieces twice
     piece = F.explode_outer(
         F.transform(
-            F.sequence(first, last),
+            F.when(F.size("_ids") > 0, F.sequence(first, last)),
             lambda b: F.struct(
                 b.alias("block_id"),
                 F.greatest(b * size, F.col("_start")).alias("at"),
@@ -39,7 +40,7 @@ def pack(df: DataFrame, key: str, ids: str = "input_ids", block_size: int = 512)
             ),
         )
     )
-    pieces = placed.select(piece.alias("p"), "_total").select("p.*", "_total")
+    pieces = placed.select(piece.alias("p"), "_total").filter("p IS NOT NULL").select("p.*", "_total")
     whole = (F.col("_total") < size) | ((F.col("block_id") + 1) * size <= F.col("_total"))
     blocks = pieces.filter(whole).groupBy("block_id").agg(
         F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("_pieces")

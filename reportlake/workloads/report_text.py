@@ -246,9 +246,29 @@ def t07(spark, folder):
     return df.select("doc_id", F.size("c").alias("n_chunks"), F.md5(F.array_join("c", "|")).alias("chunks"))
 
 
-@register("t07_dates_removed")
+# RE2 is linear and picks as a backtracking search does, so the plain pattern will do
+_BEFORE, _AFTER_1, _AFTER_2 = (
+    c.replace(r"\w", W_SQL).replace("'", "''") + "*" for c in (V.BEFORE_DATE, V.AFTER_DATE_1, V.AFTER_DATE_2)
+)
+_CUT_SQL = f"regexp_replace(acc, '{_BEFORE}' || d || '{_AFTER_1}{_AFTER_2}', '', 'g')"
+
+
+def without_dates_sql(c: str) -> str:
+    return (
+        f"CASE WHEN regexp_matches({c}, '{DATE_SQL}') THEN list_reduce(list_concat([{c}], regexp_extract_all({c}, '{DATE_SQL}')),"
+        f" lambda acc, d: CASE WHEN contains({_CUT_SQL}, '{V.BROKEN_CHUNK}') THEN '' ELSE {_CUT_SQL} END) ELSE {c} END"
+    )
+
+
+TIDIED = f"(SELECT doc_id, tidy, {CHUNK_SQL.format(x='tidy')} AS chunks FROM (SELECT doc_id, {TIDY_SQL} AS tidy FROM {NOTED_SQL} WHERE {TWO_WORDS_SQL}))"
+
+
+@register(
+    "t07_dates_removed",
+    f"""SELECT doc_id, md5(c) AS chunk, {without_dates_sql('c')} AS "left" FROM (SELECT doc_id, unnest(chunks) AS c FROM {TIDIED})
+        WHERE regexp_matches(c, '{DATE_SQL}')""",
+)
 def t07_dates(spark, folder):
-    """Rows only: the pattern depends on the row. Tests compare it with a brute-force search."""
     df = noted(spark, folder).select("doc_id", F.explode_outer(chunks(tidy(F.col("text")))).alias("chunk"))
     df = df.filter(F.col("chunk").rlike(V.DATE)).withColumn("left", without_dates(F.col("chunk")))
     return df.select("doc_id", F.md5("chunk").alias("chunk"), F.col("left"))
@@ -275,9 +295,10 @@ def spread_sql(x: str) -> str:
     return x
 
 
-# token by token: the sentence of a token is the number of points before it
-SENTENCE_SQL = rf"""
-tok AS (SELECT doc_id, u.i AS i, lower(t[u.i]) AS w FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM {NOTED_SQL}),
+def sentence_sql(source: str) -> str:
+    """Token by token: the sentence of a token is the number of points before it."""
+    return rf"""
+tok AS (SELECT doc_id, u.i AS i, lower(t[u.i]) AS w FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM {source}),
         unnest(range(1, len(t) + 1)) AS u(i)),
 sen AS (SELECT *, coalesce(sum(CASE WHEN w = '.' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, regexp_full_match(w, '\p{{L}}+') AS word FROM tok),
@@ -286,7 +307,7 @@ joined AS (SELECT doc_id, string_agg(CASE WHEN up THEN
         (CASE WHEN w[1] = 'ß' THEN 'Ss' ELSE upper(w[1]) END) || w[2:] ELSE w END, ' ' ORDER BY i) AS t FROM cap GROUP BY doc_id)"""
 
 
-@register("t09_sentence_case", f"WITH {SENTENCE_SQL} SELECT doc_id, md5({close_sql('t')}) AS cased FROM joined")
+@register("t09_sentence_case", f"WITH {sentence_sql(NOTED_SQL)} SELECT doc_id, md5({close_sql('t')}) AS cased FROM joined")
 def t09(spark, folder):
     df = noted(spark, folder).filter(F.col("text").rlike(r"\S"))
     return df.select("doc_id", F.md5(sentence_case(X.tokens("text"))).alias("cased"))
@@ -297,9 +318,18 @@ def t10(spark, folder):
     return noted(spark, folder).select("doc_id", F.md5(spread_punctuation(F.col("text"))).alias("spread"))
 
 
-@register("t05_clean_reports")
+_FLAT_SQL = f"""flat AS (SELECT doc_id, regexp_extract_all(tidy, '{DATE_SQL}') AS dates,
+  CASE WHEN len(chunks) = 0 THEN tidy ELSE array_to_string([{without_dates_sql('c')} for c in chunks], ' ') END AS text FROM {TIDIED}),
+closed AS (SELECT doc_id, list_reduce(list_concat([text], dates, dates), lambda acc, d: replace(acc, d, replace(d, ' ', ''))) AS text FROM flat)"""
+
+
+@register(
+    "t05_clean_reports",
+    f"""WITH {_FLAT_SQL}, {sentence_sql('closed')} SELECT d.doc_id, CAST(length(c) AS INT) AS n_chars, md5(c) AS clean
+        FROM documents d LEFT JOIN (SELECT x.doc_id, coalesce({spread_sql(close_sql('t'))}, '') AS c FROM closed x LEFT JOIN joined y USING (doc_id)) USING (doc_id)""",
+)
 def t05_all(spark, folder):
-    """Rows only, like its date step; tests compare it with a step-by-step Python form."""
+    """T5 to T10 in order."""
     df = clean_reports(noted(spark, folder), "text", "clean")
     return df.select("doc_id", F.length("clean").alias("n_chars"), F.md5("clean").alias("clean"))
 
