@@ -11,9 +11,11 @@ from reportlake.functions.text import count_with_percent
 
 
 def totals(df: DataFrame, keys: list[str]) -> DataFrame:
-    """A1: rows and exact distinct counts."""
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"), *[F.count_distinct(F.col(k)).alias(f"n_{k}") for k in keys]
+    """A1: rows and exact distinct counts, taken over the distinct key rows."""
+    reduced = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return reduced.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("n_rows"),
+        *[F.count_distinct(F.col(k)).alias(f"n_{k}") for k in keys],
     )
 
 
@@ -144,7 +146,8 @@ def mean_loss(df: DataFrame, loss: str, rows: str | None = None) -> DataFrame:
 
 def rows_per_split(df: DataFrame, split: str) -> DataFrame:
     """Rows per split, and in all (null split)."""
-    return df.rollup(split).agg(F.count(F.lit(1)).alias("n"), F.grouping(split).cast("int").alias("is_total"))
+    counted = df.groupBy(split).agg(F.count(F.lit(1)).alias("n"))
+    return counted.rollup(split).agg(F.sum("n").alias("n"), F.grouping(split).cast("int").alias("is_total"))
 
 
 def stacked(tables: list[DataFrame]) -> DataFrame:

@@ -150,10 +150,11 @@ def overridden(df: DataFrame, overrides: DataFrame, on: str, column: str, replac
 
 def first_existing(df: DataFrame, listing: DataFrame, candidates: list[Column], path: str = "path", out: str = "found") -> DataFrame:
     """The first candidate path that is listed, else null."""
-    listed = listing.select(path).distinct()
+    listed, base = listing.select(path).distinct(), df
     for i, c in enumerate(candidates):
-        df = df.withColumn(f"_c{i}", c)
-        df = df.join(listed.select(F.col(path).alias(f"_c{i}"), F.lit(True).alias(f"_f{i}")), f"_c{i}", "left")
+        partner = listed.select(F.col(path).alias(f"_c{i}"), F.lit(True).alias(f"_f{i}"))
+        wanted = base.select(c.alias(f"_c{i}"))
+        df = split_heavy(df.withColumn(f"_c{i}", c), partner, [f"_c{i}"], "left", keys=wanted)
     hits = [F.when(F.col(f"_f{i}"), F.col(f"_c{i}")) for i in range(len(candidates))]
     extra = [f"_{x}{i}" for x in "cf" for i in range(len(candidates))]
     return df.withColumn(out, F.coalesce(*hits)).drop(*extra)

@@ -10,34 +10,41 @@ recomputed task always gets the same ordinals.
 * key order: the bucket comes from approximate quantiles of the key. They are
   fetched once (a few hundred numbers) and used as literals, so every branch of
   the plan agrees on them; their accuracy matters for balance only;
-* value order: a value that hits a quantile is heavy and gets buckets of its own
-  split further by the key, so one value may hold any share of the rows.
+* value order: a value that hits a quantile is heavy and gets buckets of its own,
+  cut further by the key, as many as quantiles it hit, so one value may hold any
+  share of the rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportlake.functions.text import digest
 
 DIGEST_CHARS = 4
-KEY_BUCKETS = 256
 MOST_BUCKETS = 16**DIGEST_CHARS
 
 
+def bucket_count(df: DataFrame) -> int:
+    """Buckets for a key order: enough for every core, few enough to list."""
+    return min(4096, max(256, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def quantiles(df: DataFrame, columns: list[str], parts: int) -> list[list]:
-    """Distinct approximate quantiles per column: at most ``parts - 1`` numbers each, by one job."""
+    """Approximate quantiles per column, repeats kept: ``parts - 1`` numbers each, by one job."""
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     row = df.agg(*[F.percentile_approx(c, shares, F.lit(20 * parts)).alias(c) for c in columns]).first()
-    return [sorted(set(row[c] or [])) for c in columns]
+    return [sorted(row[c] or []) for c in columns]
 
 
 def below(value: Column, bounds: list) -> Column:
-    """How many sorted bounds lie below the value: two short scans, not a long one."""
+    """How many of the sorted bounds lie below the value: two short scans, not a long one."""
     if not bounds:
         return F.lit(0)
-    step = 16
+    step = math.isqrt(len(bounds)) + 1
     every = F.array(*[F.lit(b) for b in bounds])
     coarse = F.array(*[F.lit(b) for b in bounds[step - 1 :: step]])
     jump = F.size(F.filter(coarse, lambda b: b < value)) * step
@@ -91,27 +98,32 @@ def by_digest(
     return running_total(df, bucket, [F.col("_digest"), F.col(key)], group=group, **options).drop("_digest")
 
 
-def by_key(df: DataFrame, key: str, parts: int = KEY_BUCKETS, **options) -> DataFrame:
+def by_key(df: DataFrame, key: str, parts: int | None = None, **options) -> DataFrame:
     """Ordinal in the order of a unique numeric key."""
-    (bounds,) = quantiles(df, [key], parts)
-    return running_total(df, below(F.col(key), bounds), [F.col(key)], **options)
+    (cuts,) = quantiles(df, [key], parts or bucket_count(df))
+    return running_total(df, below(F.col(key), sorted(set(cuts))), [F.col(key)], **options)
 
 
 def by_value(
-    df: DataFrame, value: str, key: str, descending: bool = False, parts: int = KEY_BUCKETS, **options
+    df: DataFrame, value: str, key: str, descending: bool = False, parts: int | None = None, **options
 ) -> DataFrame:
     """Ordinal in the order of a numeric value; ties in the order of the unique key."""
+    parts = parts or bucket_count(df)
     df = df.withColumn("_value", -F.col(value) if descending else F.col(value))
-    bounds, key_bounds = quantiles(df, ["_value", key], parts)
+    cuts, key_cuts = quantiles(df, ["_value", key], parts)
+    bounds, key_bounds = sorted(set(cuts)), sorted(set(key_cuts))
+    if not bounds:
+        return running_total(df, F.lit(0), [F.col("_value"), F.col(key)], **options).drop("_value")
     place = below(F.col("_value"), bounds)
-    if bounds:
-        heavy = F.get(F.array(*[F.lit(b) for b in bounds]), place) == F.col("_value")
-        heavy = F.coalesce(heavy, F.lit(False))
-        sub = F.when(heavy, below(F.col(key), key_bounds)).otherwise(F.lit(0))
-        bucket = (2 * place + heavy.cast("int")) * (parts + 1) + sub
-    else:
-        bucket = F.lit(0)
-    return running_total(df, bucket, [F.col("_value"), F.col(key)], **options).drop("_value")
+    heavy = F.coalesce(F.get(F.array(*[F.lit(b) for b in bounds]), place) == F.col("_value"), F.lit(False))
+    weight = F.get(F.array(*[F.lit(cuts.count(b)) for b in bounds]), place)
+    # the key's bucket, scaled down to as many parts as the value weighs
+    sub = F.floor(below(F.col(key), key_bounds) * weight / F.lit(len(key_bounds) + 1))
+    df = df.withColumn("_place", place).withColumn("_heavy", heavy)
+    bucket = (2 * F.col("_place") + F.col("_heavy").cast("int")).cast("bigint") * parts
+    bucket += F.when(F.col("_heavy"), sub).otherwise(F.lit(0))
+    ordered = running_total(df, bucket, [F.col("_value"), F.col(key)], **options)
+    return ordered.drop("_value", "_place", "_heavy")
 
 
 def in_row_order(df: DataFrame, key: str, total: str = "n_rows", name: str = "ordinal") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +50,7 @@ def report_tree(spark: SparkSession, root: str, manifest: DataFrame | None = Non
 def has_suffix(path: Column, suffixes: list[str] | None = None) -> Column:
     """Visible files with one of the suffixes, in any case."""
     name = F.substring_index(path, "/", -1)
-    wanted = "|".join(suffixes or V.IMAGE_SUFFIXES)
+    wanted = "|".join(re.escape(s) for s in suffixes or V.IMAGE_SUFFIXES)
     return name.rlike(rf"(?i)^[^.].*\.({wanted})$")
 
 

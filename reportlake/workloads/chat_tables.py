@@ -60,6 +60,11 @@ def n01(spark, folder):
     return df.select("sample_id", "turn", "role", "pos", "e.type", F.md5("e.text").alias("text"), "e.image_path")
 
 
+@register("p21_with_messages", f"WITH {SAMPLES_SQL} SELECT sample_id FROM samples WHERE len(image) > 0")
+def p21(spark, folder):
+    return C.with_items(chat(spark, folder), "messages").select("sample_id")
+
+
 @register(
     "n02_qwen",
     f"""WITH {SAMPLES_SQL} SELECT sample_id, 'user,assistant' AS roles, 'image,text,text' AS types, array_to_string(image, '|') AS images,
