@@ -37,21 +37,31 @@ def leave_one_centre_out(df: DataFrame, centre: str) -> DataFrame:
     return df.withColumn("fold", F.col(centre))
 
 
-def few_shot(
-    df: DataFrame, shots: int, label: str, key: str, centre: str | None = None, seed: int | str = 42
-) -> DataFrame:
-    """``shots`` rows per class, or per class and centre.
+MERGE_PARTS = 512
+
 
-    A class may hold most rows, so candidates are first cut inside hashed parts
-    of the class; only ``shots`` rows per part reach the class itself.
+def _first_of_each(df: DataFrame, by: list[str], order: list[Column | str], rows: int) -> DataFrame:
+    """The first rows of each group in two steps.
+
+    Each task keeps ``rows`` rows per group before any shuffle (Spark's window
+    group limit), sets of tasks are merged next, and the group itself sees
+    ``rows`` rows per set only, so a group may hold most of the table. How rows
+    fall to tasks does not matter for the result.
     """
-    by = [label] + ([centre] if centre else [])
-    df = df.withColumn("_digest", digest(seed, key)).withColumn("_part", F.substring("_digest", 32, 1))
-    order = [F.col("_digest"), F.col(key)]
+    df = df.withColumn("_part", F.spark_partition_id() % MERGE_PARTS)
     for scope in ([*by, "_part"], by):
         rank = F.row_number().over(Window.partitionBy(*scope).orderBy(*order))
-        df = df.withColumn("_rank", rank).filter(F.col("_rank") <= shots).drop("_rank")
-    return df.drop("_digest", "_part")
+        df = df.withColumn("_rank", rank).filter(F.col("_rank") <= rows).drop("_rank")
+    return df.drop("_part")
+
+
+def few_shot(
+    df: DataFrame, shots: int, label: str, key: str, centre: str | None = None, seed: int | str = 42
+) -> DataFrame:
+    """``shots`` rows per class, or per class and centre."""
+    by = [label] + ([centre] if centre else [])
+    df = df.withColumn("_digest", digest(seed, key))
+    return _first_of_each(df, by, [F.col("_digest"), F.col(key)], shots).drop("_digest")
 
 
 def reduced(df: DataFrame, rows: int, key: str, seed: int | str = 42) -> DataFrame:
@@ -65,12 +75,7 @@ def reduced(df: DataFrame, rows: int, key: str, seed: int | str = 42) -> DataFra
 
 
 def first_rows(df: DataFrame, rows: int, key: str, split: str | None = None) -> DataFrame:
-    """O3: the first rows in key order, per split if one is named.
-
-    The filter is a window group limit, which Spark applies before the shuffle,
-    so a split holding most rows sends at most ``rows`` rows per task.
-    """
+    """O3: the first rows in key order, per split if one is named."""
     if split is None:
         return df.orderBy(key).limit(rows)
-    rank = F.row_number().over(Window.partitionBy(split).orderBy(key))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") <= rows).drop("_rank")
+    return _first_of_each(df, [split], [key], rows)

@@ -81,9 +81,11 @@ def running_total(
     else:
         earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
         within = F.coalesce(F.sum("_weight").over(earlier), F.lit(0))
+    # every bucket has an offset; a left join spares the not-null filter of an inner
+    # one, which would work out the bucket a second time
     return (
         df.withColumn("_within", within)
-        .join(F.broadcast(offsets), [*group, "_bucket"])
+        .join(F.broadcast(offsets), [*group, "_bucket"], "left")
         .withColumn(name, (F.col("_offset") + F.col("_within")).cast("bigint"))
         .drop("_bucket", "_offset", "_within", "_weight")
     )
