@@ -61,22 +61,21 @@ def _capital(token: Column) -> Column:
 def sentence_case(token_array: Column) -> Column:
     """Lower case; a capital on the first word and the first after each point."""
     joined = F.lower(F.array_join(token_array, " "))
-    first_word = r"(?s)^(.*?(?<![^ ]))(\p{L}+)((?: .*)?)$"
-
-    def raise_first(sentence: Column) -> Column:
-        return F.when(
-            sentence.rlike(r"(?<![^ ])\p{L}+(?![^ ])"),
-            F.concat(
-                F.regexp_extract(sentence, first_word, 1),
-                _capital(F.regexp_extract(sentence, first_word, 2)),
-                F.regexp_extract(sentence, first_word, 3),
-            ),
-        ).otherwise(sentence)
-
     sentences = F.split(joined, r"(?<![^ ])\.(?![^ ])", -1)
-    text = F.array_join(F.transform(sentences, raise_first), ".")
-    for mark in V.CLOSE_UP:
-        text = F.replace(text, F.lit(mark), F.lit(mark[1:]))
+    # everything up to the first letter of the first all-letter token, if there is one
+    upto = r"(?s)^(.*?(?<![^ ])\p{L})(?=\p{L}*+(?![^ ]))"
+    measured = F.transform(
+        sentences, lambda s: F.struct(s.alias("s"), F.length(F.regexp_extract(s, upto, 1)).alias("n"))
+    )
+
+    def raised(m: Column) -> Column:
+        s, n = m["s"], m["n"]
+        word = F.concat(F.substr(s, F.lit(1), n - 1), _capital(F.substr(s, n)))
+        return F.when(n > 0, word).otherwise(s)
+
+    text = F.array_join(F.transform(measured, raised), ".")
+    for end in V.CLOSE_UP:
+        text = F.replace(text, F.lit(end), F.lit(end[1:]))
     return text
 
 
@@ -96,9 +95,10 @@ def clean_reports(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn("_dates", dates("_tidy")).withColumn("_chunks", chunks("_tidy"))
     df = df.withColumn(
         "_flat",
-        F.when(F.size("_chunks") == 0, F.col("_tidy")).otherwise(
-            F.array_join(F.transform("_chunks", without_dates), " ")
-        ),
+        F.when(F.size("_chunks") == 0, F.col("_tidy"))
+        # a chunk ends where words end, so it holds a date only if the text does
+        .when(F.size("_dates") == 0, F.array_join("_chunks", " "))
+        .otherwise(F.array_join(F.transform("_chunks", without_dates), " ")),
     )
     close = lambda acc, d: F.replace(acc, d, F.replace(d, F.lit(" "), F.lit("")))
     df = df.withColumn("_flat", F.aggregate(F.concat("_dates", "_dates"), F.col("_flat"), close))
