@@ -32,6 +32,7 @@ HEADLINE = [
     "p18_paths",
     "m02_target_size",
     "flow_instruction_rows",
+    "flow_image_batches",
     "n13_padded_batches",
     "w00_global_ordinal",
     "w04_sampled_items",

@@ -21,12 +21,17 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROMPT_SCHEMA).json(path)
 
 
+def by_place(prompts: DataFrame) -> DataFrame:
+    """The long form (task, place, prompt), with places from 0 on."""
+    return prompts.select("task", F.posexplode("prompts").alias("place", "prompt"))
+
+
 def all_tasks(prompts: DataFrame) -> DataFrame:
     return prompts.select("task").distinct()
 
 
-def prompts_for(prompts: DataFrame, task: str) -> DataFrame:
-    return prompts.filter(F.col("task") == task).select(F.explode("prompts").alias("prompt"))
+def prompts_for(placed: DataFrame, task: str) -> DataFrame:
+    return placed.filter(F.col("task") == task).orderBy("place").select("prompt")
 
 
 def task_name(task: Column | str) -> Column:
@@ -35,13 +40,22 @@ def task_name(task: Column | str) -> Column:
 
 
 def with_prompt(
-    df: DataFrame, prompts: DataFrame, key: str, task: str = "task", seed: int = 42, out: str = "prompt"
+    df: DataFrame, placed: DataFrame, key: str, task: str = "task", seed: int = 42, out: str = "prompt"
 ) -> DataFrame:
-    """Add one prompt per row, drawn by the row's digest; empty if the task is unknown."""
-    looked_up = prompts.select(F.col("task").alias("_task"), F.col("prompts").alias("_prompts"))
-    drawn = F.get("_prompts", F.pmod(digest_int(seed, key), F.size("_prompts").cast("bigint")).cast("int"))
+    """Add one prompt per row, drawn by the row's digest; empty if the task is unknown.
+
+    The row draws a place and meets that one prompt, so no list of prompts is
+    ever gathered and rows of one task are spread over its prompts.
+    """
+    sizes = placed.groupBy(F.col("task").alias("_task")).agg(F.count(F.lit(1)).alias("_n"))
+    drawn = df.join(sizes, task_name(task) == F.col("_task"), "left").withColumn(
+        "_place", F.pmod(digest_int(seed, key), F.col("_n"))
+    )
+    listed = placed.select(
+        F.col("task").alias("_task"), F.col("place").cast("bigint").alias("_place"), F.col("prompt").alias("_prompt")
+    )
     return (
-        df.join(looked_up, task_name(task) == F.col("_task"), "left")
-        .withColumn(out, F.when(F.size("_prompts") > 0, drawn).otherwise(F.lit("")))
-        .drop("_task", "_prompts")
+        drawn.join(listed, ["_task", "_place"], "left")
+        .withColumn(out, F.coalesce("_prompt", F.lit("")))
+        .drop("_task", "_n", "_place", "_prompt")
     )

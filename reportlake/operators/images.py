@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportlake.operators.columns import looks_like_image
-from reportlake.operators.joins import missing
+from reportlake.operators.joins import missing, split_heavy
 from reportlake.sources.files import files, has_suffix
 
 IMAGE_SCHEMA = "path string, height int, width int, n_channels int, mode int, data binary, error string"
@@ -359,6 +359,15 @@ def to_model_input(images: DataFrame, size: int = 224) -> DataFrame:
     return apply_to_images(images, lambda a: model_input(a, size).reshape(-1, size))
 
 
+def without_finished_folders(found: DataFrame, finished: DataFrame) -> DataFrame:
+    """Drop folders that have as many finished files as files; one folder may hold most."""
+    folder = F.regexp_replace("path", "/[^/]*$", "").alias("_folder")
+    counts = [d.groupBy(folder).agg(F.count(F.lit(1)).alias("_n")) for d in (found, finished)]
+    done = counts[0].join(counts[1], ["_folder", "_n"]).select("_folder")
+    listed = found.select("*", folder)
+    return split_heavy(listed, done, ["_folder"], "left_anti", keys=listed.select("_folder")).drop("_folder")
+
+
 def prepare_folder(
     spark: SparkSession, root: str, preset: str, size: int = 512, finished: DataFrame | None = None
 ) -> DataFrame:
@@ -370,8 +379,10 @@ def prepare_folder(
     steps = PRESETS[preset]
     found = files(spark, root, recursive=steps.recursive)
     found = found.filter(has_suffix(F.col("path"), list(steps.suffixes)))
-    if finished is not None and steps.skip_finished != "no":
+    if finished is not None and steps.skip_finished == "file":
         found = missing(found, finished.select("path"), "path")
+    if finished is not None and steps.skip_finished == "folder":
+        found = without_finished_folders(found, finished)
     plausible = looks_like_image("content", F.col("length"))
     bad = found.filter(~plausible).select(
         "path",

@@ -79,7 +79,7 @@ def keep_existing_items(
     Order inside the list is kept; rows left without an item keep an empty list.
     One path may stand in most rows, so the join splits heavy paths.
     """
-    present = listing.select(path)
+    present = listing.select(path).distinct()
     if absent is not None:
         present = missing(present, absent.select(path), path)
     exploded = df.select(key, F.posexplode(items).alias("_pos", path))

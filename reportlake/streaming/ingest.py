@@ -10,10 +10,14 @@ from pyspark.sql import types as T
 from reportlake.operators.joins import missing
 
 
+# Fixed value: what Spark's source of whole files gives.
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def ingest(
     spark: SparkSession,
     source: str,
-    schema: T.StructType | str,
+    schema: T.StructType | str | None,
     transform: Callable[[DataFrame], DataFrame],
     target: str,
     checkpoint: str,
@@ -25,10 +29,10 @@ def ingest(
     """Run ``transform`` over new files until none is left, then stop.
 
     The checkpoint remembers the files seen, so a second run adds nothing and a
-    run cut short continues. ``transform`` is any row-wise operator.
+    run cut short continues. ``transform`` is any row-wise operator. Without a
+    schema the source is taken to be whole files (``kind="binaryFile"``).
     """
-    reader = spark.readStream.format(kind).options(**options)
-    reader = reader.schema(schema) if schema is not None else reader
+    reader = spark.readStream.format(kind).options(**options).schema(schema or FILE_SCHEMA)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if files_per_trigger:

@@ -10,8 +10,9 @@ from reportlake.functions import registry as R
 from reportlake.functions.text import tokens, total_length
 from reportlake.operators import columns as C
 from reportlake.operators import joins as J
+from reportlake.plans.batches import image_balanced, image_mix
 from reportlake.plans.folds import sample_items
-from reportlake.session import table
+from reportlake.session import stage, table
 from reportlake.workloads.base import documents, register
 from reportlake.workloads.report_text import tokens_sql
 
@@ -138,6 +139,11 @@ def n08(spark, folder):
     return df.select("sample_id", F.array_join(F.transform(N.drop_system("messages"), lambda m: m["role"]), ",").alias("roles"))
 
 
+def valid_images(spark, folder) -> DataFrame:
+    valid = table(spark, folder, "labels").filter("quality = 1").selectExpr("concat('i/', CAST(doc_id AS STRING)) AS path")
+    return valid.union(table(spark, folder, "labels").select(F.explode(F.array(F.lit("k"), F.lit("j/2"))).alias("path")).distinct())
+
+
 VALID_SQL = "SELECT 'i/' || doc_id AS path FROM labels WHERE quality = 1 UNION ALL SELECT 'k' UNION ALL SELECT 'j/2'"
 
 
@@ -148,13 +154,44 @@ VALID_SQL = "SELECT 'i/' || doc_id AS path FROM labels WHERE quality = 1 UNION A
        SELECT sample_id, string_agg(path, '|' ORDER BY i) AS images, CAST(count(*) AS INT) AS n_of_images FROM k WHERE r <= 2 GROUP BY 1""",
 )
 def n09(spark, folder):
-    valid = table(spark, folder, "labels").filter("quality = 1").selectExpr("concat('i/', CAST(doc_id AS STRING)) AS path")
-    valid = valid.union(table(spark, folder, "labels").select(F.explode(F.array(F.lit("k"), F.lit("j/2"))).alias("path")))
-    df = J.keep_existing_items(samples(spark, folder), "sample_id", "image", valid)
+    df = J.keep_existing_items(samples(spark, folder), "sample_id", "image", valid_images(spark, folder))
     df = C.with_items(df.withColumn("image", N.first_valid("image", lambda p: F.lit(True))), "image")
     return df.select("sample_id", F.array_join("image", "|").alias("images"), F.size("image").alias("n_of_images"))
 
 
+_ONES, _TWOS = image_mix(4)
+
+
+@register(
+    "flow_image_batches",
+    f"""WITH {SAMPLES_SQL}, p AS (SELECT sample_id, i, image[i] AS path FROM samples, unnest(range(1, len(image) + 1)) AS r(i)),
+       k AS (SELECT sample_id, CAST(least(count(*), 2) AS INT) AS n_images FROM p WHERE path IN ({VALID_SQL}) GROUP BY 1),
+       t AS (SELECT k.*, CAST(len({tokens_sql('instruction')}) + len({tokens_sql('response')}) + 256 * n_images AS BIGINT) AS length FROM k JOIN samples USING (sample_id)),
+       r AS (SELECT *, row_number() OVER (PARTITION BY n_images ORDER BY md5('42:' || sample_id), sample_id) - 1 AS o FROM t),
+       c AS (SELECT least(count(*) FILTER (WHERE n_images = 1) // {_ONES}, count(*) FILTER (WHERE n_images = 2) // {_TWOS}) AS most FROM t),
+       b AS (SELECT sample_id, n_images, length, CASE n_images WHEN 2 THEN o // {_TWOS} ELSE o // {_ONES} END AS batch_id,
+             CAST(CASE n_images WHEN 2 THEN o % {_TWOS} ELSE {_TWOS} + o % {_ONES} END AS INT) AS slot FROM r)
+       SELECT sample_id, batch_id, slot, n_images, length FROM b, c WHERE batch_id < most""",
+)
+def image_batches(spark, folder):
+    """Valid images, flattened turns, lengths, batches."""
+    df = J.keep_existing_items(samples(spark, folder), "sample_id", "image", valid_images(spark, folder))
+    df = df.withColumn("image", N.first_valid("image", lambda p: F.lit(True)))
+    built = N.gemma_messages(F.col("instruction"), F.col("response"), F.col("image"), F.lit("You read reports."))
+    df = C.with_items(df.withColumn("messages", N.drop_system(built)), "messages")
+    df = df.withColumn("turns", N.flatten_content("messages", F.size("image")))
+    texts = F.transform(F.flatten(F.transform("turns", lambda t: t["content"])), lambda c: c["text"])
+    words = F.aggregate(texts, F.lit(0), lambda n, x: n + F.coalesce(F.size(tokens(x)), F.lit(0)))
+    rows = df.select(
+        "sample_id",
+        F.size("image").alias("n_images"),
+        total_length(F.col("instruction"), F.size("image").cast("bigint"), 256, lambda _t: words).alias("length"),
+    )
+    # the plan counts and orders these narrow rows, so they are worked out once
+    rows = stage(C.complete_rows(rows), "rows")
+    return image_balanced(rows, 4, key="sample_id").join(rows, "sample_id")
+
+
 @register(
     "n13_padded_batches",
     f"""WITH t AS (SELECT doc_id, doc_id // 8 AS batch_id, len({tokens_sql('text')}) AS n FROM documents),
@@ -245,7 +282,9 @@ def instruction_rows(spark, folder):
         F.expr("concat(CASE sample_id % 3 WHEN 0 THEN '[Findings Generation]' WHEN 1 THEN '[Findings Summarization]' ELSE '' END, sample_id)"),
     )
     df = C.with_task(df, "unique_id", "findings")
-    listing = df.select(F.explode("image").alias("path")).filter("path <> 'k'")
+    turns = table(spark, folder, "conversations")
+    listing = turns.selectExpr("concat('i/', CAST(conv_id AS STRING)) AS path").distinct()
+    listing = listing.union(turns.selectExpr("concat('j/', CAST(turn AS STRING)) AS path").distinct())
     df = C.with_items(J.keep_existing_items(df, "sample_id", "image", listing), "image")
     pairs = F.transform(F.split("instruction", r"\. ", -1), lambda q: F.struct(q.alias("q"), F.col("response").alias("a")))
     df = df.withColumn("qa", F.explode_outer(sample_items(pairs, 0.3, "sample_id"))).filter("qa IS NOT NULL")

@@ -17,8 +17,8 @@ from reportlake.functions.sections import (
     split_sections,
     with_conclusion,
 )
-from reportlake.operators.joins import split_heavy
 from reportlake.operators.labels import label_reports
+from reportlake.plans.ordinals import by_digest
 from reportlake.session import table
 from reportlake.workloads.base import derived, documents, register
 
@@ -371,23 +371,21 @@ def t12(spark, folder):
     return df.select("conv_id", "turn", F.md5(X.fit_image_tokens("prompt", F.col("want"), TOK)).alias("fitted"))
 
 
-PROMPTS_SQL = """prompts AS (SELECT source AS task, array_agg(text ORDER BY text) AS prompts FROM
-  (SELECT 'src' || (item_id % 20) AS source, text FROM benchmark WHERE item_id % 20 < 15) GROUP BY 1)"""
+PROMPTS_SQL = """prompts AS (SELECT task, text AS prompt, row_number() OVER (PARTITION BY task ORDER BY md5('1:' || item_id), item_id) - 1 AS place,
+  count(*) OVER (PARTITION BY task) AS n FROM (SELECT 'src' || (item_id % 20) AS task, item_id, text FROM benchmark WHERE item_id % 20 < 15))"""
 
 
 def prompt_table(spark, folder):
-    """A prompt table from the benchmark passages: a task per source name."""
+    """Benchmark passages as prompts: fifteen tasks named like sources."""
     df = table(spark, folder, "benchmark").filter("item_id % 20 < 15")
-    return df.groupBy(F.expr("concat('src', CAST(item_id % 20 AS STRING))").alias("task")).agg(
-        F.array_sort(F.collect_list("text")).alias("prompts")
-    )
+    df = df.selectExpr("concat('src', CAST(item_id % 20 AS STRING)) AS task", "item_id", "text AS prompt")
+    return by_digest(df, "item_id", 1, group=["task"], name="place").select("task", "place", "prompt")
 
 
 @register(
     "t13_prompts",
-    f"""WITH {PROMPTS_SQL} SELECT doc_id, '[' || source || ']' AS task, md5(coalesce(prompts[1 +
-        ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT % len(prompts)], '')) AS prompt
-        FROM documents LEFT JOIN prompts ON source = task""",
+    f"""WITH {PROMPTS_SQL} SELECT doc_id, '[' || source || ']' AS task, md5(coalesce(prompt, '')) AS prompt
+        FROM documents LEFT JOIN prompts ON source = task AND place = ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT % n""",
 )
 def t13(spark, folder):
     df = table(spark, folder, "documents").selectExpr("doc_id", "concat('[', source, ']') AS task")
@@ -395,15 +393,10 @@ def t13(spark, folder):
     return drawn.select("doc_id", "task", F.md5("prompt").alias("prompt"))
 
 
-@register(
-    "t13_prompt_lists",
-    f"WITH {PROMPTS_SQL} SELECT task, CAST(len(prompts) AS INT) AS n_prompts, md5(array_to_string(prompts, '|')) AS listed FROM prompts",
-)
+@register("t13_prompt_lists", f"WITH {PROMPTS_SQL} SELECT task, place, md5(prompt) AS prompt FROM prompts")
 def t13_lists(spark, folder):
     prompts = prompt_table(spark, folder)
-    return P.all_tasks(prompts).join(prompts, "task").select(
-        "task", F.size("prompts").alias("n_prompts"), F.md5(F.array_join("prompts", "|")).alias("listed")
-    )
+    return P.all_tasks(prompts).join(prompts, "task").select("task", "place", F.md5("prompt").alias("prompt"))
 
 
 _TASKS = list(PROMPTS)
@@ -419,7 +412,7 @@ _PROMPT_ROWS = ", ".join(f"('{t}', [{', '.join(quoted(p) for p in ps)}])" for t,
 )
 def t13_default(spark, folder):
     df = table(spark, folder, "documents").selectExpr("doc_id", f"{_TASK_CASE} AS task")
-    return P.with_prompt(df, P.default_prompts(spark), "doc_id")
+    return P.with_prompt(df, P.by_place(P.default_prompts(spark)), "doc_id")
 
 
 REFERENCE = """CASE doc_id % 5 WHEN 0 THEN concat('https://host/', CAST(doc_id AS STRING)) WHEN 1 THEN concat('file:///data/', CAST(doc_id AS STRING), '.png')

@@ -162,11 +162,11 @@ def s09(spark, folder):
     return back.select("doc_id", *[F.md5(c).alias(c) for c in SECTION_COLUMNS])
 
 
-@register("s10_csv_parts", "SELECT count(*) AS n, TRUE AS small FROM lineitem")
+@register("s10_csv_parts", "SELECT count(*) AS n, TRUE AS small FROM orders")
 def s10(spark, folder):
     path = scratch(spark, "parts")
-    K.save_csv_parts(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber"), path)
-    back = S.csv_table(spark, path, "l_orderkey bigint, l_linenumber int", header=False)
+    K.save_csv_parts(table(spark, folder, "orders").select("o_orderkey", "o_orderpriority"), path)
+    back = S.csv_table(spark, path, "o_orderkey bigint, o_orderpriority string", header=False)
     sizes = back.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(F.sum("n").alias("n"), (F.max("n") <= K.ROWS_PER_FILE).alias("small"))
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reportlake.functions.cleaning import clean_reports
-from reportlake.functions.prompts import all_tasks, default_prompts, prompts_for, read_prompts, with_prompt
+from reportlake.functions.prompts import all_tasks, by_place, default_prompts, prompts_for, read_prompts, with_prompt
 from reportlake.functions.sections import sectioned, with_conclusion
 from reportlake.session import scratch, shared_folder, stage
 from reportlake.sources import files as S
@@ -87,7 +87,7 @@ def test_missing_log(spark, tmp_path):
 def test_prompts_file(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"task": "T", "prompts": ["a", "b"]}\n{"task": "E", "prompts": []}\n')
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(["[T]", "[E]", "[none]"] * 20)], "id int, task string")
-    got = with_prompt(rows, read_prompts(spark, str(tmp_path / "p.json")), "id").collect()
+    got = with_prompt(rows, by_place(read_prompts(spark, str(tmp_path / "p.json"))), "id").collect()
     assert {r.prompt for r in got if r.task == "[T]"} == {"a", "b"} and {r.prompt for r in got if r.task != "[T]"} == {""}
     assert len(got) == 60
 
@@ -95,7 +95,7 @@ def test_prompts_file(spark, tmp_path):
 def test_default_prompts(spark):
     prompts = default_prompts(spark)
     assert all_tasks(prompts).count() == 27
-    assert prompts_for(prompts, "View Classification").count() == 2 and prompts_for(prompts, "none").count() == 0
+    assert prompts_for(by_place(prompts), "View Classification").count() == 2 and prompts_for(by_place(prompts), "none").count() == 0
     assert prompts.filter("exists(prompts, p -> p = '') OR size(prompts) = 0").count() == 0
 
 
@@ -127,3 +127,15 @@ def test_scratch_is_shared_and_fresh(spark):
     assert scratch(spark, "a").startswith(shared_folder(spark)) and scratch(spark, "a") != scratch(spark, "a")
     df = stage(spark.range(5))
     assert df.count() == 5 and "Range" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stream_of_image_files(spark, tmp_path):
+    from reportlake.operators.images import PNG_START, decode_png
+
+    source, target, seen = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "seen")
+    source.mkdir()
+    for turn in range(2):
+        (source / f"{turn}.png").write_bytes(PNG_START + b"0" * 100)
+        for _ in range(2):
+            ingest(spark, str(source), None, decode_png, target, seen, kind="binaryFile", glob="*.png")
+        assert spark.read.parquet(target).filter("error IS NOT NULL").count() == turn + 1

@@ -116,6 +116,15 @@ def test_finished_files_are_skipped(spark, folder):
     assert rest.filter("error IS NULL").count() == 0 and rest.count() == every.count() - 2
 
 
+def test_finished_folders_are_skipped_as_a_whole(spark, folder):
+    every = I.prepare_folder(spark, str(folder), "chestxray14", 8)
+    names = lambda df: sorted(r.path.rsplit("/", 1)[1] for r in df.collect())
+    sub = every.filter("path LIKE '%/sub/%'").select("path")
+    rest = I.prepare_folder(spark, str(folder), "chestxray14", 8, finished=sub.union(every.filter("path LIKE '%a.png'").select("path")))
+    assert names(every) == ["a.png", "b.PNG", "c.png", "cut.png", "small.png", "text.png"]
+    assert names(rest) == ["a.png", "c.png", "cut.png", "small.png", "text.png"]
+
+
 def test_eight_bit_source(spark, folder):
     got = {r.path.rsplit("/", 1)[1]: r for r in I.decode_8bit(spark, str(folder), "*.{png,PNG}").collect()}
     assert got["b.PNG"].height == 30 and got["text.png"].error and got["text.png"].height == -1
