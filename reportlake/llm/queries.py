@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reportlake.llm import quality
+from reportlake.llm import neardup, quality
 from reportlake.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +29,9 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     out = quality.measured(docs, quality.references(docs))
     return out.select("doc_id", *[m.split()[0] for m in quality.MEASURES.split(", ")])
+
+
+@register("op9_hyperminhash_near_duplicates")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = neardup.linked(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
