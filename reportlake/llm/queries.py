@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import neardup, quality
+from reportlake.llm import ledger, neardup, quality
 from reportlake.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,9 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = neardup.linked(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@register("op1_incremental_blob_ledger", ledger.oracle())
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    found, _ = ledger.secrets(table(spark, folder, "documents"))
+    return ledger.digests(found)
