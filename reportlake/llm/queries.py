@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import ledger, neardup, quality
+from reportlake.llm import bpe, ledger, neardup, quality
 from reportlake.session import table
 
+TOKENIZER = Path("/opt/tokenizers/byte_bpe_50k.json")  # a parameter of the operator; read where the query is planned
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -41,3 +44,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     found, _ = ledger.secrets(table(spark, folder, "documents"))
     return ledger.digests(found)
+
+
+@register("op7_prefix_trie_bpe")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    out = bpe.encoded(table(spark, folder, "documents"), bpe.read_definition(str(TOKENIZER)))
+    return out.select("doc_id", *[part.split()[0] for part in bpe.RESULT.split(", ")])
