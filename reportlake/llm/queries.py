@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import bpe, ledger, neardup, quality
+from reportlake.llm import bpe, ledger, mixing, neardup, quality
 from reportlake.session import table
 
 TOKENIZER = Path("/opt/tokenizers/byte_bpe_50k.json")  # a parameter of the operator; read where the query is planned
@@ -50,3 +50,10 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     out = bpe.encoded(table(spark, folder, "documents"), bpe.read_definition(str(TOKENIZER)))
     return out.select("doc_id", *[part.split()[0] for part in bpe.RESULT.split(", ")])
+
+
+@register("op10_temperature_mixing", mixing.oracle())
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    draws = mixing.mixed(docs.withColumn("n_tokens", mixing.tokens_of("text")))
+    return draws.select("doc_id", "source", "n_tokens", F.col("__epoch").alias("epoch"), F.col("__block").alias("block"))
