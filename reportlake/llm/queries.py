@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import bpe, ledger, mixing, neardup, quality
+from reportlake.llm import bpe, ledger, mixing, neardup, quality, warc
 from reportlake.session import table
 
 TOKENIZER = Path("/opt/tokenizers/byte_bpe_50k.json")  # a parameter of the operator; read where the query is planned
@@ -57,3 +57,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     draws = mixing.mixed(docs.withColumn("n_tokens", mixing.tokens_of("text")))
     return draws.select("doc_id", "source", "n_tokens", F.col("__epoch").alias("epoch"), F.col("__block").alias("block"))
+
+
+@register("op3_sequential_warc_reader", warc.oracle())
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    read = warc.archived(table(spark, folder, "pages"), payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
