@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import bpe, ledger, mixing, neardup, ogg, quality, warc
+from reportlake.llm import bpe, ledger, mixing, neardup, ogg, quality, urls, warc
 from reportlake.session import table
 
 TOKENIZER = Path("/opt/tokenizers/byte_bpe_50k.json")  # a parameter of the operator; read where the query is planned
@@ -69,3 +69,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     out = ogg.media(table(spark, folder, "documents"))
     return out.select("doc_id", *[part.split()[0] for part in ogg.RESULT.split(", ")])
+
+
+@register("op6_redirect_equivalence", urls.oracle())
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judged(table(spark, folder, "pages"))
