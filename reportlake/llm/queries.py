@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import bpe, ledger, mixing, neardup, ogg, quality, urls, warc
+from reportlake.llm import bpe, ledger, licenses, mixing, neardup, ogg, quality, urls, warc
 from reportlake.session import table
 
 TOKENIZER = Path("/opt/tokenizers/byte_bpe_50k.json")  # a parameter of the operator; read where the query is planned
@@ -74,3 +74,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @register("op6_redirect_equivalence", urls.oracle())
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judged(table(spark, folder, "pages"))
+
+
+@register("op4_rare_token_index", licenses.oracle())
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.licensed(table(spark, folder, "documents"))
