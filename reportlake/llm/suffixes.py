@@ -7,7 +7,8 @@ corpus would shuffle many times the input, so suffixes are first routed by conte
    Neighbouring starts mostly share it; a maximal run of them is a segment. Equal strings have equal
    smallest hashes, so they lie in segments of one hash, wherever these begin.
 2. Segments whose hash occurs once hold nothing repeated. Segments that are equal as a whole are
-   repeated as a whole. Only the others, at the edges of repeated passages, go on with their bytes.
+   repeated as a whole. Where segments of a hash differ, at the edges of repeated passages, one of
+   each kind goes on with its bytes.
 3. Segments of a hash meet in a block. Its suffixes are put in buckets by their place relative to
    the hashed gram (equal strings share it) and each bucket is merge-sorted. A comparison finds the
    common extension of two suffixes by binary search over prefix polynomial hashes. Neighbours
@@ -166,10 +167,11 @@ def chunks(texts: list[bytes], setting: Setting) -> Iterator[tuple[bytes, list[t
 
 
 def segments(texts: list[bytes], setting: Setting) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, first start, last start, smallest hash, hash of the whole segment) of all segments."""
+    """(text, first start, last start, smallest hash, hash of the whole segment, whether it holds its gram twice) of all segments."""
     for buffer, pieces in chunks(texts, setting):
         data = np.frombuffer(buffer, dtype=np.uint8)
-        least = least_in_windows(gram_hashes(Hashes(data), len(data), setting), setting.window)
+        grams = gram_hashes(Hashes(data), len(data), setting)
+        least = least_in_windows(grams, setting.window)
         number, offset, place, size = (np.array(x, dtype=np.int64) for x in zip(*pieces, strict=True))
         count = size - setting.length + 1  # starts of each piece
         piece = np.repeat(np.arange(len(pieces)), count)
@@ -181,8 +183,21 @@ def segments(texts: list[bytes], setting: Setting) -> Iterator[tuple[np.ndarray,
             (xxhash.xxh3_64_intdigest(buffer[a : b + setting.length]) for a, b in zip(starts[turn].tolist(), starts[last].tolist(), strict=True)),
             dtype=U, count=len(turn),
         )
+        twice = held_twice(grams, least, starts[turn], starts[last], values[turn], setting.window)
         shift = (offset - place)[piece[turn]]
-        yield number[piece[turn]], starts[turn] + shift, starts[last] + shift, values[turn].view(np.int64), whole.view(np.int64)
+        yield number[piece[turn]], starts[turn] + shift, starts[last] + shift, values[turn].view(np.int64), whole.view(np.int64), twice
+
+
+def held_twice(grams: np.ndarray, least: np.ndarray, first: np.ndarray, last: np.ndarray, values: np.ndarray, window: int) -> np.ndarray:
+    """Whether a segment's smallest hash stands at two places of it, so that it may repeat itself."""
+    # a gram is the smallest of some window if it equals the largest of the windows' smallest ones
+    padded = np.concatenate([np.zeros(window - 1, dtype=U), least, np.zeros(window - 1, dtype=U)])
+    at = np.flatnonzero(~least_in_windows(~padded, window) == grams)
+    names, which = np.unique(grams[at], return_inverse=True)
+    wide = len(grams) + 1
+    keys = np.sort(which * wide + at)
+    own = np.searchsorted(names, values) * wide
+    return np.searchsorted(keys, own + last + window - 1, side="right") - np.searchsorted(keys, own + first) > 1
 
 
 def repeated_in_block(block: pd.DataFrame, setting: Setting) -> pd.DataFrame:
@@ -284,19 +299,21 @@ def repeated_starts(docs: DataFrame, setting: Setting = Setting(), key: str = "d
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             docs, tags = batch["doc"].to_numpy(), batch["tag"].to_numpy()
-            for number, first, last, least, whole in segments(batch["raw"].tolist(), setting):
-                yield pd.DataFrame({"doc": docs[number], "tag": tags[number], "first": first, "last": last, "least": least, "whole": whole})
+            for number, first, last, least, whole, twice in segments(batch["raw"].tolist(), setting):
+                yield pd.DataFrame({"doc": docs[number], "tag": tags[number], "first": first, "last": last, "least": least, "whole": whole, "twice": twice})
 
-    found = rows.mapInPandas(cut, "doc long, tag int, first int, last int, least long, whole long")
-    # a segment longer than a window repeats its gram within itself
-    long = F.max(F.col("last") - F.col("first")) >= setting.window
-    shared = found.groupBy("least").agg(F.count("*").alias("total"), long.alias("long")).filter("total > 1 OR long").drop("long")
+    found = rows.mapInPandas(cut, "doc long, tag int, first int, last int, least long, whole long, twice boolean")
+    shared = found.groupBy("least").agg(F.count("*").alias("total"), F.max("twice").alias("any")).filter("total > 1 OR any").select("least")
     held = stage(found.join(shared, "least"), "segments")
-    copies = held.groupBy("least", "whole").agg(F.count("*").alias("copies"))
-    flagged = held.join(copies, ["least", "whole"])
-    as_whole = flagged.filter("copies > 1").select("doc", "tag", F.col("first").cast("long"), F.col("last").cast("long"))
-
-    edges = flagged.filter("copies = 1").groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "last", "least", "total")).alias("s"))
+    copies = held.groupBy("least", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "tag", "first", "last", "twice")).alias("one"))
+    copies = stage(copies, "classes")
+    as_whole = held.join(copies.filter("copies > 1").select("least", "whole"), ["least", "whole"], "left_semi")
+    as_whole = as_whole.select("doc", "tag", F.col("first").cast("long"), F.col("last").cast("long"))
+
+    # one segment of each class goes on, if its hash has others or it may repeat itself
+    total = copies.groupBy("least").agg(F.count("*").alias("total"))
+    edges = copies.join(total, "least").select("least", "total", "one.*").filter("total > 1 OR twice")
+    edges = edges.groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "last", "least", "total")).alias("s"))
     edges = edges.select("doc", "tag", *[F.col(f"s.{c}").alias(c) for c in ("first", "last", "least", "total")])
     bodies = rows.join(edges.hint("shuffle_hash"), ["doc", "tag"])
 
