@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from reportlake.llm.common import whole_text
 
-HEAD = struct.Struct("<4sBBqIIIB")
-ABOUT = struct.Struct("<8sIIIIq")  # mark, rate, packet size, streams, index of the stream, samples in all
+HEAD = "<4sBBqIIIB"
+HEAD_SIZE = struct.calcsize(HEAD)
+ABOUT = "<8sIIIIq"  # mark, rate, packet size, streams, index of the stream, samples in all
 MARK = b"pcm8samp"
 CONTINUED, FIRST, LAST = 1, 2, 4
 NO_PACKET_ENDS = -1
@@ -50,7 +51,7 @@ class Layout:
 
 
 def page(serial: int, number: int, kind: int, granule: int, lacing: bytes, body: bytes) -> bytes:
-    blank = HEAD.pack(b"OggS", 0, kind, granule, serial, number, 0, len(lacing)) + lacing + body
+    blank = struct.pack(HEAD, b"OggS", 0, kind, granule, serial, number, 0, len(lacing)) + lacing + body
     return blank[:22] + struct.pack("<I", checksum(blank)) + blank[26:]
 
 
@@ -82,7 +83,7 @@ def stored(samples: bytes, layout: Layout = Layout()) -> bytes:
     pages: list[tuple[int, int, int, bytes]] = []
     cut = [samples[i : i + layout.packet] for i in range(0, len(samples), layout.packet)]
     for s in range(layout.streams):
-        about = ABOUT.pack(MARK, layout.rate, layout.packet, layout.streams, s, len(samples))
+        about = struct.pack(ABOUT, MARK, layout.rate, layout.packet, layout.streams, s, len(samples))
         own = range(s, len(cut), layout.streams)
         granules = [0] + [min(len(samples), (i + 1) * layout.packet) for i in own]
         found = stream_pages(s + 1, [about, *(cut[i] for i in own)], granules)
@@ -104,17 +105,17 @@ def pages_of(data: bytes) -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
     """(kind, granule, serial, number, lacing, body) of each page; raises ValueError on damage."""
     at = 0
     while at < len(data):
-        if len(data) - at < HEAD.size:
+        if len(data) - at < HEAD_SIZE:
             raise ValueError("file ends inside a page")
-        mark, version, kind, granule, serial, number, crc, n = HEAD.unpack_from(data, at)
+        mark, version, kind, granule, serial, number, crc, n = struct.unpack_from(HEAD, data, at)
         if mark != b"OggS" or version:
             raise ValueError(f"no page at byte {at}")
-        lacing = data[at + HEAD.size : at + HEAD.size + n]
-        end = at + HEAD.size + n + sum(lacing)
+        lacing = data[at + HEAD_SIZE : at + HEAD_SIZE + n]
+        end = at + HEAD_SIZE + n + sum(lacing)
         whole = data[at:end]
         if len(lacing) < n or end > len(data) or checksum(whole[:22] + bytes(4) + whole[26:]) != crc:
             raise ValueError(f"checksum of the page at byte {at} is wrong")
-        yield kind, granule, serial, number, lacing, whole[HEAD.size + n :]
+        yield kind, granule, serial, number, lacing, whole[HEAD_SIZE + n :]
         at = end
 
 
@@ -158,7 +159,7 @@ def read_back(data: bytes) -> tuple[bytes, dict]:
     rate = packet = total = 0
     seconds = 0.0
     for stream in found.values():
-        mark, rate, packet, streams, index, total = ABOUT.unpack(stream.packets[0][0])
+        mark, rate, packet, streams, index, total = struct.unpack(ABOUT, stream.packets[0][0])
         if mark != MARK:
             raise ValueError("not a stream of samples")
         for n, (piece, _) in enumerate(stream.packets[1:]):
