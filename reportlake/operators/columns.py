@@ -90,8 +90,9 @@ def as_list(value: Column | str) -> Column:
 
 
 def as_pairs(value: Column | str) -> Column:
-    """JSON text of one question-answer pair or a list of them, as a list."""
-    return F.from_json(value, "array<struct<q:string,a:string>>")
+    """JSON text of one question-answer pair or a list of them, as a list; what a pair lacks is empty."""
+    pairs = F.from_json(value, "array<struct<q:string,a:string>>")
+    return F.transform(pairs, lambda p: F.struct(*[F.coalesce(p[c], F.lit("")).alias(c) for c in ("q", "a")]))
 
 
 def listed_name(

@@ -323,7 +323,8 @@ def decode_8bit(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     )
     bad = F.col("image.height") < 0
     return df.select(
-        F.col("image.origin").alias("path"),
+        # named as ``binaryFile`` names it: one slash after the scheme, no percent signs
+        F.regexp_replace(F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/").alias("path"),
         F.col("image.height").alias("height"),
         F.col("image.width").alias("width"),
         F.col("image.nChannels").alias("n_channels"),
@@ -394,8 +395,16 @@ def prepare_folder(
     png = F.lower("path").endswith(".png")
     done = decode_png(good.filter(png), lambda a: prepared(a, steps, size))
     if set(steps.suffixes) - {"png"}:
-        jpeg = decode_8bit(spark, root, "*.{jpg,jpeg,JPG,JPEG}")
+        # Spark's decoder reads files, not columns; any case of the suffix, and a row for each wanted file
         wanted = good.filter(~png).select("path")
-        rest = jpeg.join(wanted, "path", "left_semi")
-        done = done.unionByName(prepare(rest, preset, size, bgr=True))
+        jpeg = decode_8bit(spark, root, "*.[jJ][pP]{[gG],[eE][gG]}")
+        read = wanted.join(jpeg, "path", "left")
+        lost = F.col("height").isNull()
+        read = read.select(
+            "path",
+            *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("height", "width", "n_channels", "mode")],
+            "data",
+            F.when(lost, F.lit("cannot decode image file")).otherwise(F.col("error")).alias("error"),
+        )
+        done = done.unionByName(prepare(read, preset, size, bgr=True))
     return done.unionByName(bad)

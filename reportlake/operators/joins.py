@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from reportlake.plans.ordinals import by_key
 
-SALTS = 16
-HEAVY_SHARE = 1000
+HEAVY_SHARE = 1000  # a part of a heavy key holds at most one row in so many
+LEAST_PART = 16  # rows below which a part is not cut further
 
 
 def split_heavy(
@@ -20,15 +20,17 @@ def split_heavy(
     right: DataFrame,
     on: list[str],
     how: str = "left",
-    salts: int = SALTS,
     keys: DataFrame | None = None,
+    row: list[str] | None = None,
 ) -> DataFrame:
     """Join where single keys may hold a large share of the left rows.
 
     A key is heavy when it holds more than one row in ``HEAVY_SHARE``, so there
     are fewer than ``HEAVY_SHARE`` of them and that list is safe to broadcast.
-    Heavy left rows are spread over ``salts`` parts and only the matching right
-    rows are repeated. Exact for inner, left, left_semi and left_anti.
+    Heavy left rows are spread over parts in proportion to the key's share and
+    only the matching right rows are repeated. Exact for inner, left, left_semi
+    and left_anti. ``row`` names columns that tell the left rows of a key apart;
+    without it, all columns that can be hashed do.
 
     ``keys`` may name a cheaper table with much the same keys to count, such as
     the scan below a derived ``left``; it only decides what is spread.
@@ -36,13 +38,14 @@ def split_heavy(
     counted = (left if keys is None else keys).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     # over the counts, so that their shuffle serves both
     total = counted.select(F.sum("_n").alias("n")).scalar()
-    heavy = counted.filter(F.col("_n") * HEAVY_SHARE > total).filter(F.col("_n") > salts)
-    heavy = heavy.select(*on, F.lit(True).alias("_heavy"))
-    spread = F.when(F.col("_heavy"), F.pmod(F.xxhash64(*[c for c in left.columns]), F.lit(salts)).cast("int"))
-    parts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    parts = F.ceil(F.least(F.col("_n") * HEAVY_SHARE / total, F.col("_n") / LEAST_PART)).cast("int")
+    heavy = counted.filter(F.col("_n") * HEAVY_SHARE > total).select(*on, parts.alias("_parts")).filter("_parts > 1")
+    row = row or [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
+    spread = F.pmod(F.xxhash64(*row), F.col("_parts")).cast("int")
     left = left.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.coalesce(spread, F.lit(0)))
-    right = right.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.explode(parts))
-    return left.drop("_heavy").join(right.drop("_heavy"), [*on, "_salt"], how).drop("_salt")
+    last = F.coalesce(F.col("_parts") - 1, F.lit(0))
+    right = right.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+    return left.drop("_parts").join(right.drop("_parts"), [*on, "_salt"], how).drop("_salt")
 
 
 def join_metadata(split: DataFrame, metadata: DataFrame, on: str, repeated: list[str]) -> DataFrame:
@@ -62,13 +65,15 @@ def join_suffixed(left: DataFrame, right: DataFrame, on: str, suffix: str = "_cx
 
 
 def keep_listed(df: DataFrame, listed: DataFrame, on: str | list[str]) -> DataFrame:
-    """Semi join."""
-    return df.join(listed, on, "left_semi")
+    """Semi join. The list is reduced first, so a key that fills it meets the rows once."""
+    on = [on] if isinstance(on, str) else on
+    return df.join(listed.select(*on).distinct(), on, "left_semi")
 
 
 def missing(df: DataFrame, listing: DataFrame, on: str | list[str]) -> DataFrame:
-    """Rows without a partner in the listing."""
-    return df.join(listing, on, "left_anti")
+    """Rows without a partner in the listing; one key may stand in most rows of either."""
+    on = [on] if isinstance(on, str) else on
+    return split_heavy(df, listing.select(*on).distinct(), on, "left_anti", keys=df.select(*on))
 
 
 def keep_existing_items(
@@ -81,7 +86,7 @@ def keep_existing_items(
     """
     present = listing.select(path).distinct()
     if absent is not None:
-        present = missing(present, absent.select(path), path)
+        present = present.join(absent.select(path).distinct(), path, "left_anti")
     exploded = df.select(key, F.posexplode(items).alias("_pos", path))
     exploded = split_heavy(exploded, present, [path], "left_semi")
     kept = exploded.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", path))).alias("_kept"))
@@ -106,10 +111,14 @@ def labels_by_text(labels: DataFrame, reports: DataFrame, label_text: str, repor
     return split_heavy(left, right, ["_text"], "inner").drop("_text")
 
 
-def aligned(truth: DataFrame, table: DataFrame, on: str, strict: bool = True) -> DataFrame:
-    """The table's rows for the ids of the truth; a missing id is an error."""
+def aligned(truth: DataFrame, table: DataFrame, on: str, strict: bool = True, place: str | None = None) -> DataFrame:
+    """The table's rows for the ids of the truth; a missing id is an error.
+
+    ``place`` names a column of the truth that says where its row stands; it goes
+    with the rows, so that all tables of one truth can be brought in its order.
+    """
     found = table.withColumn("_found", F.lit(True))
-    joined = truth.select(on).join(found, on, "left")
+    joined = truth.select(on, *([place] if place else [])).join(found, on, "left")
     if not strict:
         return joined.drop("_found")
     message = F.concat(F.lit("no row for id "), F.col(on).cast("string"))

@@ -101,10 +101,11 @@ def label_reports(
     ``mentions`` lists the phrases of each category. The three cue lists hold
     patterns around ``{mention}``, tried in the order uncertain, negated,
     uncertain. Over the sentences of a report positive beats uncertain beats
-    negated. Phrases become one pattern per category, so no table of sentences
+    negated. White space is squeezed first, since report lines wrap inside
+    phrases and sentences. Phrases become one pattern per category, so no table of sentences
     times phrases is ever built.
     """
-    df = df.withColumn("_sentences", chunks(F.lower(text)))
+    df = df.withColumn("_sentences", chunks(F.regexp_replace(F.lower(text), r"\s+", " ")))
     marks = {}
     for category, phrases in mentions.items():
         word = rf"\b(?:{alternation(phrases)})\b"

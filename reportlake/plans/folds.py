@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportlake.functions.text import digest, digest_int
+from reportlake.plans.ordinals import by_digest
 
 
 def sample_items(items: Column | str, rate: float, key: str, seed: int | str = 42) -> Column:
@@ -65,13 +66,8 @@ def few_shot(
 
 
 def reduced(df: DataFrame, rows: int, key: str, seed: int | str = 42) -> DataFrame:
-    """``rows`` random rows; sort and limit run as one top-k."""
-    return (
-        df.withColumn("_digest", digest(seed, key))
-        .orderBy("_digest", key)
-        .limit(rows)
-        .drop("_digest")
-    )
+    """``rows`` random rows, by their place in the random order: no task holds them all."""
+    return by_digest(df, key, seed, name="_place").filter(F.col("_place") < rows).drop("_place")
 
 
 def first_rows(df: DataFrame, rows: int, key: str, split: str | None = None) -> DataFrame:

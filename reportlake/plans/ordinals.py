@@ -7,9 +7,9 @@ inside each bucket. Buckets depend on values only, never on partitioning, so a
 recomputed task always gets the same ordinals.
 
 * digest order: the bucket is a prefix of the md5, uniform by construction;
-* key order: the bucket comes from approximate quantiles of the key. They are
-  fetched once (a few hundred numbers) and used as literals, so every branch of
-  the plan agrees on them; their accuracy matters for balance only;
+* key order: the bucket comes from quantiles of a sample of the keys, chosen by
+  their digest and of a bounded size. They are fetched once and used as literals, so
+  every branch of the plan agrees on them; their accuracy matters for balance only;
 * value order: a value that hits a quantile is heavy and gets buckets of its own,
   cut further by the key, as many as quantiles it hit, so one value may hold any
   share of the rows.
@@ -26,6 +26,7 @@ from reportlake.functions.text import digest
 
 DIGEST_CHARS = 4
 MOST_BUCKETS = 16**DIGEST_CHARS
+PER_BUCKET = 32  # sampled rows for each bucket
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -33,11 +34,20 @@ def bucket_count(df: DataFrame) -> int:
     return min(4096, max(256, df.sparkSession.sparkContext.defaultParallelism))
 
 
-def quantiles(df: DataFrame, columns: list[str], parts: int) -> list[list]:
-    """Approximate quantiles per column, repeats kept: ``parts - 1`` numbers each, by one job."""
-    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    row = df.agg(*[F.percentile_approx(c, shares, F.lit(20 * parts)).alias(c) for c in columns]).first()
-    return [sorted(row[c] or []) for c in columns]
+def quantiles(df: DataFrame, columns: list[str], parts: int, key: str) -> list[list]:
+    """Approximate quantiles per column, repeats kept: ``parts - 1`` numbers each.
+
+    They come from about ``PER_BUCKET * parts`` rows, whatever the size of the data: rows are
+    counted, and those whose key has a small hash are taken. No task merges what all others found.
+    """
+    share = min(1.0, PER_BUCKET * parts / max(1, df.count()))
+    chosen = F.pmod(F.xxhash64(key), F.lit(2**31)) < int(share * 2**31)
+    rows = df.filter(chosen).select(*columns).collect()
+    found = []
+    for c in columns:
+        values = sorted(r[c] for r in rows if r[c] is not None)
+        found.append([values[len(values) * i // parts] for i in range(1, parts)] if values else [])
+    return found
 
 
 def below(value: Column, bounds: list) -> Column:
@@ -83,9 +93,10 @@ def running_total(
         within = F.coalesce(F.sum("_weight").over(earlier), F.lit(0))
     # every bucket has an offset; a left join spares the not-null filter of an inner
     # one, which would work out the bucket a second time
+    # groups come from the data and may be many, so then the optimiser decides by size
     return (
         df.withColumn("_within", within)
-        .join(F.broadcast(offsets), [*group, "_bucket"], "left")
+        .join(offsets if group else F.broadcast(offsets), [*group, "_bucket"], "left")
         .withColumn(name, (F.col("_offset") + F.col("_within")).cast("bigint"))
         .drop("_bucket", "_offset", "_within", "_weight")
     )
@@ -94,7 +105,7 @@ def running_total(
 def by_digest(
     df: DataFrame, key: str, seed: int | str, group: list[str] | None = None, **options
 ) -> DataFrame:
-    """Ordinal in the seeded random order."""
+    """Ordinal in the seeded random order. Keys are unique; rows that repeat one may trade places."""
     df = df.withColumn("_digest", digest(seed, key))
     bucket = F.conv(F.substring("_digest", 1, DIGEST_CHARS), 16, 10).cast("int")
     return running_total(df, bucket, [F.col("_digest"), F.col(key)], group=group, **options).drop("_digest")
@@ -102,7 +113,7 @@ def by_digest(
 
 def by_key(df: DataFrame, key: str, parts: int | None = None, **options) -> DataFrame:
     """Ordinal in the order of a unique numeric key."""
-    (cuts,) = quantiles(df, [key], parts or bucket_count(df))
+    (cuts,) = quantiles(df, [key], parts or bucket_count(df), key)
     return running_total(df, below(F.col(key), sorted(set(cuts))), [F.col(key)], **options)
 
 
@@ -112,7 +123,7 @@ def by_value(
     """Ordinal in the order of a numeric value; ties in the order of the unique key."""
     parts = parts or bucket_count(df)
     df = df.withColumn("_value", -F.col(value) if descending else F.col(value))
-    cuts, key_cuts = quantiles(df, ["_value", key], parts)
+    cuts, key_cuts = quantiles(df, ["_value", key], parts, key)
     bounds, key_bounds = sorted(set(cuts)), sorted(set(key_cuts))
     if not bounds:
         return running_total(df, F.lit(0), [F.col("_value"), F.col(key)], **options).drop("_value")

@@ -16,6 +16,8 @@ def local_session(app: str = "reportlake", cores: str = "*", partitions: int = 8
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # small local tables: enough splits for all cores
+        .config("spark.sql.files.maxPartitionBytes", "4m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("REPORTLAKE_DRIVER_MEMORY", "8g"))
@@ -63,14 +65,3 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a small scan comes in fewer tasks than cores.
-
-    Only for plain scans. A scan with at least one task per core is left alone,
-    so large inputs are never shuffled for this; what is shuffled is below one
-    file split per core.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

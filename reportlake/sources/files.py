@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import re
 
 from pyspark.errors import AnalysisException
@@ -150,12 +153,18 @@ def tokenised_or_plain(spark: SparkSession, path: str, splits: list[str]) -> Dat
 
 
 def parquet_split_files(spark: SparkSession, paths: list[str], splits: list[str]) -> DataFrame:
-    """Single files named after their split, with ``split`` taken from the name."""
+    """Files or folders named after their split, with ``split`` taken from that name.
+
+    A folder holds part files as Spark writes them, so the name is the last part of the path
+    that ends in ``.parquet`` and holds a split.
+    """
     check_splits(splits)
     chosen = [p for p in paths if p.endswith(".parquet") and any(s in p.rsplit("/", 1)[-1] for s in splits)]
     if not chosen:
         raise FileNotFoundError(f"no file for splits {splits}")
-    name = F.col("_metadata.file_name")
+    parts = F.split(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "/")
+    named = F.filter(parts, lambda p: p.endswith(".parquet") & reduce(or_, [p.contains(s) for s in splits]))
+    name = F.element_at(named, -1)
     for part in ("data_", "tokenized_", ".parquet"):
         name = F.replace(name, F.lit(part), F.lit(""))
     return spark.read.parquet(*chosen).withColumn("split", name)

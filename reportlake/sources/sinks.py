@@ -33,7 +33,7 @@ def save_csv_parts(df: DataFrame, path: str, rows: int = ROWS_PER_FILE) -> None:
 
 def save_csv_single(df: DataFrame, path: str) -> None:
     """One file, by wish of the caller: it is written by one task."""
-    _csv(df.coalesce(1), False).csv(path)
+    _csv(df.repartition(1), False).csv(path)
 
 
 def save_csv_splits(df: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reportlake.session import spread, table
+from reportlake.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,5 +134,4 @@ def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents, spread over the cores for the operators that read whole texts."""
-    return spread(table(spark, folder, "documents"))
+    return table(spark, folder, "documents")

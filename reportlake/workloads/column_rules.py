@@ -74,10 +74,10 @@ def p07(spark, folder):
 
 @register(
     "p08_complete_rows",
-    f"SELECT study_id, {', '.join(FS[:2])} FROM {{first_labels}} WHERE {' AND '.join(f + ' IS NOT NULL' for f in FS[:2])}",
+    f"SELECT study_id, {', '.join(FS)} FROM {{first_labels}} WHERE {' AND '.join(f + ' IS NOT NULL' for f in FS)}",
 )
 def p08(spark, folder):
-    return C.complete_rows(derived(spark, folder, "first_labels").select("study_id", *FS[:2]))
+    return C.complete_rows(derived(spark, folder, "first_labels").select("study_id", *FS))
 
 
 LABEL_LIST = "filter(array(CASE WHEN quality = 1 THEN 'good' END, CASE WHEN toxic = 1 THEN 'toxic' END), x -> x IS NOT NULL)"

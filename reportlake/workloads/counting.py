@@ -161,11 +161,11 @@ for _mode in L.MODES:
 
 @register(
     "a09_binarised",
-    "SELECT doc_id, " + ", ".join(f"{_binary_sql('f02', m)} AS {m}" for m in L.MODES) + " FROM {truth}",
+    "SELECT doc_id, " + ", ".join(f"{_binary_sql(f, m)} AS {f}_{m}" for f in FS for m in L.MODES) + " FROM {truth}",
 )
 def a09(spark, folder):
     df = derived(spark, folder, "truth")
-    return df.select("doc_id", *[L.binarised(F.col("f02"), m).alias(m) for m in L.MODES])
+    return df.select("doc_id", *[L.binarised(F.col(f), m).alias(f"{f}_{m}") for f in FS for m in L.MODES])
 
 
 @register(

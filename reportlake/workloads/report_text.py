@@ -185,7 +185,7 @@ NOTED = (
     "concat(CASE doc_id % 6 WHEN 0 THEN concat('Compared to 10/', CAST(1 + doc_id % 28 AS STRING), '/2011 (prior study), no change. ', text)"
     " WHEN 1 THEN concat(text, ' As of 3 May 20', CAST(10 + doc_id % 80 AS STRING), ', the 3.5 cm nodule [see above] grew 20%. Stable')"
     " WHEN 2 THEN concat('Seen ™ on March 4, 2012. ', text, chr(12), ' 12-', CAST(1 + doc_id % 28 AS STRING), ' follow up, then ok.')"
-    " WHEN 3 THEN concat('No. ', text, ' size 5 %, (old).') WHEN 4 THEN 'Word' ELSE text END, '') AS text"
+    " WHEN 3 THEN concat('No. ', text, ' size 5 %, (old).') WHEN 4 THEN concat('Word. ', text) ELSE text END, '') AS text"
 )
 NOTED_SQL = "(SELECT doc_id, " + NOTED.replace("AS STRING", "AS VARCHAR") + " FROM documents)"
 
@@ -372,13 +372,13 @@ def t12(spark, folder):
 
 
 PROMPTS_SQL = """prompts AS (SELECT task, text AS prompt, row_number() OVER (PARTITION BY task ORDER BY md5('1:' || item_id), item_id) - 1 AS place,
-  count(*) OVER (PARTITION BY task) AS n FROM (SELECT 'src' || (item_id % 20) AS task, item_id, text FROM benchmark WHERE item_id % 20 < 15))"""
+  count(*) OVER (PARTITION BY task) AS n FROM (SELECT 'src' || (item_id % 15) AS task, item_id, text FROM benchmark))"""
 
 
 def prompt_table(spark, folder):
-    """Benchmark passages as prompts: fifteen tasks named like sources."""
-    df = table(spark, folder, "benchmark").filter("item_id % 20 < 15")
-    df = df.selectExpr("concat('src', CAST(item_id % 20 AS STRING)) AS task", "item_id", "text AS prompt")
+    """Benchmark passages as prompts of fifteen tasks named like sources; five sources have none."""
+    df = table(spark, folder, "benchmark")
+    df = df.selectExpr("concat('src', CAST(item_id % 15 AS STRING)) AS task", "item_id", "text AS prompt")
     return by_digest(df, "item_id", 1, group=["task"], name="place").select("task", "place", "prompt")
 
 
@@ -444,7 +444,9 @@ def t15(spark, folder):
     return df.select("doc_id", X.total_length(F.col("text"), 1 + F.col("doc_id") % 2, 256).alias("length"))
 
 
-MENTIONS = {"alpha": ["the", "die", "les"], "beta": ["ing", "und", "el"], "gamma": ["tion", "que"]}
+MENTIONS = {"alpha": ["of the", "die", "les"], "beta": ["ing", "und", "el"], "gamma": ["tion", "que"]}
+# report lines wrap, also inside phrases and sentences
+WRAPPED = "replace(replace(text, ' the ', concat(chr(10), 'the ')), ' for ', concat(chr(10), ' for ')) AS text"
 NEGATED, PRE, POST = [r"\b(?:and|et|y)\b.*{mention}"], [r"\b(?:with|mit|avec)\b.*{mention}"], [r"{mention}.*\b(?:for|pour)\b"]
 
 
@@ -462,7 +464,7 @@ def _mark_sql(words: list[str]) -> str:
 def _label_sql() -> str:
     marks = ", ".join(f"{_mark_sql(w)} AS {c}" for c, w in MENTIONS.items())
     out = ", ".join(f"CASE {c} WHEN 3 THEN 1 WHEN 2 THEN -1 WHEN 1 THEN 0 END AS {c}" for c in MENTIONS)
-    flat = "(SELECT doc_id, replace(lower(text), chr(10), ' ') AS text FROM documents)"
+    flat = f"(SELECT doc_id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS text FROM (SELECT doc_id, {WRAPPED} FROM documents))"
     return (
         f"WITH sent AS (SELECT doc_id, unnest({CHUNK_SQL.format(x='text')}) AS s FROM {flat}), "
         f"marks AS (SELECT doc_id, {marks} FROM sent GROUP BY doc_id) SELECT doc_id, {out} FROM documents LEFT JOIN marks USING (doc_id)"
@@ -471,6 +473,6 @@ def _label_sql() -> str:
 
 @register("t16_label_reports", _label_sql())
 def t16(spark, folder):
-    df = documents(spark, folder).select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    df = documents(spark, folder).selectExpr("doc_id", WRAPPED)
     df = label_reports(df, "text", MENTIONS, pre_uncertain=PRE, negated=NEGATED, post_uncertain=POST)
     return df.select("doc_id", *MENTIONS)

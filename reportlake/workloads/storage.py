@@ -135,8 +135,7 @@ def s07_files(spark, folder):
     for split in ("train", "test"):
         paths.append(f"{root}/set_data_{split}.parquet")
         derived(spark, folder, "images").filter(F.col("split") == split).drop("split").write.parquet(paths[-1])
-    df = [S.parquet_split_files(spark, [p], [s]).withColumn("split", F.lit(f"set_{s}")) for p, s in zip(paths, ("train", "test"), strict=True)]
-    return df[0].unionByName(df[1]).select("dicom_id", "split")
+    return S.parquet_split_files(spark, paths, ["train", "test"]).select("dicom_id", "split")
 
 
 @register("s08_save_splits", "SELECT CASE split WHEN 'validate' THEN 'val' ELSE split END AS split, count(*) AS n FROM {images} GROUP BY 1")
