@@ -192,45 +192,69 @@ def prepared(image: np.ndarray, preset: Preset, size: int, channel_order: str =
     return resize_bilinear(image, size, size)
 
 
-def _undo_filters(raw: bytes, height: int, stride: int, step: int) -> np.ndarray:
-    """PNG scan lines back to bytes. Two of the five filters run byte by byte."""
-    lines = np.frombuffer(raw, np.uint8)
-    if lines.size < height * (stride + 1):
+def undo_filters(lines: np.ndarray, step: int) -> np.ndarray:
+    """PNG scan lines (a filter byte and the bytes of the line) back to bytes, in array steps.
+
+    A pixel needs its neighbours to the left, above and between. All pixels of a diagonal that runs down
+    to the left have theirs on earlier diagonals, so each diagonal is one step; in
+    the flat image its pixels are evenly spaced.
+    """
+    kinds, (height, width) = lines[:, :1].astype(np.int16), (len(lines), (lines.shape[1] - 1) // step)
+    if kinds.max(initial=0) > 4:
+        raise SyntaxError(f"unknown filter {kinds.max()}")
+    if not kinds.any():
+        return lines[:, 1:]
+    data = lines[:, 1:].astype(np.int16).reshape(-1, step)
+    row = width + 1
+    out = np.zeros(((height + 1) * row, step), np.int16)  # a border of zeros above and to the left
+    used = set(np.unique(kinds).tolist())
+    for t in range(height + width - 1):
+        top, low = max(0, t - width + 1), min(height - 1, t)
+        span = (low - top) * width + 1
+        here = (top + 1) * row + t - top + 1
+        a, b, c = (out[at : at + span : width] for at in (here - 1, here - row, here - row - 1))
+        first = top * (width - 1) + t
+        kind = kinds[top : low + 1]
+        guess = np.where(kind == 1, a, np.where(kind == 2, b, np.int16(0)))
+        if 3 in used:
+            guess = np.where(kind == 3, (a + b) >> 1, guess)
+        if 4 in used:
+            down, left = b - c, a - c
+            near_a, near_b, near_c = np.abs(down), np.abs(left), np.abs(down + left)
+            best = np.where((near_a <= near_b) & (near_a <= near_c), a, np.where(near_b <= near_c, b, c))
+            guess = np.where(kind == 4, best, guess)
+        values = data[first : first + (low - top) * (width - 1) + 1 : max(1, width - 1)]
+        out[here : here + span : width] = (values + guess) & 255
+    return out.reshape(height + 1, row, step)[1:, 1:].astype(np.uint8).reshape(height, width * step)
+
+
+# fixed values: start and step of the seven passes of an interlaced PNG, as (x, y, dx, dy)
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _samples(raw: np.ndarray, height: int, width: int, bits: int, channels: int) -> tuple[np.ndarray, int]:
+    """Samples of one pass (height, width, channels) and the bytes that it took."""
+    stride = (width * channels * bits + 7) // 8
+    size = height * (stride + 1)
+    if raw.size < size:
         raise OSError("image data is truncated")
-    lines = lines[: height * (stride + 1)].reshape(height, stride + 1)
-    out = np.zeros((height + 1, stride), np.uint8)
-    for y in range(height):
-        kind, line, up = lines[y, 0], lines[y, 1:], out[y]
-        if kind == 0:
-            out[y + 1] = line
-        elif kind == 1:
-            pixels = line.reshape(-1, step).astype(np.uint64).cumsum(axis=0)
-            out[y + 1] = (pixels & 255).astype(np.uint8).ravel()
-        elif kind == 2:
-            out[y + 1] = line + up
-        elif kind in (3, 4):
-            now, before = bytearray(line.tobytes()), up.tobytes()
-            for x in range(stride):
-                a = now[x - step] if x >= step else 0
-                b = before[x]
-                if kind == 3:
-                    guess = (a + b) >> 1
-                else:
-                    c = before[x - step] if x >= step else 0
-                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
-                now[x] = (now[x] + guess) & 255
-            out[y + 1] = np.frombuffer(bytes(now), np.uint8)
-        else:
-            raise SyntaxError(f"unknown filter {kind}")
-    return out[1:]
+    flat = undo_filters(raw[:size].reshape(height, stride + 1), max(1, channels * bits // 8))
+    if bits == 16:
+        flat = np.ascontiguousarray(flat).view(">u2").astype(np.uint16)
+    elif bits < 8:
+        parts = np.unpackbits(flat, axis=1).reshape(height, -1, bits)
+        flat = (parts << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)[:, : width * channels]
+    return flat.reshape(height, width, channels), size
 
 
 def read_png(content: bytes) -> np.ndarray:
-    """Grey or RGB(A) PNG of 8 or 16 bits; Spark's own reader keeps 8 bits of 16."""
+    """PNG of any colour type and depth; Spark's own reader keeps 8 bits of 16.
+
+    Grey of fewer than 8 bits is scaled to 8, palette images become RGB, or RGBA if the palette is transparent.
+    """
     if not content.startswith(PNG_START):
         raise ValueError("cannot identify image file")
-    at, parts, head = len(PNG_START), [], None
+    at, parts, head, palette, alpha = len(PNG_START), [], None, b"", b""
     while at + 8 <= len(content):
         size, name = struct.unpack(">I4s", content[at : at + 8])
         body = content[at + 8 : at + 8 + size]
@@ -238,6 +262,10 @@ def read_png(content: bytes) -> np.ndarray:
             raise OSError("image file is truncated")
         if name == b"IHDR":
             head = struct.unpack(">IIBBBBB", body)
+        elif name == b"PLTE":
+            palette = body
+        elif name == b"tRNS":
+            alpha = body
         elif name == b"IDAT":
             parts.append(body)
         elif name == b"IEND":
@@ -248,17 +276,34 @@ def read_png(content: bytes) -> np.ndarray:
     if head is None or not parts:
         raise OSError("image file is truncated")
     width, height, bits, colour, _, _, interlaced = head
-    if bits not in (8, 16) or colour not in (0, 2, 4, 6) or interlaced:
+    if bits not in (1, 2, 4, 8, 16) or colour not in (0, 2, 3, 4, 6) or (bits < 8 and colour not in (0, 3)):
         raise ValueError(f"unsupported PNG: {bits} bits, colour type {colour}")
-    channels = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
-    step = channels * bits // 8
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
     try:
-        raw = zlib.decompressobj().decompress(b"".join(parts))
+        raw = np.frombuffer(zlib.decompressobj().decompress(b"".join(parts)), np.uint8)
     except zlib.error as e:
         raise OSError("image data is damaged") from e
-    flat = _undo_filters(raw, height, width * step, step)
-    pixels = flat if bits == 8 else flat.reshape(height, -1).copy().view(">u2").astype(np.uint16)
-    return pixels if channels == 1 else pixels.reshape(height, width, channels)
+    if interlaced:
+        pixels = np.zeros((height, width, channels), np.uint16 if bits == 16 else np.uint8)
+        for x, y, dx, dy in PASSES:
+            part = pixels[y::dy, x::dx]
+            if part.size:
+                part[:], used = _samples(raw, part.shape[0], part.shape[1], bits, channels)
+                raw = raw[used:]
+    else:
+        pixels, _ = _samples(raw, height, width, bits, channels)
+    if colour == 3:
+        colours = np.frombuffer(palette, np.uint8).reshape(-1, 3)
+        if pixels.max(initial=0) >= len(colours):
+            raise OSError("colour outside the palette")
+        if alpha:
+            opacity = np.full(len(colours), 255, np.uint8)
+            opacity[: len(alpha)] = np.frombuffer(alpha, np.uint8)[: len(colours)]
+            colours = np.column_stack([colours, opacity])
+        return colours[pixels[:, :, 0]]
+    if bits < 8:
+        pixels = pixels * np.uint8(255 // (2**bits - 1))
+    return pixels[:, :, 0] if channels == 1 else pixels
 
 
 IMAGE_COLUMNS = ["path", "height", "width", "n_channels", "mode", "data", "error"]
