@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,17 +32,19 @@ def token_counter(model_name: str) -> Callable[[Column], Column]:
     raise ValueError(f"no token counter for {model_name!r}")
 
 
-def outside_counter(load: Callable[[], Callable[[str], list]]) -> Callable[[Column], Column]:
+def outside_counter(load: Callable[[], Callable[[list[str]], Sequence]]) -> Callable[[Column], Column]:
     """a token counter around an outside tokeniser, loaded once per task.
 
-    ``load`` returns the function text -> token list; it runs on the executors.
+    ``load`` returns the function from a list of texts to their token lists; it runs on the executors.
     """
 
     @F.pandas_udf("int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = load()
         for texts in batches:
-            yield texts.map(lambda t: None if t is None else len(encode(t))).astype("Int32")
+            found = iter(encode([t for t in texts if t is not None]))
+            counts = [None if t is None else len(next(found)) for t in texts]
+            yield pd.Series(counts, dtype="Int32")
 
     return lambda text: count(text)
 

@@ -9,13 +9,14 @@ however short the text is. Bands of compressed registers are hashed into buckets
 2. Every class is paired with the smallest class of each bucket it is in (a star, never all pairs).
    Pairs pass the exact size rule and the collision-corrected estimate, and are then verified
    on the full shingle sets.
-3. Buckets whose members are still in different components are compared member by member on
-   their sketches inside the task, large buckets cut in blocks; only pairs that pass the estimate
-   leave the task, and are verified likewise.
+3. Buckets whose members are still in different components are compared on their sketches inside
+   the task, large buckets cut in blocks. In a few rounds each member outside the largest component
+   gives its most similar untried partner, which is verified and joins most components; a last
+   round gives every remaining pair that passes the estimate.
 4. Components of all verified links.
 
 A pair of similarity 0.75 shares no band with a probability of 5e-6 for 32 bands of 4 registers,
-and falls below the estimate's margin with one of about 1e-7.
+and falls below the estimate's margin, four standard deviations, with one of about 2e-5.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ class Setting:
     bands: int = 32
     rows: int = 4
     percent: int = 75  # 100 * intersection >= percent * union
-    margin: float = 0.2  # the estimate may be so much lower than the similarity asked for
+    margin: float = 0.16  # the estimate may be so much lower than the similarity asked for
+    turns: int = 3  # rounds of best partners before all remaining pairs are looked at
     block: int = 1000  # members of a bucket that are compared at a time
     seed: int = 7
 
@@ -143,10 +145,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame, setting: Setting) -> DataFr
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, setting: Setting) -> DataFrame:
-    """Pairs whose full shingle sets are similar enough. texts: (id, text)."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    few = texts.join(wanted, "id", "left_semi")
-    side = lambda x: few.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
+    """The pairs with ``good``: whether the full shingle sets are similar enough. texts: (id, text)."""
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     percent = setting.percent
 
@@ -154,53 +154,61 @@ def _verified(pairs: DataFrame, texts: DataFrame, setting: Setting) -> DataFrame
         last, first = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
             good = []
-            for a, b, text_a, text_b in zip(batch["a"], batch["b"], batch["t_a"], batch["t_b"], strict=True):
+            for a, text_a, text_b in zip(batch["a"], batch["t_a"], batch["t_b"], strict=True):
                 if a != last:
                     last, first = a, shingles(text_a)
                 second = shingles(text_b)
                 common = len(np.intersect1d(first, second, assume_unique=True))
-                if 100 * common >= percent * (len(first) + len(second) - common):
-                    good.append((a, b))
-            yield pd.DataFrame(good, columns=["a", "b"], dtype="int64")
+                good.append(100 * common >= percent * (len(first) + len(second) - common))
+            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "good": good})
 
-    return both.mapInPandas(run, "a long, b long")
+    return both.mapInPandas(run, "a long, b long, good boolean")
 
 
-def _rest_of_buckets(members: DataFrame, setting: Setting) -> DataFrame:
-    """Pairs across components of a bucket that pass size rule and estimate.
+def _across(members: DataFrame, setting: Setting, best: bool) -> DataFrame:
+    """Pairs of different components in a bucket that pass size rule and estimate and are untried.
 
-    members: (bucket, id, component, blocks, n_shingles, sketch). A bucket of more than one block
-    is dealt out as pairs of blocks.
+    members: (bucket, id, component, blocks, n_shingles, sketch, tried). A bucket of more than one
+    block is dealt out as pairs of blocks. With ``best``, a member outside the bucket's largest
+    component (as far as the block shows) gives its most similar partner only.
     """
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
     dealt = members.withColumn("own", block).withColumn("other", other)
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    dealt = dealt.select("bucket", "i", "j", "own", "id", "component", "n_shingles", "sketch")
-    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    dealt = dealt.select("bucket", "i", "j", "own", "id", "component", "n_shingles", "sketch", "tried")
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
     registers, least, percent = setting.registers, setting.percent / 100 - setting.margin, setting.percent
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        ids, parts, n = (group[c].to_numpy() for c in ("id", "component", "n_shingles"))
+        ids, parts, n, own = (group[c].to_numpy() for c in ("id", "component", "n_shingles", "own"))
         wide = np.frombuffer(b"".join(group["sketch"]), dtype=">u2").reshape(-1, registers).astype(np.uint16)
         mixed = group["i"].iloc[0] != group["j"].iloc[0]
-        own = group["own"].to_numpy()
+        names, place, sizes = np.unique(parts, return_inverse=True, return_counts=True)
+        # the largest component's members need not look: the others look at them
+        looking = np.flatnonzero(place != np.argmax(sizes)) if len(names) > 1 else []
         found = []
-        for x in range(len(ids) - 1):
-            rest = np.arange(x + 1, len(ids))
-            small, large = np.minimum(n[x], n[rest]), np.maximum(n[x], n[rest])
-            rest = rest[(parts[rest] != parts[x]) & (100 * small >= percent * large) & ((own[rest] != own[x]) if mixed else True)]
+        for x, tried in zip(looking, group["tried"].iloc[looking], strict=True):
+            small, large = np.minimum(n[x], n), np.maximum(n[x], n)
+            near = (parts != parts[x]) & (100 * small >= percent * large)
+            if mixed:
+                near &= own != own[x]
+            if tried is not None and len(tried):
+                near &= ~np.isin(ids, tried)
+            rest = np.flatnonzero(near)
             if len(rest):
                 e = estimates(wide[rest], wide[x][None, :], n[rest], np.full(len(rest), n[x]))
-                found += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in rest[e >= least]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                good = rest[e >= least]
+                if best and len(good):
+                    good = rest[[np.argmax(e)]]
+                found += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in good]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64").drop_duplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
         for batch in batches:
             kept = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-            place = kept[["bucket", "i", "j"]].ne(kept[["bucket", "i", "j"]].shift()).any(axis=1).cumsum().to_numpy()
-            starts = np.flatnonzero(np.diff(place, prepend=0))
+            starts = np.flatnonzero(kept[["bucket", "i", "j"]].ne(kept[["bucket", "i", "j"]].shift()).any(axis=1).to_numpy())
             for start, end in zip(starts, starts[1:], strict=False):
                 if end - start > 1:
                     yield compare(kept.iloc[start:end])
@@ -231,22 +239,36 @@ def linked(docs: DataFrame, setting: Setting = Setting(), key: str = "doc_id", t
     shared = banded.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("size")).filter("size > 1")
     held = stage(banded.join(shared, "bucket"), "buckets")
 
+    # texts of those that share a bucket; only these are ever compared in full
+    wanted = held.select("id").distinct()
     texts = docs.select(F.col(key).cast("long").alias("id"), whole_text(text).alias("text"))
+    texts = stage(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi"), "texts")
     star = held.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = stage(_verified(_estimated(star, heads, setting), texts, setting), "links")
-    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    labelled = held.filter("size > 2").join(found.withColumnRenamed("node", "id"), "id", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "id"))
-    split = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
-    blocks = F.ceil(F.col("size") / setting.block)
-    # the leader has met everyone already
-    open_rows = labelled.join(split.select("bucket"), "bucket", "left_semi").filter("id <> leader").select("bucket", "id", "component", blocks.alias("blocks"))
-    rest = stage(_rest_of_buckets(open_rows.join(heads, "id"), setting), "rest")
-    if not rest.isEmpty():
-        more = _verified(rest, texts, setting)
-        links = stage(links.unionByName(more), "links")
-        found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    tried = stage(_verified(_estimated(star, heads, setting), texts, setting), "links")
+
+    def parts() -> DataFrame:
+        return components(tried.filter("good").select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    found = parts()
+    narrow = held.filter("size > 2").select("bucket", "id", "leader", F.ceil(F.col("size") / setting.block).alias("blocks"))
+    for turn in range(setting.turns + 1):
+        last = turn == setting.turns
+        labelled = narrow.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        split = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
+        # the leader has met everyone already
+        open_rows = labelled.join(split.select("bucket"), "bucket", "left_semi").filter("id <> leader").drop("leader")
+        met = tried.select(F.col("a").alias("id"), F.col("b").alias("x")).unionByName(tried.select(F.col("b").alias("id"), F.col("a").alias("x")))
+        open_ids = open_rows.select("id").distinct()
+        met = met.join(open_ids, "id", "left_semi").groupBy("id").agg(F.collect_list("x").alias("tried"))
+        pairs = stage(_across(open_rows.join(heads, "id").join(met, "id", "left"), setting, best=not last), "pairs")
+        if pairs.isEmpty():
+            break
+        new = stage(_verified(pairs, texts, setting), "links")
+        tried = tried.unionByName(new)
+        if not new.filter("good").isEmpty():
+            found = parts()
+        elif last:
+            break
 
     # every row finds its class, and the class its component
     named = classes.join(found.withColumnRenamed("node", "first"), "first", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -248,14 +250,17 @@ def f01(spark, folder):
 
 @register("f02_outside_tokeniser", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \n\t]+')) AS INT) AS n_tokens FROM documents")
 def f02(spark, folder):
-    count = R.outside_counter(lambda: str.split)
+    """A tokeniser from outside that takes a batch: Arrow's split at white space."""
+    count = R.outside_counter(lambda: lambda texts: pc.ascii_split_whitespace(pa.array(texts, pa.string())).to_pylist())
     return documents(spark, folder).select("doc_id", count(F.col("text")).alias("n_tokens"))
 
 
-@register("f03_counter_by_model", f"SELECT doc_id, CAST(len({tokens_sql('text')}) AS INT) AS n_tokens FROM documents")
+@register("f03_counter_by_model", f"SELECT doc_id, CAST(len({tokens_sql('text')}) AS INT) AS n_gemma, CAST(length(text) AS INT) AS n_letters FROM documents")
 def f03(spark, folder):
-    count = R.token_counter("vendor/Gemma-3-4b")
-    return documents(spark, folder).select("doc_id", count(F.col("text")).alias("n_tokens"))
+    """Two models with different counters, told apart by name."""
+    R.register_counter("letterwise", F.length)
+    counts = [R.token_counter(m)(F.col("text")).alias(n) for m, n in (("vendor/Gemma-3-4b", "n_gemma"), ("vendor/Letterwise-1b", "n_letters"))]
+    return documents(spark, folder).select("doc_id", *counts)
 
 
 @register("f04_reader_by_name", "SELECT conv_id, count(*) AS n_turns FROM conversations GROUP BY 1")

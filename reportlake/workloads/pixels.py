@@ -18,7 +18,7 @@ from reportlake.workloads.base import register
 
 
 def image_rows(spark, folder, height: int, width: int, channels: int = 1, kind: str = "float32") -> DataFrame:
-    """Image rows whose pixels are the first values of each embedding.
+    """Image rows whose pixels are the values of each embedding; zeros fill up the last row.
 
     float32 keeps the values, uint8 and uint16 take ``floor(|x| * 1000)``.
     """
@@ -28,7 +28,8 @@ def image_rows(spark, folder, height: int, width: int, channels: int = 1, kind:
         for batch in batches:
             rows = []
             for key, values in zip(batch["vec_id"], batch["embedding"], strict=True):
-                pixels = np.asarray(values, np.float32)[:size]
+                pixels = np.zeros(size, np.float32)
+                pixels[: len(values)] = values
                 if kind != "float32":
                     pixels = np.floor(np.abs(pixels.astype(np.float64)) * 1000).astype(kind)
                 shape = (height, width) if channels == 1 else (height, width, channels)
@@ -91,12 +92,12 @@ BYTES_SQL = WHOLE_SQL.replace("abs(x::DOUBLE) * 1000) AS INT)", "abs(x::DOUBLE)
 
 def grey_sql(r: int, g: int, b: int) -> str:
     return f"""(SELECT vec_id, [CAST((p[3 * i + 1] * {r} + p[3 * i + 2] * {g} + p[3 * i + 3] * {b} + 16384) // 32768 AS INT)
-      for i in range(16)] AS p FROM {BYTES_SQL.format(n=48)})"""
+      for i in range(24)] AS p FROM (SELECT vec_id, list_concat(p, [0 for i in range(8)]) AS p FROM {BYTES_SQL.format(n=64)}))"""
 
 
-@register("i03_grey", picture_sql(grey_sql(*I.GREY_WEIGHTS["as_bgr"]), 4, 4))
+@register("i03_grey", picture_sql(grey_sql(*I.GREY_WEIGHTS["as_bgr"]), 4, 6))
 def i03(spark, folder):
-    return shown(I.apply_to_images(image_rows(spark, folder, 4, 4, 3, "uint8"), I.grey))
+    return shown(I.apply_to_images(image_rows(spark, folder, 4, 6, 3, "uint8"), I.grey))
 
 
 @register("i04_equalise", picture_sql(equalise_sql(MIN_MAX_SQL), 8, 8))
@@ -107,12 +108,12 @@ def i04(spark, folder):
 @register(
     "i05_pad_square",
     picture_sql(
-        f"(SELECT vec_id, list_concat(list_concat([lo for i in range(65)], p[:39]), [lo for i in range(65)]) AS p FROM (SELECT vec_id, p, list_min(p[:39]) AS lo FROM {MIN_MAX_SQL}))", 13, 13
+        f"(SELECT vec_id, list_concat(list_concat([lo for i in range(96)], p), [lo for i in range(96)]) AS p FROM (SELECT vec_id, p, list_min(p) AS lo FROM {MIN_MAX_SQL}))", 16, 16
     ),
 )
 def i05(spark, folder):
     wide = image_rows(spark, folder, 8, 8)
-    return shown(I.apply_to_images(wide, lambda a: I.pad_square(I.min_max(a).ravel()[:39].reshape(3, 13))))
+    return shown(I.apply_to_images(wide, lambda a: I.pad_square(I.min_max(a).reshape(4, 16))))
 
 
 @register("i06_resize", picture_sql(resize_sql(MIN_MAX_SQL, 8, 16), 16, 16))
@@ -125,17 +126,42 @@ def i07(spark, folder):
     return shown(I.prepare(image_rows(spark, folder, 8, 8), "padchest", 12))
 
 
-@register("i07_smooth_preset")
+KERNELS = {
+    "triangle": (1, "greatest(1 - abs({x}), 0)"),
+    "lanczos": (3, "CASE WHEN abs({x}) >= 3 THEN 0 WHEN {x} = 0 THEN 1 ELSE sin(pi() * {x}) / (pi() * {x}) * sin(pi() * {x} / 3) / (pi() * {x} / 3) END"),
+}
+
+
+def smooth_sql(source: str, side: int, target: int, kind: str) -> str:
+    """Resize of a square image by a kernel, columns first; the image grows, so the kernel keeps its width."""
+    reach, kernel = KERNELS[kind]
+    centre = f"((i + 0.5::DOUBLE) * ({side}::DOUBLE / {target}))"
+    raw = f"""(SELECT i, q, {kernel.format(x=f"(q + 0.5::DOUBLE - {centre})")} AS w FROM range({target}) AS a(i), range({side}) AS b(q)
+      WHERE q >= floor({centre} - {reach} + 0.5::DOUBLE) AND q < floor({centre} + {reach} + 0.5::DOUBLE))"""
+    weights = f"(SELECT i, q, w / sum(w) OVER (PARTITION BY i) AS w FROM {raw})"
+    whole = "least(255, greatest(0, floor(sum({}) + 0.5::DOUBLE)))"
+    across = f"(SELECT vec_id, y, i AS x, {whole.format(f'w * p[y * {side} + q + 1]')} AS v FROM {source}, range({side}) AS r(y), {weights} GROUP BY vec_id, y, i)"
+    down = f"(SELECT vec_id, i AS y, x, {whole.format('w * v')} AS v FROM {across} JOIN {weights} ON q = y GROUP BY vec_id, i, x)"
+    return f"(SELECT vec_id, list(CAST(v AS INT) ORDER BY y, x) AS p FROM {down} GROUP BY vec_id)"
+
+
+SQUARE_SQL = f"""(SELECT vec_id, list_concat(list_concat([lo for i in range(6)], p), [lo for i in range(6)]) AS p FROM
+  (SELECT vec_id, p, list_min(p) AS lo FROM {equalise_sql(grey_sql(*I.GREY_WEIGHTS["as_bgr"]))}))"""
+
+
+@register("i07_smooth_preset", picture_sql(smooth_sql(SQUARE_SQL, 6, 16, "lanczos"), 16, 16))
 def i07_smooth(spark, folder):
-    """Rows only: the widening kernel has no short SQL form."""
-    return shown(I.prepare(image_rows(spark, folder, 4, 5, 3, "uint8"), "covidx", 16))
+    return shown(I.prepare(image_rows(spark, folder, 4, 6, 3, "uint8"), "covidx", 16))
+
+
+CROP_SQL = f"(SELECT vec_id, [p[32 * (8 + i // 16) + 8 + i % 16 + 1] for i in range(256)] AS p FROM {smooth_sql(MIN_MAX_SQL, 8, 32, 'triangle')})"
 
 
-@register("i08_model_input")
+@register("i08_model_input", picture_sql(CROP_SQL, 16, 16))
 def i08(spark, folder):
-    """Rows only, for the same reason."""
+    """The values in [0, 1] are shown as the levels they stand for."""
     df = I.to_model_input(I.apply_to_images(image_rows(spark, folder, 8, 8), I.min_max), 16)
-    return df.select(F.col("path").cast("bigint").alias("vec_id"), "height", "width", F.md5("data").alias("pixels"))
+    return shown(I.apply_to_images(df, lambda a: np.rint(a * np.float32(255)).astype(np.uint8)))
 
 
 @register("i09_skip_finished", "SELECT 'raw/' || vec_id || '.png' AS path FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
