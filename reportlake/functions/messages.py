@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reportlake.functions.text import strip
 from reportlake.operators.joins import split_heavy
+from reportlake.session import stage
 
 
 
@@ -235,6 +236,8 @@ def resolve_images(
 
     ``moved`` names a folder and the one to look in when a path is not there.
     Rows for which no image is found are dropped. Adds ``pictures`` in order.
+    Paths are settled on the listing alone; contents are read last, for the
+    paths that were chosen.
     """
     first = F.filter(F.get(messages, F.lit(0))["content"], lambda e: e["type"] == "image")
     wanted = df.select(key, F.posexplode(F.transform(first, lambda e: e["image_path"])).alias("_pos", "_want"))
@@ -244,9 +247,11 @@ def resolve_images(
         again = F.when(other != F.col("_want"), F.array(F.struct(F.lit(1).alias("_try"), other.alias("path"))))
         tries = F.concat(tries, F.coalesce(again, F.filter(tries, lambda _: F.lit(False))))
     # one picture may stand in most rows
-    found = split_heavy(wanted.select(key, "_pos", F.inline(tries)), files.select("path", "content"), ["path"], "inner")
+    tried = stage(wanted.select(key, "_pos", F.inline(tries)), "wanted")
+    found = split_heavy(tried, files.select("path").distinct(), ["path"], "left_semi")
     # of two places the original one counts
-    best = found.groupBy(key, "_pos").agg(F.min_by("content", "_try").alias("content"))
-    listed = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "content"))).alias("_found"))
+    best = found.groupBy(key, "_pos").agg(F.min_by("path", "_try").alias("path"))
+    named = split_heavy(best, files.select("path", "content"), ["path"], "inner", keys=tried.select("path"))
+    listed = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "content"))).alias("_found"))
     joined = df.join(listed, key, "inner")
     return joined.withColumn("pictures", F.transform("_found", lambda s: s["content"])).drop("_found")

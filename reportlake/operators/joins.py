@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportlake.plans.ordinals import by_key
+from reportlake.session import stage
 
 HEAVY_SHARE = 1000  # a part of a heavy key holds at most one row in so many
 LEAST_PART = 16  # rows below which a part is not cut further
@@ -82,13 +83,14 @@ def keep_existing_items(
     """Drop list items that are not listed (or are known to be absent).
 
     Order inside the list is kept; rows left without an item keep an empty list.
-    One path may stand in most rows, so the join splits heavy paths.
+    One path may stand in most rows, so the join splits heavy paths. The narrow
+    (key, place, path) rows are written once, as they are both counted and joined.
     """
     present = listing.select(path).distinct()
     if absent is not None:
         present = present.join(absent.select(path).distinct(), path, "left_anti")
-    exploded = df.select(key, F.posexplode(items).alias("_pos", path))
-    exploded = split_heavy(exploded, present, [path], "left_semi")
+    exploded = stage(df.select(key, F.posexplode(items).alias("_pos", path)), "items")
+    exploded = split_heavy(exploded, present, [path], "left_semi", row=[key, "_pos"])
     kept = exploded.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", path))).alias("_kept"))
     return (
         df.drop(items)
