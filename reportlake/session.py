@@ -9,10 +9,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(app: str = "reportlake", cores: str = "*", partitions: int = 8) -> SparkSession:
-    """Session for tests and benches; on a cluster use the session it hands out."""
+def local_session(app: str = "reportlake", cores: str = "*", partitions: int = 8, checkpoints: str | None = None) -> SparkSession:
+    """Session for tests and benches; on a cluster use the session it hands out.
+
+    ``checkpoints`` is the folder for written tables, which the caller removes.
+    """
+    builder = SparkSession.builder if checkpoints is None else SparkSession.builder.config("spark.checkpoint.dir", checkpoints)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")

@@ -13,8 +13,8 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("tests", "4", 4)
+def spark(tmp_path_factory):
+    session = local_session("tests", "4", 4, str(tmp_path_factory.mktemp("checkpoints")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
