@@ -41,11 +41,14 @@ def s02(spark, folder):
     return listing.filter(S.has_suffix(F.col("path")))
 
 
-@register("s02_folder_listing")
+@register("s02_folder_listing", "SELECT 'k=' || (page_id % 7) AS folder, CAST(sum(strlen(url) + 1) AS BIGINT) AS bytes FROM pages GROUP BY 1")
 def s02_folder(spark, folder):
-    """Rows only: a listing of the given folder without reading any content."""
-    df = S.files(spark, folder, "*.parquet", content=False)
-    return df.select(F.substring_index("path", "/", -1).alias("file"), "length")
+    """A listing of folders that Spark wrote, without reading any content."""
+    root = scratch(spark, "listing")
+    table(spark, folder, "pages").selectExpr("url AS value", "page_id % 7 AS k").write.partitionBy("k").text(root)
+    found = S.files(spark, root, "*.txt", content=False)
+    name = F.regexp_extract("path", "/(k=[0-9]+)/[^/]*$", 1)
+    return found.groupBy(name.alias("folder")).agg(F.sum("length").alias("bytes"))
 
 
 ORDER_SCHEMA = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
