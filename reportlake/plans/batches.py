@@ -273,12 +273,12 @@ def _auto_single(rows: DataFrame, m: int, world: int, key: str, seed: int | str)
     # up to 50 megabatches are sorted together, fewer for a small table
     mult = F.greatest(F.lit(1).cast("bigint"), F.least(F.floor(F.col("_total") / F.lit(4 * m)), F.lit(50)))
     rows = rows.withColumn("_big", F.floor(F.col("_shuffled") / (mult * m))).withColumn("_width", mult * m)
-    inside = Window.partitionBy("modality", "_big").orderBy(F.desc("length"), "_shuffled")
-    rows = rows.withColumn("_in_big", F.row_number().over(inside) - 1)
-    # the longest row of all changes places with the very first one
-    heads = rows.filter("_in_big = 0").groupBy("modality").agg(
+    # the longest row of all changes places with the very first one; found before anything is sorted
+    heads = rows.groupBy("modality").agg(
         F.min(F.struct((-F.col("length")).alias("l"), F.col("_big").alias("b"))).alias("top")
     )
+    inside = Window.partitionBy("modality", "_big").orderBy(F.desc("length"), "_shuffled")
+    rows = rows.withColumn("_in_big", F.row_number().over(inside) - 1)
     rows = rows.join(F.broadcast(heads), "modality")
     at = F.col("_big") * F.col("_width") + F.col("_in_big")
     swap = F.col("top.b")
