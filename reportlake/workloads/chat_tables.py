@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.functions import messages as N
+from reportlake.functions import prompts as P
 from reportlake.functions import registry as R
 from reportlake.functions.text import tokens, total_length
 from reportlake.operators import columns as C
@@ -15,8 +16,9 @@ from reportlake.operators import joins as J
 from reportlake.plans.batches import image_balanced, image_mix
 from reportlake.plans.folds import sample_items
 from reportlake.session import stage, table
+from reportlake.sources.files import missing_paths
 from reportlake.workloads.base import documents, register
-from reportlake.workloads.report_text import tokens_sql
+from reportlake.workloads.report_text import PROMPT_ROWS, tokens_sql
 
 IMAGES = """CASE u.conv_id % 4 WHEN 0 THEN array() WHEN 1 THEN array(concat('i/', CAST(u.conv_id AS STRING)))
  WHEN 2 THEN array(concat('i/', CAST(u.conv_id AS STRING)), concat('j/', CAST(u.turn AS STRING)))
@@ -273,15 +275,16 @@ def f04(spark, folder):
 @register(
     "flow_instruction_rows",
     f"""WITH {SAMPLES_SQL}, t AS (SELECT sample_id, CASE sample_id % 3 WHEN 0 THEN '[Findings Generation]' WHEN 1 THEN '[Findings Summarization]' END AS task,
-          list_filter(image, lambda p: p <> 'k') AS image, string_split(instruction, '. ') AS q, response FROM samples),
+          list_filter(image, lambda p: p <> 'k' AND NOT (conv_id % 11 = 0 AND starts_with(p, 'i/'))) AS image, string_split(instruction, '. ') AS q, response FROM samples),
         u AS (SELECT sample_id, task, image, response, i - 1 AS i, q[i] AS x, len(q) AS n FROM t, unnest(range(1, len(q) + 1)) AS r(i) WHERE task IS NOT NULL AND len(image) > 0),
-        k AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY md5('42:' || sample_id || ':' || i)) AS r FROM u)
-        SELECT sample_id, task, md5(x) AS instruction, CAST(3 AS INT) AS n_turns, CAST(len(image) + 1 AS INT) AS n_user_elements,
+        k AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY md5('42:' || sample_id || ':' || i)) AS r FROM u),
+        d(name, prompts) AS (VALUES {PROMPT_ROWS})
+        SELECT sample_id, task, md5(coalesce(prompts[1 + ('0x' || substr(md5('42:' || sample_id || ':' || x), 1, 8))::BIGINT % len(prompts)], '')) AS prompt, md5(x) AS instruction, CAST(3 AS INT) AS n_turns, CAST(len(image) + 1 AS INT) AS n_user_elements,
           CAST(len({tokens_sql('x')}) + len({tokens_sql('response')}) + 256 * len(image) AS BIGINT) AS length
-        FROM k WHERE r <= greatest(1, CAST(floor(0.3::DOUBLE * n) AS INT))""",
+        FROM k LEFT JOIN d ON name = trim(task, '[]') WHERE r <= greatest(1, CAST(floor(0.3::DOUBLE * n) AS INT))""",
 )
 def instruction_rows(spark, folder):
-    """P12, P13, J5, W4, N1, P21, T15 in one plan; the one shuffle is the image check."""
+    """Images listed and not called missing, a drawn prompt for each pair."""
     df = samples(spark, folder).withColumn(
         "unique_id",
         F.expr("concat(CASE sample_id % 3 WHEN 0 THEN '[Findings Generation]' WHEN 1 THEN '[Findings Summarization]' ELSE '' END, sample_id)"),
@@ -290,14 +293,16 @@ def instruction_rows(spark, folder):
     turns = table(spark, folder, "conversations")
     listing = turns.selectExpr("concat('i/', CAST(conv_id AS STRING)) AS path").distinct()
     listing = listing.union(turns.selectExpr("concat('j/', CAST(turn AS STRING)) AS path").distinct())
-    df = C.with_items(J.keep_existing_items(df, "sample_id", "image", listing), "image")
+    log = turns.filter("conv_id % 11 = 0").selectExpr("concat('12:00 warn: i/', CAST(conv_id AS STRING), ' does not exist') AS value")
+    df = C.with_items(J.keep_existing_items(df, "sample_id", "image", listing, absent=missing_paths(log)), "image")
     pairs = F.transform(F.split("instruction", r"\. ", -1), lambda q: F.struct(q.alias("q"), F.col("response").alias("a")))
     df = df.withColumn("qa", F.explode_outer(sample_items(pairs, 0.3, "sample_id"))).filter("qa IS NOT NULL")
-    built = N.gemma_messages(F.col("qa.q"), F.col("qa.a"), F.col("image"), F.lit("You read reports."))
+    df = P.with_prompt(df.withColumn("pair", F.concat_ws(":", "sample_id", "qa.q")), P.by_place(P.default_prompts(spark)), "pair")
+    built = N.gemma_messages(F.col("qa.q"), F.col("qa.a"), F.col("image"), F.col("prompt"))
     df = C.with_items(df.withColumn("messages", built), "messages")
     words = F.size(tokens(F.col("qa.q"))) + F.size(tokens(F.col("qa.a")))
     return df.select(
-        "sample_id", "task", F.md5("qa.q").alias("instruction"), F.size("messages").alias("n_turns"),
+        "sample_id", "task", F.md5(F.col("messages")[0]["content"][0]["text"]).alias("prompt"), F.md5("qa.q").alias("instruction"), F.size("messages").alias("n_turns"),
         F.size(F.col("messages")[1]["content"]).alias("n_user_elements"),
         total_length(F.col("qa.q"), F.size("image").cast("bigint"), 256, lambda _t: words).alias("length"),
     )

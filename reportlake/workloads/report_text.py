@@ -401,12 +401,12 @@ def t13_lists(spark, folder):
 
 _TASKS = list(PROMPTS)
 _TASK_CASE = "CASE doc_id % 28 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TASKS)) + " ELSE 'Unknown' END"
-_PROMPT_ROWS = ", ".join(f"('{t}', [{', '.join(quoted(p) for p in ps)}])" for t, ps in PROMPTS.items())
+PROMPT_ROWS = ", ".join(f"('{t}', [{', '.join(quoted(p) for p in ps)}])" for t, ps in PROMPTS.items())
 
 
 @register(
     "t13_default_prompts",
-    f"""WITH p(task, prompts) AS (VALUES {_PROMPT_ROWS}) SELECT doc_id, d.task, coalesce(prompts[1 +
+    f"""WITH p(task, prompts) AS (VALUES {PROMPT_ROWS}) SELECT doc_id, d.task, coalesce(prompts[1 +
         ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT % len(prompts)], '') AS prompt
         FROM (SELECT doc_id, {_TASK_CASE} AS task FROM documents) d LEFT JOIN p ON p.task = d.task""",
 )
