@@ -43,7 +43,7 @@ class Setting:
     length: int = 200
     gram: int = 48
     chunk: int = 1 << 20  # bytes hashed at a time
-    part: int = 2000  # segments of one hash that a block takes
+    part: int = 16384  # segments of one hash that a block takes: about 5 MB and 1.3 million suffixes
 
     @property
     def window(self) -> int:
