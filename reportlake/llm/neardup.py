@@ -9,10 +9,10 @@ however short the text is. Bands of compressed registers are hashed into buckets
 2. Every class is paired with the smallest class of each bucket it is in (a star, never all pairs).
    Pairs pass the exact size rule and the collision-corrected estimate, and are then verified
    on the full shingle sets.
-3. Buckets whose members are still in different components are compared on their sketches inside
-   the task, large buckets cut in blocks. In a few rounds each member outside the largest component
-   gives its most similar untried partner, which is verified and joins most components; a last
-   round gives every remaining pair that passes the estimate.
+3. Buckets whose members are still in different components are compared inside the task, large
+   buckets cut in blocks: members outside the largest component look at the others by falling
+   estimate and are verified there on the full shingle sets. Only links that join components
+   leave the task, never more than there are members.
 4. Components of all verified links.
 
 A pair of similarity 0.75 shares no band with a probability of 5e-6 for 32 bands of 4 registers,
@@ -44,7 +44,6 @@ class Setting:
     rows: int = 4
     percent: int = 75  # 100 * intersection >= percent * union
     margin: float = 0.16  # the estimate may be so much lower than the similarity asked for
-    turns: int = 3  # rounds of best partners before all remaining pairs are looked at
     block: int = 1000  # members of a bucket that are compared at a time
     seed: int = 7
 
@@ -145,7 +144,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, setting: Setting) -> DataFr
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, setting: Setting) -> DataFrame:
-    """The pairs with ``good``: whether the full shingle sets are similar enough. texts: (id, text)."""
+    """The pairs whose full shingle sets are similar enough. texts: (id, text)."""
     side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     percent = setting.percent
@@ -154,55 +153,56 @@ def _verified(pairs: DataFrame, texts: DataFrame, setting: Setting) -> DataFrame
         last, first = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
             good = []
-            for a, text_a, text_b in zip(batch["a"], batch["t_a"], batch["t_b"], strict=True):
+            for a, b, text_a, text_b in zip(batch["a"], batch["b"], batch["t_a"], batch["t_b"], strict=True):
                 if a != last:
                     last, first = a, shingles(text_a)
                 second = shingles(text_b)
                 common = len(np.intersect1d(first, second, assume_unique=True))
-                good.append(100 * common >= percent * (len(first) + len(second) - common))
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "good": good})
+                if 100 * common >= percent * (len(first) + len(second) - common):
+                    good.append((a, b))
+            yield pd.DataFrame(good, columns=["a", "b"], dtype="int64")
 
-    return both.mapInPandas(run, "a long, b long, good boolean")
+    return both.mapInPandas(run, "a long, b long")
 
 
-def _across(members: DataFrame, setting: Setting, best: bool) -> DataFrame:
-    """Pairs of different components in a bucket that pass size rule and estimate and are untried.
+def _links_across(members: DataFrame, setting: Setting) -> DataFrame:
+    """Verified links (a, b) between different components of a bucket, enough to join all that are linked.
 
-    members: (bucket, id, component, blocks, n_shingles, sketch, tried). A bucket of more than one
-    block is dealt out as pairs of blocks. With ``best``, a member outside the bucket's largest
-    component (as far as the block shows) gives its most similar partner only.
+    members: (bucket, id, component, blocks, n_shingles, sketch, hashes). A bucket of more than one
+    block is dealt out as pairs of blocks. Members outside the largest component look at all
+    others that pass size rule and estimate and are not joined to them yet.
     """
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
     dealt = members.withColumn("own", block).withColumn("other", other)
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    dealt = dealt.select("bucket", "i", "j", "own", "id", "component", "n_shingles", "sketch", "tried")
+    dealt = dealt.select("bucket", "i", "j", "own", "id", "component", "n_shingles", "sketch", "hashes")
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
     registers, least, percent = setting.registers, setting.percent / 100 - setting.margin, setting.percent
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        ids, parts, n, own = (group[c].to_numpy() for c in ("id", "component", "n_shingles", "own"))
+        ids, n, own = (group[c].to_numpy() for c in ("id", "n_shingles", "own"))
         wide = np.frombuffer(b"".join(group["sketch"]), dtype=">u2").reshape(-1, registers).astype(np.uint16)
+        sets = [np.frombuffer(h, dtype=np.uint64) for h in group["hashes"]]
         mixed = group["i"].iloc[0] != group["j"].iloc[0]
-        names, place, sizes = np.unique(parts, return_inverse=True, return_counts=True)
-        # the largest component's members need not look: the others look at them
-        looking = np.flatnonzero(place != np.argmax(sizes)) if len(names) > 1 else []
+        _, part, sizes = np.unique(group["component"].to_numpy(), return_inverse=True, return_counts=True)
         found = []
-        for x, tried in zip(looking, group["tried"].iloc[looking], strict=True):
+        for x in np.flatnonzero(part != np.argmax(sizes)):
             small, large = np.minimum(n[x], n), np.maximum(n[x], n)
-            near = (parts != parts[x]) & (100 * small >= percent * large)
+            near = (part != part[x]) & (100 * small >= percent * large)
             if mixed:
                 near &= own != own[x]
-            if tried is not None and len(tried):
-                near &= ~np.isin(ids, tried)
             rest = np.flatnonzero(near)
-            if len(rest):
-                e = estimates(wide[rest], wide[x][None, :], n[rest], np.full(len(rest), n[x]))
-                good = rest[e >= least]
-                if best and len(good):
-                    good = rest[[np.argmax(e)]]
-                found += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in good]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64").drop_duplicates()
+            if not len(rest):
+                continue
+            e = estimates(wide[rest], wide[x][None, :], n[rest], np.full(len(rest), n[x]))
+            for y in rest[np.argsort(-e)][: int((e >= least).sum())]:  # most similar first
+                if part[y] != part[x]:
+                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * common >= percent * (n[x] + n[y] - common):
+                        found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                        part[part == part[y]] = part[x]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
@@ -219,6 +219,16 @@ def _across(members: DataFrame, setting: Setting, best: bool) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
+def _hashed(texts: DataFrame) -> DataFrame:
+    """(id, hashes): the full shingle sets, sorted, as bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "hashes": [shingles(t).tobytes() for t in batch["text"]]})
+
+    return texts.mapInPandas(run, "id long, hashes binary")
+
+
 def linked(docs: DataFrame, setting: Setting = Setting(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``.
 
@@ -244,31 +254,27 @@ def linked(docs: DataFrame, setting: Setting = Setting(), key: str = "doc_id", t
     texts = docs.select(F.col(key).cast("long").alias("id"), whole_text(text).alias("text"))
     texts = stage(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi"), "texts")
     star = held.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    tried = stage(_verified(_estimated(star, heads, setting), texts, setting), "links")
-
-    def parts() -> DataFrame:
-        return components(tried.filter("good").select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    found = parts()
-    narrow = held.filter("size > 2").select("bucket", "id", "leader", F.ceil(F.col("size") / setting.block).alias("blocks"))
-    for turn in range(setting.turns + 1):
-        last = turn == setting.turns
-        labelled = narrow.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
-        # the leader has met everyone already
-        open_rows = labelled.join(split.select("bucket"), "bucket", "left_semi").filter("id <> leader").drop("leader")
-        met = tried.select(F.col("a").alias("id"), F.col("b").alias("x")).unionByName(tried.select(F.col("b").alias("id"), F.col("a").alias("x")))
-        open_ids = open_rows.select("id").distinct()
-        met = met.join(open_ids, "id", "left_semi").groupBy("id").agg(F.collect_list("x").alias("tried"))
-        pairs = stage(_across(open_rows.join(heads, "id").join(met, "id", "left"), setting, best=not last), "pairs")
-        if pairs.isEmpty():
-            break
-        new = stage(_verified(pairs, texts, setting), "links")
-        tried = tried.unionByName(new)
-        if not new.filter("good").isEmpty():
-            found = parts()
-        elif last:
-            break
+    links = stage(_verified(_estimated(star, heads, setting), texts, setting), "links")
+    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    blocks = F.ceil(F.col("size") / setting.block).alias("blocks")
+    narrow = held.filter("size > 2 AND id <> leader").select("bucket", "id", blocks)  # the leader has met everyone already
+    labelled = narrow.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # buckets of the same members need one look
+    members = F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members")
+    open_buckets = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), members, F.count("*").alias("n"))
+    open_buckets = open_buckets.filter("least <> most").groupBy("members", "n").agg(F.min("bucket").alias("bucket"))
+    open_rows = stage(labelled.join(open_buckets.select("bucket"), "bucket", "left_semi"), "open")
+    if not open_rows.isEmpty():
+        sets = _hashed(texts.join(open_rows.select("id").distinct(), "id", "left_semi"))
+        more = stage(_links_across(open_rows.join(heads, "id").join(sets, "id"), setting), "links")
+        # the components that they join are few, so only these are contracted further
+        to = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+        joined = more.join(to("a"), "a", "left").join(to("b"), "b", "left")
+        joined = joined.select(F.coalesce("c_a", "a").alias("u"), F.coalesce("c_b", "b").alias("v"))
+        over = components(joined).withColumnRenamed("component", "top")
+        own = found.unionByName(joined.select(F.explode(F.array("u", "v")).alias("node")).select("node", F.col("node").alias("component"))).distinct()
+        found = own.join(over.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
 
     # every row finds its class, and the class its component
     named = classes.join(found.withColumnRenamed("node", "first"), "first", "left")
