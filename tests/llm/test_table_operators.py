@@ -323,4 +323,4 @@ def test_pipeline(spark, data):
     assert len(mixed) == sum(n for s in mixed_by_force(rows, mixing.Target()).values() for n in s.values())
     assert set(mixed["doc_id"]) == want
     last = corpus_pipeline.STAGES[-1][1](spark, docs, data)
-    assert last.count() == len(mixed) == corpus_pipeline.run(spark, data).count()
+    assert last.count() == len(mixed)
