@@ -69,7 +69,10 @@ class Hashes:
         letters = np.random.default_rng(11).integers(1, 2**63, 256, dtype=U) | U(1)
         self.inverse = powers(INVERSE, len(data) + 1)
         self.prefix = np.zeros(len(data) + 1, dtype=U)
-        np.cumsum(letters[data] * powers(BASE, len(data))[: len(data)], out=self.prefix[1:])
+        self.prefix[1:] = powers(BASE, len(data))[: len(data)]
+        for at in range(0, len(data), 1 << 18):  # in place, so that a large buffer needs no more arrays
+            self.prefix[at + 1 : at + 1 + (1 << 18)] *= letters[data[at : at + (1 << 18)]]
+        np.cumsum(self.prefix, out=self.prefix)
 
     def of(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
         return (self.prefix[start + size] - self.prefix[start]) * self.inverse[start]
@@ -129,9 +132,9 @@ def merge_sorted(hashes: Hashes, data: np.ndarray, starts: np.ndarray, bucket: n
     return order
 
 
-def gram_hashes(hashes: Hashes, n: int, setting: Setting) -> np.ndarray:
-    """Hash of the gram at each place, mixed so that its order says nothing about the text."""
-    g = hashes.of(np.arange(max(0, n - setting.gram + 1)), setting.gram)
+def gram_hashes(hashes: Hashes, begin: int, end: int, setting: Setting) -> np.ndarray:
+    """Hash of the gram at each place of data[begin:end], mixed so that its order says nothing about the text."""
+    g = hashes.of(np.arange(begin, max(begin, end - setting.gram + 1)), setting.gram)
     g = (g ^ (g >> U(31))) * U(0xBF58476D1CE4E5B9)
     return g ^ (g >> U(29))
 
@@ -170,7 +173,7 @@ def segments(texts: list[bytes], setting: Setting) -> Iterator[tuple[np.ndarray,
     """(text, first start, last start, smallest hash, hash of the whole segment, whether it holds its gram twice) of all segments."""
     for buffer, pieces in chunks(texts, setting):
         data = np.frombuffer(buffer, dtype=np.uint8)
-        grams = gram_hashes(Hashes(data), len(data), setting)
+        grams = gram_hashes(Hashes(data), 0, len(data), setting)
         least = least_in_windows(grams, setting.window)
         number, offset, place, size = (np.array(x, dtype=np.int64) for x in zip(*pieces, strict=True))
         count = size - setting.length + 1  # starts of each piece
@@ -217,30 +220,37 @@ def repeated_in_block(block: pd.DataFrame, setting: Setting) -> pd.DataFrame:
     starts = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + place[row]
     # where the hashed gram stands in each string
     least = block["least"].to_numpy()
-    g = gram_hashes(hashes, len(data), setting).view(np.int64)
-    grams = np.flatnonzero(g == np.repeat(least, sizes)[: len(g)])
+    grams = []
+    for at in range(0, len(data), 1 << 18):
+        g = gram_hashes(hashes, at, min(len(data), at + (1 << 18) + setting.gram - 1), setting).view(np.int64)
+        own = np.searchsorted(place, np.arange(at, at + len(g)), side="right") - 1
+        grams.append(at + np.flatnonzero(g == least[own]))
+    grams = np.concatenate(grams)
     shift = grams[np.searchsorted(grams, starts)] - starts
-    group = block.groupby(["least", "part"], sort=False).ngroup().to_numpy()[row]
-    bucket = group * setting.length + shift
-    by = np.argsort(bucket, kind="stable")
-    starts, row, bucket = starts[by], row[by], bucket[by]
-    order = merge_sorted(hashes, data, starts, bucket, setting.length)
-    starts, row, bucket = starts[order], row[order], bucket[order]
-
-    near = np.flatnonzero(bucket[1:] == bucket[:-1])
-    near = near[hashes.common(starts[near], starts[near + 1], setting.length) >= setting.length]
-    equal = np.zeros(len(starts), dtype=bool)  # to the one before
-    for at in range(0, len(near), 1 << 14):  # a hash may collide, so bytes decide
-        some = near[at : at + (1 << 14)]
-        x, y = (np.lib.stride_tricks.sliding_window_view(data, setting.length)[starts[some + i]] for i in (0, 1))
-        equal[some + 1] = (x == y).all(axis=1)
-    again = equal | np.append(equal[1:], False)
+    group = block.groupby(["least", "part"], sort=False).ngroup().to_numpy()
+    # strings of different shifts never meet, so a large block is sorted in turns of bounded size
+    turns = -(-len(starts) // SUFFIXES)
+    equal = np.zeros(len(starts), dtype=bool)  # to one before it in its bucket
+    again = np.zeros(len(starts), dtype=bool)
+    for turn in range(turns):
+        at = np.flatnonzero(shift % turns == turn)
+        bucket = group[row[at]] * setting.length + shift[at]
+        by = np.argsort(bucket, kind="stable")
+        at, bucket = at[by], bucket[by]
+        order = merge_sorted(hashes, data, starts[at], bucket, setting.length)
+        at, bucket = at[order], bucket[order]
+        near = np.flatnonzero(bucket[1:] == bucket[:-1])
+        near = near[hashes.common(starts[at[near]], starts[at[near + 1]], setting.length) >= setting.length]
+        for i in range(0, len(near), 1 << 13):  # a hash may collide, so bytes decide
+            x, y = at[near[i : i + (1 << 13)]], at[near[i : i + (1 << 13)] + 1]
+            wide = np.lib.stride_tricks.sliding_window_view(data, setting.length)
+            same = (wide[starts[x]] == wide[starts[y]]).all(axis=1)
+            equal[y[same]] = again[y[same]] = again[x[same]] = True
 
     docs, tags, firsts, parts = (block[c].to_numpy() for c in ("doc", "tag", "first", "parts"))
     own = firsts[row] + starts - place[row]  # place in the text
     # repeated starts as ranges of each row
     hit = np.flatnonzero(again)
-    hit = hit[np.lexsort((own[hit], row[hit]))]
     turn = np.flatnonzero((np.diff(own[hit], prepend=-5) != 1) | (np.diff(row[hit], prepend=-1) != 0))
     end = np.append(turn[1:], len(hit)) - 1
     a, b = hit[turn], hit[end] if len(hit) else hit[turn]
@@ -263,27 +273,33 @@ def repeated_in_block(block: pd.DataFrame, setting: Setting) -> pd.DataFrame:
 
 
 ROWS = "kind int, doc long, tag int, first long, last long, d1 long, d2 long"
-BLOCK = 1 << 21  # bytes of segments that are sorted together, if the groups are small
+BLOCK = 1 << 20  # bytes of segments that are sorted together, if the groups are small
+SUFFIXES = 1 << 18  # suffixes that are sorted at a time
 
 
 def _blocks(batches: Iterator[pd.DataFrame], setting: Setting) -> Iterator[pd.DataFrame]:
     """Whole groups (least, part) of a sorted partition, as many as fill a block."""
-    held: list[pd.DataFrame] = []
-    size = 0
+
+    def cut(rows: pd.DataFrame, rest: bool) -> tuple[list[pd.DataFrame], pd.DataFrame]:
+        new = rows[["least", "part"]].ne(rows[["least", "part"]].shift()).any(axis=1).to_numpy()
+        starts = np.append(np.flatnonzero(new), len(rows))
+        ends = np.cumsum(rows["body"].map(len).to_numpy())
+        done, first = [], 0
+        for x, y in zip(starts, starts[1:], strict=False):
+            if y == len(rows) and not rest:
+                break  # the last group may go on
+            if ends[y - 1] - (ends[first - 1] if first else 0) >= BLOCK or y == len(rows):
+                done.append(rows.iloc[first:y])
+                first = y
+        return done, rows.iloc[first:]
+
+    kept = None
     for batch in batches:
-        held.append(batch)
-        size += batch["body"].map(len).sum()
-        if size < BLOCK:
-            continue
-        rows = pd.concat(held, ignore_index=True)
-        last = rows.iloc[-1]
-        open_group = ((rows["least"] == last["least"]) & (rows["part"] == last["part"])).to_numpy()
-        if not open_group.all():
-            yield rows[~open_group]
-            rows = rows[open_group]
-        held, size = [rows], rows["body"].map(len).sum()
-    if held and sum(map(len, held)):
-        yield pd.concat(held, ignore_index=True)
+        kept = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+        done, kept = cut(kept, False)
+        yield from done
+    if kept is not None and len(kept):
+        yield from cut(kept, True)[0]
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
