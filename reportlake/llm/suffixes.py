@@ -318,7 +318,8 @@ def repeated_starts(docs: DataFrame, setting: Setting = Setting(), key: str = "d
             for number, first, last, least, whole, twice in segments(batch["raw"].tolist(), setting):
                 yield pd.DataFrame({"doc": docs[number], "tag": tags[number], "first": first, "last": last, "least": least, "whole": whole, "twice": twice})
 
-    found = rows.mapInPandas(cut, "doc long, tag int, first int, last int, least long, whole long, twice boolean")
+    # written once, as segments are both counted and joined
+    found = stage(rows.mapInPandas(cut, "doc long, tag int, first int, last int, least long, whole long, twice boolean"), "cut")
     shared = found.groupBy("least").agg(F.count("*").alias("total"), F.max("twice").alias("any")).filter("total > 1 OR any").select("least")
     held = stage(found.join(shared, "least"), "segments")
     copies = held.groupBy("least", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "tag", "first", "last", "twice")).alias("one"))
