@@ -5,17 +5,20 @@ against the pooled histogram of all documents of the same language by the Jensen
 distance (square root of the divergence in bits, 0 to 1). A document too short for a
 histogram to mean anything is judged by neither: that is the minimum-length guard.
 
-References are counts over the whole corpus: classes are summed per language, words counted per
-language and the ``common_words`` most frequent kept. A language with under ``min_share`` of the
-characters has no reference of its own and is compared with the whole corpus, so there are at
-most ``1 / min_share`` references, whatever the column holds, and they travel with the task.
+References are counts over all documents of a language, whatever its share of the corpus: classes
+are summed, words counted and the ``common_words`` most frequent kept. They are a table that is
+joined to the documents by language. A language with under ``least_chars`` characters has no class
+reference and one with under ``least_words`` words no word reference: its documents are not judged
+by that histogram, and never by another language's. A document without a language claims none and
+is judged by neither.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -68,22 +71,45 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float:
     return min(1.0, max(0.0, gap)) ** 0.5
 
 
+def unpacked(reference: str) -> tuple[np.ndarray, dict[bytes, int] | None, np.ndarray]:
+    """Class counts, places of the common words (None without a word reference) and their counts, all other words last."""
+    classes, all_words, *listed = reference.split("\n")
+    words = [w.encode("utf-8") for w in listed[0::2]]
+    common = np.array(listed[1::2], dtype=np.int64)
+    places = {w: i for i, w in enumerate(words)} if all_words else None
+    return np.array(classes.split(), dtype=np.int64), places, np.append(common, int(all_words or 0) - common.sum())
+
+
 @dataclass
 class References:
-    """Per language: class counts, and counts of the common words with all others in the last place."""
+    """``table``: (lang, reference), one row per language that has one; ``everything``: the same of the whole corpus.
+
+    The dictionaries are for looking at and are collected when asked for; jobs only join ``table``.
+    """
 
-    classes: dict[str, np.ndarray] = field(default_factory=dict)
-    words: dict[str, tuple[dict[bytes, int], np.ndarray]] = field(default_factory=dict)
+    table: DataFrame
+    everything: DataFrame
 
-    def of(self, language: str | None) -> str:
-        return language if language in self.classes else ALL
+    @cached_property
+    def _unpacked(self) -> dict[str, tuple]:
+        rows = [(ALL, r.reference) for r in self.everything.collect()] + [(r.lang, r.reference) for r in self.table.collect()]
+        return {lang: unpacked(reference) for lang, reference in rows}
+
+    @property
+    def classes(self) -> dict[str, np.ndarray]:
+        return {lang: x[0] for lang, x in self._unpacked.items() if x[0].sum()}
+
+    @property
+    def words(self) -> dict[str, tuple[dict[bytes, int], np.ndarray]]:
+        return {lang: x[1:] for lang, x in self._unpacked.items() if x[1] is not None}
 
 
 def _partial_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Word and class counts of a task, emitted whenever many words have come together."""
     table = _class_table()
-    words: dict[str, Counter] = {}
-    classes: dict[str, np.ndarray] = {}
+    words: dict[str | None, Counter] = {}
+    classes: dict[str | None, np.ndarray] = {}
+    held = 0
 
     def flush() -> pd.DataFrame:
         rows = [(lang, 1, w.decode("utf-8", "replace"), n) for lang, counted in words.items() for w, n in counted.items()]
@@ -95,49 +121,52 @@ def _partial_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for text, lang in zip(batch["text"], batch["lang"], strict=True):
             raw = text.encode("utf-8")
-            lang = ALL if lang is None else lang
             found = words.setdefault(lang, Counter())
+            before = len(found)
             found.update(raw.lower().split())
+            held += len(found) - before + (lang not in classes)
             classes[lang] = classes.get(lang, 0) + class_counts(raw, table)
-            if sum(map(len, words.values())) > FLUSH:
+            if held > FLUSH:
                 yield flush()
+                held = 0
     yield flush()
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang", common_words: int = 150, min_share: float = 0.005) -> References:
-    """Reference histograms of all documents, counted in one pass and pre-aggregated per task.
+def _packed(counts: DataFrame, common_words: int, least_chars: int, least_words: int) -> DataFrame:
+    """(lang, reference) of counts (lang, kind, item, n): lines of class counts, number of words, and common words with their counts."""
+    ranked = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
+    short = (F.col("kind") != 1) | (F.octet_length("item") <= LONGEST_COMMON_WORD)
+    kept = counts.filter(short).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= max(common_words, len(CLASSES)))
+    entry = F.struct("rank", F.concat_ws("\n", "item", F.col("n").cast("string")).alias("entry"))
+    classes = [F.coalesce(F.sum(F.when((F.col("kind") == 0) & (F.col("item") == str(i)), F.col("n"))), F.lit(0)) for i in range(len(CLASSES))]
+    found = kept.groupBy("lang").agg(
+        F.array(*classes).alias("classes"),
+        F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("all_words"),
+        F.array_sort(F.collect_list(F.when((F.col("kind") == 1) & (F.col("rank") <= common_words), entry))).alias("common"),
+    )
+    by_class = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x) >= least_chars
+    by_word = (F.col("all_words") >= least_words) & (F.size("common") > 0)
+    none = F.array_repeat(F.lit(0).cast("long"), len(CLASSES))
+    listed = F.concat(F.array(F.col("all_words").cast("string")), F.transform("common", lambda x: x["entry"]))
+    classes, listed = F.when(by_class, F.col("classes")).otherwise(none), F.when(by_word, listed).otherwise(F.array(F.lit("")))
+    packed = F.concat_ws("\n", F.array_join(classes.cast("array<string>"), " "), F.array_join(listed, "\n"))
+    return found.filter(by_class | by_word).select("lang", packed.alias("reference"))
+
 
-    Null texts count as empty, null languages only for the whole corpus. Of equally frequent
-    words the smaller one is taken. An empty table gives empty references, under which no
-    document diverges.
+def references(docs: DataFrame, text: str = "text", lang: str = "lang", common_words: int = 150, least_chars: int = 2000, least_words: int = 1000) -> References:
+    """Reference histograms of all languages, counted in one pass and pre-aggregated per task.
+
+    Null texts count as empty, null languages for none. Of equally frequent words the smaller
+    one is taken. Where too little of a language is there for a reference, or nothing at all, no
+    document of it diverges.
     """
     counts = docs.select(whole_text(text).alias("text"), F.col(lang).cast("string").alias("lang")).mapInPandas(
         _partial_counts, "lang string, kind int, item string, n long"
     )
-    counts = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    counts = stage(counts, "quality-counts")
-    chars = counts.filter("kind = 0").groupBy("lang").agg(F.sum("n").alias("chars"))
-    total = chars.agg(F.sum("chars")).first()[0] or 0
-    large = [r.lang for r in chars.filter((F.col("lang") != ALL) & (F.col("chars") >= min_share * total)).toLocalIterator()]
-    own = counts.filter(F.col("lang").isin(large)) if large else counts.limit(0)
-    both = counts.withColumn("lang", F.lit(ALL)).unionByName(own).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    ranked = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
-    short = (F.col("kind") != 1) | (F.octet_length("item") <= LONGEST_COMMON_WORD)
-    kept = both.filter(short).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= max(common_words, len(CLASSES)))
-    found = References()
-    words: dict[str, list[tuple[bytes, int]]] = {}
-    all_words: dict[str, int] = {}
-    for row in kept.orderBy("lang", "kind", "rank").toLocalIterator():
-        if row.kind == 0:
-            found.classes.setdefault(row.lang, np.zeros(len(CLASSES), dtype=np.int64))[int(row.item)] = row.n
-        elif row.kind == 1 and row.rank <= common_words:
-            words.setdefault(row.lang, []).append((row.item.encode("utf-8"), row.n))
-        elif row.kind == 2:
-            all_words[row.lang] = row.n
-    for language, listed in words.items():
-        common = np.array([n for _, n in listed], dtype=np.int64)
-        found.words[language] = ({w: i for i, (w, _) in enumerate(listed)}, np.append(common, all_words[language] - common.sum()))
-    return found
+    counts = stage(counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "quality-counts")
+    own = stage(_packed(counts.filter("lang IS NOT NULL"), common_words, least_chars, least_words), "quality-references")
+    pooled = counts.groupBy("kind", "item").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(ALL))
+    return References(own, _packed(pooled, common_words, 1, 1))
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -174,21 +203,22 @@ def measured(docs: DataFrame, refs: References, limits: Limits = Limits(), text:
     """``docs`` with the columns of ``MEASURES``; columns of those names are replaced.
 
     A null or empty text has no words, distance 0 and fails the base rules. Repeated rows are
-    each measured. A distance is 0 where the guard leaves it unjudged or no reference exists.
+    each measured. A distance is 0 where the guard leaves it unjudged or the language has no
+    reference.
     """
     table = _class_table()
 
-    def row(text: str, lang: str | None) -> tuple:
+    def row(text: str, reference: str | None, read: Callable) -> tuple:
         raw = text.encode("utf-8")
         words = raw.split()
         lines = [line for line in raw.split(b"\n") if line.strip()] if b"\n" in raw else []
         repeats = repeated_words(words)
         failed = len(words) < limits.least_words or 100 * repeats > limits.repeat_percent * len(words)
-        language, by_class, by_word = refs.of(lang), 0.0, 0.0
-        if len(text) >= limits.class_guard and language in refs.classes:
-            by_class = jensen_shannon(class_counts(raw, table), refs.classes[language])
-        if len(words) >= limits.word_guard and language in refs.words:
-            places, counts = refs.words[language]
+        classes, places, counts = (None, None, None) if reference is None else read(reference)
+        by_class = by_word = 0.0
+        if len(text) >= limits.class_guard and classes is not None:
+            by_class = jensen_shannon(class_counts(raw, table), classes)
+        if len(words) >= limits.word_guard and places is not None:
             other = len(counts) - 1
             at = [places.get(w, other) for w in raw.lower().split()]
             by_word = jensen_shannon(np.bincount(at, minlength=other + 1), counts)
@@ -200,12 +230,16 @@ def measured(docs: DataFrame, refs: References, limits: Limits = Limits(), text:
     @F.pandas_udf(MEASURES)
     def measure(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         names = [m.split()[0] for m in MEASURES.split(", ")]
-        for texts, langs in batches:
-            yield pd.DataFrame([row(t, x) for t, x in zip(texts, langs, strict=True)], columns=names)
+        read = lru_cache(64)(unpacked)  # most rows of a task are of a few languages
+        for texts, found in batches:
+            yield pd.DataFrame([row(t, x, read) for t, x in zip(texts, found, strict=True)], columns=names)
 
     names = [m.split()[0] for m in MEASURES.split(", ")]
     rest = [c for c in docs.columns if c.lower() not in names]
-    out = docs.select(*[F.col(f"`{c}`") for c in rest], measure(whole_text(text), F.col(lang).cast("string")).alias("__measured"))
+    # two plain column lists, so that a name of docs never meets one of the references; no hint, Spark joins by size
+    ours = docs.select(*[F.col(f"`{c}`") for c in rest], whole_text(text).alias("__text"), F.col(lang).cast("string").alias("__lang"))
+    theirs = refs.table.select(F.col("lang").alias("__lang"), F.col("reference").alias("__reference"))
+    out = ours.join(theirs, "__lang", "left").select(*[F.col(f"`{c}`") for c in rest], measure("__text", "__reference").alias("__measured"))
     return out.select(*[F.col(f"`{c}`") for c in rest], "__measured.*")
 
 

@@ -93,6 +93,32 @@ def test_quality_empty_and_clashing(spark):
     assert quality.measured(one, quality.references(one)).columns.count("kept") == 1
 
 
+def prose_of(rng, letters, n):
+    common = ["".join(rng.choice(letters) for _ in range(3)) for _ in range(6)]
+    return [" ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choice(letters) for _ in range(6)) for _ in range(120)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("english", [10, 4000])
+def test_quality_rare_language_has_its_own_reference(spark, english):
+    """A verdict depends on the language alone, not on its share, which is far under and over 0.5 % here."""
+    rng = random.Random(8)
+    greek, few = prose_of(rng, "αβγδεικλνορστ", 20), prose_of(rng, "абвгдеиклмно", 1)
+    junk = [" ".join(f"#$%&{i}" for i in range(100))]
+    prose = prose_of(rng, "aeionrst", 10)
+    texts = [(t, "el") for t in greek + junk] + [(few[0], "ru"), (greek[0], None), (greek[0], "*")]
+    texts += [(prose[i % 10], "en") for i in range(english)]
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    refs = quality.references(docs)
+    rows = {r.doc_id: r for r in quality.measured(docs, refs).filter("lang IS NULL OR lang != 'en'").collect()}
+    assert len(rows) == 24 and not rows[20].kept and all(rows[i].kept for i in rows if i != 20)
+    assert all((rows[i].class_distance, rows[i].word_distance) == (0, 0) for i in (21, 22, 23))  # too little text or no language
+    # the distances are those of the language's documents alone
+    table, joined = quality._class_table(), "\n".join(t for t, lang in texts if lang == "el").encode()
+    pooled = quality.class_counts(joined, table) - quality.class_counts(b"\n" * 20, table)
+    assert all(rows[i].class_distance == quality.jensen_shannon(quality.class_counts(texts[i][0].encode(), table), pooled) for i in range(21))
+    assert sorted(quality.keep_good(docs.filter("lang != 'en' OR lang IS NULL")).toPandas()["doc_id"]) == [i for i in range(24) if i != 20]
+
+
 # near-duplicates
 
 
