@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -13,6 +14,7 @@ import pytest
 import corpus_pipeline
 from reportlake.llm import ledger, licenses, mixing, urls, warc
 from reportlake.llm.components import components
+from reportlake.llm.queries import QUERIES
 
 HEX40 = "0123456789abcdef0123456789abcdef01234567"
 SECRETS = [
@@ -244,6 +246,26 @@ def test_licences(spark, data):
     assert licenses.licensed(docs.limit(0)).count() == 0
 
 
+def labels_by_force(text):
+    words, found = licenses.words_of(text or ""), set()
+    for t in [*licenses.BASE, *licenses.NOTICES]:
+        for start in range(-len(t.words), len(words)):
+            same = {p for p, w in enumerate(t.words) if 0 <= start + p < len(words) and words[start + p] == w}
+            if all(p in same for p in range(len(t.words)) if t.must >> p & 1) and len(same) >= licenses.SHARE * len(t.words):
+                found.add((t.label, len(same) / len(t.words)))
+    return ",".join(sorted({label for label, _ in found})), max((share for _, share in found), default=0.0)
+
+
+def test_query_loses_no_notice_of_a_text(spark, tmp_path):
+    """Texts of several notices, which the eight rarest words do not reach, through the registered query."""
+    texts = [" and ".join(t.text for t in pair) for pair in itertools.combinations(licenses.NOTICES, 2)]
+    texts += ["\n".join(t.text for t in licenses.NOTICES), f"{' '.join(licenses.vocabulary(licenses.NOTICES))} {licenses.NOTICES[6].text}", "no notice", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.labels, r.score) for r in QUERIES["op4_rare_token_index"](spark, str(tmp_path)).collect()}
+    assert got == {i: labels_by_force(t) for i, t in enumerate(texts)}
+    assert {t.label for t in licenses.NOTICES} <= set(got[45][0].split(",")) and "mit" in got[46][0].split(",")
+
+
 # urls
 
 
