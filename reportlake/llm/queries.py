@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import bpe, ledger, licenses, mixing, neardup, ogg, quality, suffixes, urls, warc
+from reportlake.llm import bpe, collocations, ledger, licenses, mixing, neardup, ogg, quality, suffixes, urls, warc
 from reportlake.session import table
 
 TOKENIZER = Path("/opt/tokenizers/byte_bpe_50k.json")  # a parameter of the operator; read where the query is planned
@@ -84,3 +84,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @register("op8_hash_compared_suffix_sort")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.deduplicated(table(spark, folder, "documents"))
+
+
+@register("op12_hat_trie_collocations", collocations.oracle())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
