@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import bpe, collocations, ledger, licenses, mixing, neardup, ogg, quality, suffixes, urls, warc
+from reportlake.llm import bpe, collocations, ledger, licenses, mixing, neardup, negatives, ogg, quality, suffixes, urls, warc
 from reportlake.session import table
 
 TOKENIZER = Path("/opt/tokenizers/byte_bpe_50k.json")  # a parameter of the operator; read where the query is planned
@@ -89,3 +89,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @register("op12_hat_trie_collocations", collocations.oracle())
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
+
+
+@register("op13_inverted_multi_index_negatives", negatives.oracle())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return negatives.hard_negatives(table(spark, folder, "embeddings"), label=label)

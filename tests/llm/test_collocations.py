@@ -49,9 +49,9 @@ def result(df):
     return {(r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in df.collect()}
 
 
-def texts(seed, n=60):
+def texts(seed, n=120):
     rng = random.Random(seed)
-    words = [f"W{i}" for i in range(12)] + ["é", "日本", "a\x00b", "x" * 500, "\x1c"]
+    words = [f"W{i}" for i in range(4)] + ["é", "日本", "a\x00b", "\x1c", "x" * 500]
     out = []
     for i in range(n):
         body = "".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\t", " ", ", ", "\n", "\x0b"]) for _ in range(rng.randrange(0, 120)))
