@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import bpe, collocations, ledger, licenses, mixing, neardup, negatives, ogg, quality, suffixes, urls, warc
+from reportlake.llm import bpe, collocations, ledger, licenses, mixing, neardup, negatives, ogg, packing, quality, suffixes, urls, warc
 from reportlake.session import table
 
-TOKENIZER = Path("/opt/tokenizers/byte_bpe_50k.json")  # a parameter of the operator; read where the query is planned
+TOKENIZER = Path(public_tokenizers.path("byte_bpe_50k.json"))  # a parameter of the operator; read where the query is planned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +96,8 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
     return negatives.hard_negatives(table(spark, folder, "embeddings"), label=label)
+
+
+@register("op11_karmarkar_karp_packing")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"), bpe.read_definition(str(TOKENIZER))).drop("ids")
