@@ -9,18 +9,48 @@ from reportlake.functions.text import digest, digest_int
 from reportlake.plans.ordinals import by_digest
 
 
+# Constants of the swaps: any odd multipliers below the modulus, a prime, will do.
+PRIME, KEY_STEP, MIX, SECOND_MIX, SWAPS = 2147483647, 1103515245, 48271, 69621, 12
+
+
+def permuted_place(place: Column, size: Column, keys: Column) -> Column:
+    """The place's image under a keyed permutation of ``0 .. size - 1``, in integer arithmetic.
+
+    Swap-or-not rounds: a round's key pairs each place with one partner, and a bit that both share decides
+    whether they trade. So it is a permutation of any size, without a power of two to walk out of; one
+    image costs the same however many places there are.
+    """
+
+    def swap(x: Column, key: Column) -> Column:
+        partner = (key % size + size - x) % size
+        mixed = ((F.greatest(x, partner) % PRIME * MIX + key) % PRIME * SECOND_MIX) % PRIME
+        return F.when(F.shiftright(mixed, 16) % 2 == 1, partner).otherwise(x)
+
+    return F.aggregate(keys, place.cast("bigint"), swap)
+
+
+def swap_keys(key: Column | str, seed: int | str = 42) -> Column:
+    """The keys of a row's permutation; one digest for a row."""
+    base = digest_int(seed, key) % PRIME
+    return F.transform(F.sequence(F.lit(1), F.lit(SWAPS)), lambda r: (base * KEY_STEP % PRIME + r.cast("bigint") * r * MIX) % PRIME)
+
+
 def sample_items(items: Column | str, rate: float, key: str, seed: int | str = 42) -> Column:
-    """``max(1, floor(rate * n))`` items of a list, without replacement.
+    """``max(1, floor(rate * n))`` items of a list, without replacement; none of an empty list.
 
-    Ordered by digest. Works inside the row: no shuffle however many rows.
+    Only the wanted positions are computed, as images of the first ones under a permutation that the row's
+    key decides. Inside the row: nothing is sorted, digested or shuffled per item.
     """
     items = F.col(items) if isinstance(items, str) else items
-    keyed = F.transform(
-        items,
-        lambda x, i: F.struct(digest(seed, F.col(key), i).alias("d"), i.alias("i"), x.alias("x")),
-    )
     k = F.greatest(F.lit(1), F.floor(F.lit(rate) * F.size(items)).cast("int"))
-    return F.transform(F.slice(F.array_sort(keyed), F.lit(1), k), lambda s: s["x"])
+    bound = F.array(F.struct(items.alias("x"), F.size(items).cast("bigint").alias("n"), k.alias("k"), swap_keys(key, seed).alias("keys")))
+
+    def drawn(row: Column) -> Column:
+        places = F.sequence(F.lit(0), row["k"] - 1)
+        return F.transform(places, lambda i: F.get(row["x"], permuted_place(i, row["n"], row["keys"]).cast("int")))
+
+    empty = F.slice(items, F.lit(1), F.lit(0))
+    return F.when(F.size(items) > 0, F.get(F.transform(bound, drawn), 0)).when(items.isNotNull(), empty)
 
 
 def k_fold(group: Column | str, folds: int, seed: int | str = 42) -> Column:

@@ -134,4 +134,5 @@ def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    """The documents, dealt to all cores: the given file is one row group, which a scan cannot cut."""
+    return table(spark, folder, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id")
