@@ -8,10 +8,12 @@ quarantine column.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 
 from reportlake.operators.columns import looks_like_image
 from reportlake.operators.joins import missing, split_heavy
+from reportlake.plans.ordinals import by_digest
+from reportlake.session import stage
 from reportlake.sources.files import files, has_suffix
 
 IMAGE_SCHEMA = "path string, height int, width int, n_channels int, mode int, data binary, error string"
@@ -354,18 +358,13 @@ def decode_png(found: DataFrame, then: Callable[[np.ndarray], np.ndarray] | None
     return _mapped(found, ["path", "content"], lambda r: step(read_png(r.content)))
 
 
-def decode_8bit(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """P16 with Spark's own decoder (PNG, JPEG, 8 bits); bad files keep height -1.
+def decode_8bit(spark: SparkSession, root: str | list[str], glob: str = "*") -> DataFrame:
+    """P16 with Spark's own decoder (PNG, JPEG, 8 bits) over a folder or a list of files; bad files keep height -1.
 
     The source gives BGR; channels are put in RGB order by :func:`prepare`.
     """
-    df = (
-        spark.read.format("image")
-        .option("dropInvalid", "false")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(root)
-    )
+    reader = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", glob)
+    df = reader.load(root) if isinstance(root, list) else reader.option("recursiveFileLookup", "true").load(root)
     bad = F.col("image.height") < 0
     return df.select(
         # named as ``binaryFile`` names it: one slash after the scheme, no percent signs
@@ -414,42 +413,82 @@ def without_finished_folders(found: DataFrame, finished: DataFrame) -> DataFrame
     return split_heavy(listed, done, ["_folder"], "left_anti", keys=listed.select("_folder")).drop("_folder")
 
 
-def prepare_folder(
-    spark: SparkSession, root: str, preset: str, size: int = 512, finished: DataFrame | None = None
-) -> DataFrame:
-    """List, skip what is finished, check cheaply, decode, prepare.
+LIST_FILES = 20_000  # files of a list, whose paths the driver holds
+LIST_BYTES = 8 << 30
+
+
+def planned_lists(found: DataFrame, most_files: int = LIST_FILES, most_bytes: int = LIST_BYTES) -> DataFrame:
+    """(path, length) with ``list``: lists of files bounded by number and by bytes.
 
-    ``finished`` has the paths with an output. Paths are compared before any
-    content is read.
+    A file weighs its bytes, or the share that makes ``most_files`` fill a list, so one running
+    total over the listing bounds both; a list passes the bytes by less than its last file.
     """
+    weight = F.greatest(F.col("length"), F.lit(-(-most_bytes // most_files)))
+    summed = by_digest(found, "path", "lists", weight=weight, name="_before")
+    return summed.withColumn("list", F.floor(F.col("_before") / F.lit(most_bytes)).cast("int")).drop("_before")
+
+
+def literal_path(path: str) -> str:
+    """A path for ``load``, which would take some characters for a pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def wanted_files(spark: SparkSession, root: str, preset: str, finished: DataFrame | None = None) -> DataFrame:
+    """(path, length) of a preset's files that have no output yet; no content is read."""
     steps = PRESETS[preset]
-    found = files(spark, root, recursive=steps.recursive)
+    found = files(spark, root, recursive=steps.recursive, content=False)
     found = found.filter(has_suffix(F.col("path"), list(steps.suffixes)))
     if finished is not None and steps.skip_finished == "file":
         found = missing(found, finished.select("path"), "path")
     if finished is not None and steps.skip_finished == "folder":
         found = without_finished_folders(found, finished)
-    plausible = looks_like_image("content", F.col("length"))
-    bad = found.filter(~plausible).select(
-        "path",
-        *[F.lit(-1).alias(c) for c in ("height", "width", "n_channels", "mode")],
-        F.lit(None).cast("binary").alias("data"),
-        F.lit("not an image file").alias("error"),
-    )
-    good = found.filter(plausible)
-    png = F.lower("path").endswith(".png")
-    done = decode_png(good.filter(png), lambda a: prepared(a, steps, size))
-    if set(steps.suffixes) - {"png"}:
-        # Spark's decoder reads files, not columns; any case of the suffix, and a row for each wanted file
-        wanted = good.filter(~png).select("path")
-        jpeg = decode_8bit(spark, root, "*.[jJ][pP]{[gG],[eE][gG]}")
-        read = wanted.join(jpeg, "path", "left")
-        lost = F.col("height").isNull()
-        read = read.select(
-            "path",
-            *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("height", "width", "n_channels", "mode")],
-            "data",
-            F.when(lost, F.lit("cannot decode image file")).otherwise(F.col("error")).alias("error"),
+    return found
+
+
+def prepared_list(spark: SparkSession, paths: list[str], preset: str, size: int = 512) -> DataFrame:
+    """I7 over a list of files: PNG by content, the rest by Spark's decoder; nothing else is opened."""
+    steps, parts = PRESETS[preset], []
+    png = [literal_path(p) for p in paths if p.lower().endswith(".png")]
+    other = [literal_path(p) for p in paths if not p.lower().endswith(".png")]
+    if png:
+        found = spark.read.format("binaryFile").load(png)
+        plausible = looks_like_image("content", F.col("length"))
+        parts.append(decode_png(found.filter(plausible), lambda a: prepared(a, steps, size)))
+        parts.append(
+            found.filter(~plausible).select(
+                "path",
+                *[F.lit(-1).alias(c) for c in ("height", "width", "n_channels", "mode")],
+                F.lit(None).cast("binary").alias("data"),
+                F.lit("not an image file").alias("error"),
+            )
         )
-        done = done.unionByName(prepare(read, preset, size, bgr=True))
-    return done.unionByName(bad)
+    if other:
+        parts.append(prepare(decode_8bit(spark, other), preset, size, bgr=True))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def prepared_lists(
+    spark: SparkSession, root: str, preset: str, size: int = 512, finished: DataFrame | None = None,
+    most_files: int = LIST_FILES, most_bytes: int = LIST_BYTES,
+) -> Iterator[DataFrame]:
+    """List without content, skip what is finished, plan bounded lists, then decode list by list.
+
+    Write each as it comes: a run cut short goes on with what is not finished.
+    """
+    planned = stage(planned_lists(wanted_files(spark, root, preset, finished), most_files, most_bytes), "lists")
+    last = planned.agg(F.max("list").alias("n")).first().n
+    for number in range(0 if last is None else last + 1):
+        paths = [r.path for r in planned.filter(F.col("list") == number).select("path").collect()]
+        if paths:
+            yield prepared_list(spark, sorted(paths), preset, size)
+
+
+def prepare_folder(
+    spark: SparkSession, root: str, preset: str, size: int = 512, finished: DataFrame | None = None, **bounds: int
+) -> DataFrame:
+    """The lists of :func:`prepared_lists` as one table, for folders of few lists.
+
+    ``finished`` has the paths with an output; such files are not opened, whatever their kind.
+    """
+    parts = list(prepared_lists(spark, root, preset, size, finished, **bounds))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], IMAGE_SCHEMA)

@@ -8,12 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.operators import images as I
 from reportlake.operators.joins import missing
-from reportlake.session import table
+from reportlake.session import scratch, table
 from reportlake.workloads.base import register
 
 
@@ -222,3 +223,65 @@ def p16(spark, folder):
 @register("p16_quarantine", "SELECT CAST(vec_id AS VARCHAR) AS path FROM embeddings WHERE vec_id % 5 = 0")
 def p16_bad(spark, folder):
     return I.quarantined(I.decode_png(png_files(spark, folder))).select("path")
+
+
+SIDES = [(8, 8), (12, 9), (5, 16)]
+
+
+def jpeg_files(spark) -> list[bytes]:
+    """One JPEG of each shape, made by the JVM's own encoder."""
+    jvm, out = spark._jvm, []
+    for height, width in SIDES:
+        image = jvm.java.awt.image.BufferedImage(width, height, jvm.java.awt.image.BufferedImage.TYPE_BYTE_GRAY)
+        for y in range(height):
+            for x in range(width):
+                image.getRaster().setSample(x, y, 0, (37 * x + 11 * y) % 256)
+        stream = jvm.java.io.ByteArrayOutputStream()
+        jvm.javax.imageio.ImageIO.write(image, "jpg", stream)
+        out.append(bytes(stream.toByteArray()))
+    return out
+
+
+def image_folder(spark, folder) -> str:
+    """A folder of PNG and JPEG files, one for each embedding; the tasks write them.
+
+    Every fifth PNG is damaged (as in ``png_files``), every seventh JPEG is cut short. Names hold blanks and signs.
+    """
+    root, jpegs = scratch(spark, "images"), jpeg_files(spark)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, base = fs.FileSystem.from_uri(root)
+        where.create_dir(base)
+        for batch in batches:
+            for key, content in zip(batch["path"].astype(int), batch["content"], strict=True):
+                name = f"{key} 50%.png"
+                if key % 3:
+                    name, content = f"{key}+[a].{'JPG' if key % 2 else 'jpeg'}", jpegs[key % len(jpegs)]
+                    content = content[: len(content) // 4] if key % 7 == 0 else content
+                with where.open_output_stream(f"{base}/{name}") as out:  # the same bytes whenever a task is repeated
+                    out.write(content)
+            yield batch[["path"]]
+
+    png_files(spark, folder).mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+def prepared_images(spark, folder) -> DataFrame:
+    """I7, I9 over files: every fourth image is finished, the rest is decoded in lists of at most 150 files."""
+    root = image_folder(spark, folder)
+    listing = I.files(spark, root, content=False)
+    key = F.regexp_extract("path", r"/([0-9]+)[^/]*$", 1).cast("bigint")
+    finished = listing.filter(key % 4 == 0)
+    done = I.prepare_folder(spark, root, "covidx", 16, finished, most_files=150)
+    return done.select(key.alias("vec_id"), "height", "width", "mode", F.length("data").alias("bytes"), F.col("error").alias("error"))
+
+
+@register(
+    "i07_prepared_folder",
+    """WITH f AS (SELECT vec_id, vec_id % 3 = 0 AS png, CASE WHEN vec_id % 3 = 0 THEN vec_id % 5 = 0 ELSE vec_id % 7 = 0 END AS bad FROM embeddings WHERE vec_id % 4 <> 0)
+       SELECT vec_id, CAST(CASE WHEN bad THEN -1 ELSE 16 END AS INT) AS height, CAST(CASE WHEN bad THEN -1 ELSE 16 END AS INT) AS width,
+         CAST(CASE WHEN bad THEN -1 ELSE 0 END AS INT) AS mode, CAST(CASE WHEN NOT bad THEN 256 END AS INT) AS bytes,
+         CASE WHEN bad THEN CASE WHEN png THEN 'not an image file' ELSE 'cannot decode image file' END END AS error FROM f""",
+)
+def i07_folder(spark, folder):
+    return prepared_images(spark, folder)
