@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportlake.functions import fixed_values as V
@@ -137,3 +139,115 @@ def _sentence_mark(word: str, dropped, pre_uncertain, negated, post_uncertain):
         )
 
     return mark
+
+
+MOST_PHRASES = 100_000  # of a rule set; they are literals of the plan
+WORD = r"(?U)\w+"
+
+
+@dataclass(frozen=True)
+class PhraseRules:
+    """T16 with phrase files: plain phrases instead of patterns.
+
+    A cue before (after) a mention holds if it ends (starts) at most ``window`` words away and
+    none of the ``stops`` stands between. Phrases are compared word by word, in lower case.
+    """
+
+    mentions: dict[str, list[str]]
+    not_mentions: dict[str, list[str]] = field(default_factory=dict)
+    pre_uncertain: list[str] = field(default_factory=list)
+    pre_negated: list[str] = field(default_factory=list)
+    post_negated: list[str] = field(default_factory=list)
+    post_uncertain: list[str] = field(default_factory=list)
+    stops: list[str] = field(default_factory=list)
+    window: int = 6
+
+    def kinds(self) -> dict[str, list[int]]:
+        """Phrase to the numbers of what it stands for: a mention is even, a dropped one odd, cues follow."""
+        out: dict[str, set[int]] = {}
+
+        def add(phrases: list[str], kind: int) -> None:
+            for phrase in phrases:
+                words = " ".join(re.findall(r"\w+", phrase.lower()))
+                if words:
+                    out.setdefault(words, set()).add(kind)
+
+        for i, category in enumerate(self.mentions):
+            add(self.mentions[category], 2 * i)
+            add(self.not_mentions.get(category, []), 2 * i + 1)
+        for i, cues in enumerate((self.pre_uncertain, self.pre_negated, self.post_negated, self.post_uncertain, self.stops)):
+            add(cues, 2 * len(self.mentions) + i)
+        if len(out) > MOST_PHRASES:
+            raise ValueError(f"{len(out)} phrases; {MOST_PHRASES} at most")
+        return {p: sorted(k) for p, k in sorted(out.items())}
+
+
+def phrase_lists(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Phrases of each category from files of one phrase a line, named after the category."""
+    lines = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("c"), F.trim("value").alias("p"))
+    rows = lines.filter("p <> ''").distinct().limit(MOST_PHRASES + 1).collect()
+    if len(rows) > MOST_PHRASES:
+        raise ValueError(f"more than {MOST_PHRASES} phrases")
+    out: dict[str, list[str]] = {}
+    for r in sorted(rows):
+        out.setdefault(r.c, []).append(r.p)
+    return out
+
+
+def phrase_events(words: str, kinds: dict[str, list[int]]) -> str:
+    """SQL for every phrase in a word array as (start, end, kinds): one pass, whatever the number of phrases.
+
+    A word that begins no phrase is passed over by a hash lookup; from others the word runs of the phrases'
+    lengths are looked up, and only what is a phrase is mapped to its kinds.
+    """
+    listed = lambda names: ", ".join(f"'{n}'" for n in names)  # words hold no quotes
+    firsts = sorted({p.split(" ", 1)[0] for p in kinds})
+    runs = ", ".join(
+        f"struct(i AS start, i + {n} AS end, {f'array_join(slice({words}, i + 1, {n}), " ")' if n > 1 else 'word'} AS phrase)"
+        for n in sorted({p.count(" ") + 1 for p in kinds})
+    )
+    known = f"from_json('{json.dumps(kinds, ensure_ascii=False)}', 'map<string, array<int>>')"
+    return (
+        f"transform(flatten(filter(transform({words}, (word, i) -> IF(word IN ({listed(firsts)}),"
+        f" filter(array({runs}), r -> r.end <= size({words}) AND r.phrase IN ({listed(kinds)})), NULL)), r -> r IS NOT NULL)),"
+        f" r -> struct(r.start AS start, r.end AS end, {known}[r.phrase] AS kinds))"
+    )
+
+
+def label_by_phrases(df: DataFrame, text: str, rules: PhraseRules) -> DataFrame:
+    """T16 for phrase files of any size: one column per category, as :func:`label_reports`.
+
+    Sentences become word arrays once; phrases are found in one pass over the words, and every mention is
+    judged once, by the cues of its sentence. A category that one of its ``not_mentions`` names is not
+    mentioned in that sentence. Null text, no sentence, no phrase: null.
+    """
+    kinds, n = rules.kinds(), len(rules.mentions)
+    if not kinds:
+        return df.withColumns({c: F.lit(None).cast("int") for c in rules.mentions})
+    pre_uncertain, pre_negated, post_negated, post_uncertain, stop = range(2 * n, 2 * n + 5)
+    df = df.withColumn("_words", F.transform(chunks(F.regexp_replace(F.lower(text), r"\s+", " ")), lambda s: F.regexp_extract_all(s, F.lit(WORD), F.lit(0))))
+    # sentences with a phrase: mentions, cues, and the categories that are not meant
+    said = f"exists(e.kinds, k -> k < {2 * n} AND k % 2 = 0)"
+    parted = (
+        f"transform(filter(transform(_words, w -> {phrase_events('w', kinds)}), s -> size(s) > 0), s -> struct(filter(s, e -> {said}) AS hits,"
+        f" filter(s, e -> exists(e.kinds, k -> k >= {2 * n})) AS cues, filter(flatten(s.kinds), k -> k < {2 * n} AND k % 2 = 1) AS dropped))"
+    )
+
+    def near(kind: int, before: bool) -> str:
+        low, high = ("c.end", "h.start") if before else ("h.end", "c.start")
+        between = f"exists(s.cues, t -> array_contains(t.kinds, {stop}) AND t.start >= {low} AND t.end <= {high})"
+        return f"exists(s.cues, c -> array_contains(c.kinds, {kind}) AND {high} BETWEEN {low} AND {low} + {int(rules.window)} AND NOT {between})"
+
+    status = (
+        f"CASE WHEN size(s.cues) = 0 THEN 3 WHEN {near(pre_uncertain, True)} THEN 2"
+        f" WHEN {near(pre_negated, True)} OR {near(post_negated, False)} THEN 1 WHEN {near(post_uncertain, False)} THEN 2 ELSE 3 END"
+    )
+    # category and status of each mention in one number, judged once however many categories share it
+    judged = (
+        f"flatten(transform(_found, s -> flatten(transform(s.hits, h -> transform(array({status}), mark ->"
+        f" transform(filter(h.kinds, k -> k < {2 * n} AND k % 2 = 0 AND NOT array_contains(s.dropped, k + 1)), k -> 2 * k + mark))[0]))))"
+    )
+    df = df.withColumn("_found", F.expr(parted)).withColumn("_marks", F.expr(judged))
+    best = {c: F.expr(f"array_max(filter(_marks, m -> m div 4 = {i})) % 4") for i, c in enumerate(rules.mentions)}
+    marks = {c: F.when(b == 3, 1).when(b == 2, -1).when(b == 1, 0) for c, b in best.items()}
+    return df.withColumns(marks).drop("_words", "_found", "_marks")

@@ -17,7 +17,7 @@ from reportlake.functions.sections import (
     split_sections,
     with_conclusion,
 )
-from reportlake.operators.labels import label_reports
+from reportlake.operators.labels import PhraseRules, label_by_phrases, label_reports
 from reportlake.plans.ordinals import by_digest
 from reportlake.session import table
 from reportlake.workloads.base import derived, documents, register
@@ -476,3 +476,61 @@ def t16(spark, folder):
     df = documents(spark, folder).selectExpr("doc_id", WRAPPED)
     df = label_reports(df, "text", MENTIONS, pre_uncertain=PRE, negated=NEGATED, post_uncertain=POST)
     return df.select("doc_id", *MENTIONS)
+
+
+# a thousand phrases from the benchmark's texts: words and word pairs, the most frequent first
+PHRASE_SQL = rf"""(SELECT p, row_number() OVER (ORDER BY n DESC, p) - 1 AS r FROM (SELECT p, count(*) AS n FROM (
+  SELECT unnest(w) AS p FROM b UNION ALL SELECT w[i] || ' ' || w[i + 1] FROM b, unnest(range(1, len(w))) AS u(i)) WHERE p NOT IN ({{cues}}) GROUP BY p) ORDER BY n DESC, p LIMIT 1000)"""
+CUES = {"pre_uncertain": ["with", "mit", "avec", "como"], "pre_negated": ["and", "et", "y", "und"], "post_negated": ["was"], "post_uncertain": ["for", "pour", "para"], "stops": ["the", "la", "das"]}
+PHRASE_WINDOW = 5
+
+
+def phrase_rules(spark, folder) -> PhraseRules:
+    """Ranked phrases dealt to 14 categories; every fiftieth is one of those that are not meant."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))
+    pairs = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get("w", i), x))
+    b = table(spark, folder, "benchmark").select(words.alias("w"))
+    p = b.select(F.explode(F.concat("w", pairs)).alias("p"))
+    p = p.filter(~F.col("p").isin([c for cues in CUES.values() for c in cues])).groupBy("p").count()
+    rows = p.orderBy(F.desc("count"), "p").limit(1000).collect()
+    said, dropped = {f"f{i:02d}": [] for i in range(14)}, {f"f{i:02d}": [] for i in range(14)}
+    for r, row in enumerate(rows):
+        (dropped if r % 50 == 49 else said)[f"f{r % 14:02d}"].append(row.p)
+    return PhraseRules(said, dropped, **CUES, window=PHRASE_WINDOW)
+
+
+def _phrase_label_sql() -> str:
+    cues = ", ".join(quoted(c) for group in CUES.values() for c in group)
+    kind = " ".join(f"WHEN p IN ({', '.join(quoted(c) for c in group)}) THEN '{name}'" for name, group in CUES.items())
+    flat = "(SELECT doc_id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS text FROM documents)"
+
+    def near(name: str, before: bool) -> str:
+        low, high = ("c.e", "h.s") if before else ("h.e", "c.s")
+        return (
+            f"EXISTS (SELECT 1 FROM cue c WHERE c.doc_id = h.doc_id AND c.sn = h.sn AND c.kind = '{name}' AND {high} BETWEEN {low} AND {low} + {PHRASE_WINDOW}"
+            f" AND NOT EXISTS (SELECT 1 FROM cue t WHERE t.doc_id = h.doc_id AND t.sn = h.sn AND t.kind = 'stops' AND t.s >= {low} AND t.e <= {high}))"
+        )
+
+    out = ", ".join(
+        f"CASE max(mark) FILTER (WHERE f = {i}) WHEN 3 THEN 1 WHEN 2 THEN -1 WHEN 1 THEN 0 END AS f{i:02d}" for i in range(14)
+    )
+    return f"""WITH b AS (SELECT regexp_extract_all(lower(text), '[{W_SQL}]+') AS w FROM benchmark),
+    phrases AS {PHRASE_SQL.format(cues=cues)},
+    sent AS (SELECT doc_id, sn, regexp_extract_all(c[sn], '[{W_SQL}]+') AS w FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS sn
+      FROM (SELECT doc_id, {CHUNK_SQL.format(x='text')} AS c FROM {flat}))),
+    word AS (SELECT doc_id, sn, w, unnest(range(1, len(w) + 1)) AS i FROM sent),
+    gram AS (SELECT doc_id, sn, i AS s, i + 1 AS e, w[i] AS p FROM word UNION ALL SELECT doc_id, sn, i, i + 2, w[i] || ' ' || w[i + 1] FROM word WHERE i < len(w)),
+    cue AS (SELECT doc_id, sn, s, e, CASE {kind} END AS kind FROM gram WHERE p IN ({cues})),
+    hit AS (SELECT g.doc_id, g.sn, g.s, g.e, q.r % 14 AS f, q.r % 50 = 49 AS gone FROM gram g JOIN phrases q ON g.p = q.p),
+    marked AS (SELECT h.doc_id, h.f, CASE WHEN {near('pre_uncertain', True)} THEN 2 WHEN {near('pre_negated', True)} OR {near('post_negated', False)} THEN 1
+      WHEN {near('post_uncertain', False)} THEN 2 ELSE 3 END AS mark FROM hit h
+      WHERE NOT h.gone AND NOT EXISTS (SELECT 1 FROM hit g WHERE g.gone AND g.doc_id = h.doc_id AND g.sn = h.sn AND g.f = h.f)),
+    marks AS (SELECT doc_id, {out} FROM marked GROUP BY doc_id)
+    SELECT doc_id, {', '.join(f'f{i:02d}' for i in range(14))} FROM documents LEFT JOIN marks USING (doc_id)"""
+
+
+@register("t16_phrase_files", _phrase_label_sql())
+def t16_files(spark, folder):
+    """A thousand phrases in 14 categories, looked up in one pass."""
+    rules = phrase_rules(spark, folder)
+    return label_by_phrases(documents(spark, folder).select("doc_id", "text"), "text", rules).select("doc_id", *rules.mentions)
