@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.functions.text import count_with_percent
+from reportlake.functions.text import count_with_percent, total_length
 
 
 def totals(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,6 +132,12 @@ def json_keys(df: DataFrame, text: str) -> DataFrame:
     return keys.select(F.col("key").cast("bigint").alias("key"))
 
 
+def longest(df: DataFrame, text: str, n_images: Column, tokens_per_image: int, count_tokens: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The largest total length (T15), one number; null of no rows."""
+    length = total_length(F.col(text), n_images, tokens_per_image, count_tokens)
+    return df.agg(F.max(length).cast("bigint").alias("longest"))
+
+
 def mean_loss(df: DataFrame, loss: str, rows: str | None = None) -> DataFrame:
     """Mean loss and perplexity, equal per batch or weighted by rows.
 

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportlake.functions.text import digest, digest_int
+from reportlake.operators.joins import split_heavy
 from reportlake.plans.ordinals import by_digest
+from reportlake.session import stage
 
 
-# Constants of the swaps: any odd multipliers below the modulus, a prime, will do.
-PRIME, KEY_STEP, MIX, SECOND_MIX, SWAPS = 2147483647, 1103515245, 48271, 69621, 12
+# Constants of the swaps: a prime and three of its primitive roots.
+PRIME, KEY_ROOT, MIX, SECOND_MIX, SWAPS = 2147483647, 16807, 48271, 69621, 12
 
 
 def permuted_place(place: Column, size: Column, keys: Column) -> Column:
@@ -30,9 +32,10 @@ def permuted_place(place: Column, size: Column, keys: Column) -> Column:
 
 
 def swap_keys(key: Column | str, seed: int | str = 42) -> Column:
-    """The keys of a row's permutation; one digest for a row."""
-    base = digest_int(seed, key) % PRIME
-    return F.transform(F.sequence(F.lit(1), F.lit(SWAPS)), lambda r: (base * KEY_STEP % PRIME + r.cast("bigint") * r * MIX) % PRIME)
+    """The keys of a row's permutation: its digest times the powers of a root."""
+    base = digest_int(seed, key) % (PRIME - 1) + 1
+    powers = F.array(*[F.lit(pow(KEY_ROOT, r, PRIME)).cast("bigint") for r in range(1, SWAPS + 1)])
+    return F.transform(powers, lambda m: base * m % PRIME)
 
 
 def sample_items(items: Column | str, rate: float, key: str, seed: int | str = 42) -> Column:
@@ -63,6 +66,57 @@ def hold_out(group: Column | str, share: float, seed: int | str = 42) -> Column:
     return digest_int(seed, group) < int(share * 2**32)
 
 
+HEAVY_PARTS = 50  # a group is heavy if it holds over this part of a fold
+
+
+def dealt_largest_first(sizes: list[tuple[str, int]], folds: int) -> tuple[dict[str, int], list[int]]:
+    """Each group to the lightest fold, the largest group first; ties go by name and to the lowest fold."""
+    loads, place = [0] * folds, {}
+    for name, n in sorted(sizes, key=lambda s: (-s[1], s[0])):
+        fold = loads.index(min(loads))
+        place[name] = fold
+        loads[fold] += n
+    return place, loads
+
+
+def room(loads: list[int], rows: int) -> list[int]:
+    """Where the room of each fold ends when so many rows are poured over the loads, as a running sum."""
+    level, low = 0, 0
+    for k, load in enumerate(sorted(loads), 1):
+        low += load
+        level = -(-(rows + low) // k)
+        if k == len(loads) or level <= sorted(loads)[k]:
+            break
+    ends, end = [], 0
+    for load in loads:
+        end += max(0, level - load)
+        ends.append(end)
+    return ends
+
+
+def balanced_folds(df: DataFrame, group: str, folds: int, seed: int | str = 42, name: str = "fold") -> DataFrame:
+    """Folds of even size, all rows of a group in one; a null group is a group.
+
+    Groups are counted. The heavy ones, fewer than ``HEAVY_PARTS`` a fold, are dealt on the driver, the largest first.
+    The others are poured over these loads in digest order: a group's place is the running total of
+    sizes before it, so no task sees more than its share and no fold passes the level by more than one light group.
+    """
+    text = F.coalesce(F.concat(F.lit("g"), F.col(group).cast("string")), F.lit("n"))
+    named = df.withColumn("_group", text)
+    sizes = stage(named.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")), "groups")
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first().n
+    bound = max(1, -(-total // (folds * HEAVY_PARTS)))
+    heavy = [(r["_group"], r["_n"]) for r in sizes.filter(F.col("_n") > bound).collect()]
+    place, loads = dealt_largest_first(heavy, folds)
+    ends = room(loads, total - sum(n for _, n in heavy))
+    light = by_digest(sizes.filter(F.col("_n") <= bound), "_group", seed, weight=F.col("_n"), name="_before")
+    poured = F.size(F.filter(F.array(*[F.lit(e).cast("bigint") for e in ends[:-1]]), lambda e: e <= F.col("_before")))
+    dealt = light.select("_group", poured.cast("int").alias(name))
+    if place:
+        dealt = dealt.unionByName(df.sparkSession.createDataFrame(list(place.items()), f"_group string, `{name}` int"))
+    return split_heavy(named, dealt, ["_group"], "inner").drop("_group")
+
+
 def leave_one_centre_out(df: DataFrame, centre: str) -> DataFrame:
     """The centre is the fold."""
     return df.withColumn("fold", F.col(centre))

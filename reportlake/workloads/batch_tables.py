@@ -72,10 +72,10 @@ def w03(spark, folder):
 
 def _swapped_sql(source: str) -> str:
     """Places after each of the swaps, one nested query for each."""
-    base = "(CAST('0x' || substr(md5('42:' || doc_id), 1, 8) AS BIGINT) % 2147483647)"
+    base = "(CAST('0x' || substr(md5('42:' || doc_id), 1, 8) AS BIGINT) % 2147483646 + 1)"
     out = f"(SELECT *, {base} AS base, i AS p FROM {source})"
     for r in range(1, folds.SWAPS + 1):
-        key = f"((base * 1103515245 % 2147483647 + {r} * {r} * 48271) % 2147483647)"
+        key = f"(base * {pow(folds.KEY_ROOT, r, folds.PRIME)} % 2147483647)"
         out = f"(SELECT *, {key} AS key, ({key} % n + n - p) % n AS o FROM {out})"
         bit = "((((greatest(p, o) % 2147483647 * 48271 + key) % 2147483647 * 69621) % 2147483647) >> 16) % 2"
         out = f"(SELECT doc_id, words, n, k, i, base, CASE WHEN {bit} = 1 THEN o ELSE p END AS p FROM {out})"
@@ -292,6 +292,38 @@ def w16(spark, folder):
     )
 
 
+FOLDED = "CASE WHEN o_orderkey % 10 < 3 THEN -1 WHEN o_orderkey % 10 = 3 THEN -2 WHEN o_orderkey % 100 = 4 THEN NULL ELSE o_custkey END"
+
+
+def _balanced_folds_sql(k: int) -> str:
+    """Heavy groups one after the other, the rest by running totals."""
+    part = folds.HEAVY_PARTS
+    return f"""WITH RECURSIVE rows_ AS (SELECT o_orderkey, coalesce('g' || CAST({FOLDED} AS VARCHAR), 'n') AS g FROM orders),
+    sizes AS (SELECT g, count(*) AS n FROM rows_ GROUP BY g),
+    bound AS (SELECT greatest(1, CAST(ceil(sum(n)::DOUBLE / {k * part}) AS BIGINT)) AS b, CAST(sum(n) AS BIGINT) AS total FROM sizes),
+    heavy AS (SELECT g, n, row_number() OVER (ORDER BY n DESC, g) AS r FROM sizes, bound WHERE n > b),
+    deal(r, g, fold, loads) AS (
+      SELECT CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), [CAST(0 AS BIGINT) for i in range({k})]
+      UNION ALL
+      SELECT h.r, h.g, CAST(list_position(loads, list_min(loads)) - 1 AS BIGINT),
+        [CASE WHEN i = list_position(loads, list_min(loads)) THEN loads[i] + h.n ELSE loads[i] END for i in range(1, {k + 1})]
+      FROM deal d JOIN heavy h ON h.r = d.r + 1),
+    loads AS (SELECT loads, list_sort(loads) AS low, total - CAST(list_sum(loads) AS BIGINT) AS left_ FROM deal, bound ORDER BY r DESC LIMIT 1),
+    levels AS (SELECT i, CAST(ceil((left_ + list_sum(low[1:i]))::DOUBLE / i) AS BIGINT) AS level, i = {k} OR CAST(ceil((left_ + list_sum(low[1:i]))::DOUBLE / i) AS BIGINT) <= low[i + 1] AS fits
+      FROM loads, range(1, {k + 1}) AS t(i)),
+    ends AS (SELECT j, sum(greatest(0, (SELECT level FROM levels WHERE fits ORDER BY i LIMIT 1) - loads[j])) OVER (ORDER BY j) AS e FROM loads, range(1, {k + 1}) AS t(j)),
+    light AS (SELECT g, sum(n) OVER (ORDER BY md5('42:' || g), g) - n AS before FROM sizes, bound WHERE n <= b),
+    placed AS (SELECT g, fold FROM deal WHERE g IS NOT NULL
+      UNION ALL SELECT g, (SELECT count(*) FROM ends WHERE j < {k} AND e <= before) FROM light)
+    SELECT o_orderkey, CAST(fold AS INT) AS fold FROM rows_ JOIN placed USING (g)"""
+
+
+@register("w16_balanced_folds", _balanced_folds_sql(5))
+def w16_balanced(spark, folder):
+    df = table(spark, folder, "orders").selectExpr("o_orderkey", f"{FOLDED} AS owner")
+    return folds.balanced_folds(df, "owner", 5).select("o_orderkey", "fold")
+
+
 @register(
     "w17_few_shot",
     "SELECT vec_id, label FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id), vec_id) <= 8",

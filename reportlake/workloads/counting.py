@@ -11,9 +11,9 @@ from reportlake.operators.columns import any_present, view_of
 from reportlake.functions import fixed_values as V
 from reportlake.functions.sections import sectioned, with_conclusion
 from reportlake.session import table
-from reportlake.workloads.base import FS, derived, register
+from reportlake.workloads.base import FS, derived, documents, register
 from reportlake.workloads.column_rules import views_sql
-from reportlake.workloads.report_text import CONCLUDED
+from reportlake.workloads.report_text import CONCLUDED, tokens_sql
 
 SPLITS, VIEWS = ["train", "validate", "test"], ["frontal", "lateral", "other"]
 
@@ -179,9 +179,9 @@ def a10(spark, folder):
     return L.comparison_report(truth, first, second, FS, "doc_id", "negation")
 
 
-@register("a12_longest", "SELECT CAST(max(length(text) + 256 * (1 + doc_id % 2)) AS BIGINT) AS longest FROM documents")
+@register("a12_longest", f"SELECT CAST(max(len({tokens_sql('text')}) + 256 * (1 + doc_id % 2)) AS BIGINT) AS longest FROM documents")
 def a12(spark, folder):
-    return table(spark, folder, "documents").agg(F.max(F.length("text") + 256 * (1 + F.col("doc_id") % 2)).alias("longest"))
+    return A.longest(documents(spark, folder), "text", 1 + F.col("doc_id") % 2, 256)
 
 
 @register(
