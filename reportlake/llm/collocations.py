@@ -32,7 +32,7 @@ from reportlake.session import stage
 SLICE = 2 << 20  # bytes of text that are cut into words at a time
 WAITING = 1 << 16  # keys that a container gathers before they enter its table
 BURST = 1 << 18  # phrases of a container, above which it bursts
-HELD = 6_000_000  # phrases that a task holds before it spills
+HELD = 3_000_000  # phrases that a task holds before it spills
 FAN = 64  # children of a node
 BITS = 21  # of a word id in a packed phrase
 NO_LANGUAGE = "und"
