@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -197,20 +198,23 @@ def phrase_lists(spark: SparkSession, path: str) -> dict[str, list[str]]:
 def phrase_events(words: str, kinds: dict[str, list[int]]) -> str:
     """SQL for every phrase in a word array as (start, end, kinds): one pass, whatever the number of phrases.
 
-    A word that begins no phrase is passed over by a hash lookup; from others the word runs of the phrases'
-    lengths are looked up, and only what is a phrase is mapped to its kinds.
+    A word that begins no phrase is passed over by a hash lookup. From others the word runs of the phrases'
+    lengths are looked up in a table of small maps, one for each checksum, since Spark scans a map from its start.
     """
-    listed = lambda names: ", ".join(f"'{n}'" for n in names)  # words hold no quotes
-    firsts = sorted({p.split(" ", 1)[0] for p in kinds})
-    runs = ", ".join(
-        f"struct(i AS start, i + {n} AS end, {f'array_join(slice({words}, i + 1, {n}), " ")' if n > 1 else 'word'} AS phrase)"
-        for n in sorted({p.count(" ") + 1 for p in kinds})
+    firsts = ", ".join(f"'{n}'" for n in sorted({p.split(" ", 1)[0] for p in kinds}))  # words hold no quotes
+    lengths = sorted({p.count(" ") + 1 for p in kinds})
+    buckets: list[dict[str, list[int]]] = [{} for _ in range(2 * len(kinds))]
+    for phrase, k in kinds.items():
+        buckets[zlib.crc32(phrase.encode()) % len(buckets)][phrase] = k
+    known = f"from_json('{json.dumps(buckets, ensure_ascii=False)}', 'array<map<string, array<int>>>')"
+    runs = ", ".join(f"array_join(slice({words}, i + 1, {n}), ' ')" if n > 1 else "word" for n in lengths)
+    found = (
+        f"transform(array({runs}), (p, n) -> struct(i AS start, i + array({', '.join(map(str, lengths))})[n] AS end,"
+        f" {known}[CAST(crc32(encode(p, 'UTF-8')) % {len(buckets)} AS INT)][p] AS kinds))"
     )
-    known = f"from_json('{json.dumps(kinds, ensure_ascii=False)}', 'map<string, array<int>>')"
     return (
-        f"transform(flatten(filter(transform({words}, (word, i) -> IF(word IN ({listed(firsts)}),"
-        f" filter(array({runs}), r -> r.end <= size({words}) AND r.phrase IN ({listed(kinds)})), NULL)), r -> r IS NOT NULL)),"
-        f" r -> struct(r.start AS start, r.end AS end, {known}[r.phrase] AS kinds))"
+        f"flatten(filter(transform({words}, (word, i) -> IF(word IN ({firsts}), filter({found},"
+        f" r -> r.kinds IS NOT NULL AND r.end <= size({words})), NULL)), r -> r IS NOT NULL))"
     )
 
 
