@@ -107,13 +107,40 @@ def keyed_sequences_lines(found: DataFrame, line: str = "value") -> DataFrame:
 
 
 def keyed_sequences_file(spark: SparkSession, path: str, one_per_line: bool = True) -> DataFrame:
-    """S4 from files, plain or gzip. Indented files need ``one_per_line=False``
-    and are then read whole, one row per file."""
+    """S4 from files, plain or gzip. Files in one line need ``one_per_line=False``
+    and are then read whole, one row per file; indented ones have :func:`keyed_sequences_indented`."""
     if one_per_line:
         return keyed_sequences_lines(spark.read.text(path))
     return keyed_sequences(spark.read.text(path, wholetext=True), "value")
 
 
+def array_indent(spark: SparkSession, path: str) -> str:
+    """The blanks before the entries of an indented JSON array, from its first lines."""
+    for row in spark.read.text(path).limit(50).collect():
+        found = re.match(r"([ \t]+)\S", row.value)
+        if found:
+            return found[1]
+    raise ValueError("no indented line at the start")
+
+
+def keyed_sequences_indented(spark: SparkSession, path: str, indent: str | None = None) -> DataFrame:
+    """S4 for indented arrays: one file is read by many tasks, and no row holds more than an entry and small neighbours.
+
+    JSON strings hold no raw line break, so a line of the entries' indent and a closing brace ends an entry, whatever stands
+    inside. That line is the record separator of the scan, which Spark cuts at any byte and aligns to the next separator.
+    A piece that is no JSON fails the job, as the whole file would. Gzip files are one task each.
+    """
+    indent = array_indent(spark, path) if indent is None else indent
+    pieces = spark.read.option("lineSep", f"\n{indent}}}").text(path)
+    body = F.regexp_replace(strip("value"), r"^[\[,]\s*", "")
+    tail = F.regexp_replace(body, r"\s*\]$", "")  # behind the last entry of a file: its end, or entries of one line before it
+    kind = "array<map<string, map<string, array<map<string, string>>>>>"
+    closed, open_ = (F.from_json(F.concat(F.lit("["), part, F.lit(end)), kind) for part, end in ((body, "}]"), (tail, "]")))
+    entries = F.coalesce(closed, open_, F.raise_error(F.concat(F.lit("no JSON: "), F.substring("value", 1, 200))).cast(kind))
+    listed = pieces.filter(~body.isin("", "]")).select(F.explode(entries).alias("entry"))
+    return listed.select(F.explode("entry").alias("key", "sequences"))
+
+
 def annotations(found: DataFrame, text: str = "text", key: str = "0") -> DataFrame:
     """JSON lists ``[{"0": {"text": ...}}, ...]`` as (position, annotation)."""
     listed = F.from_json(text, "array<map<string, struct<text: string>>>")

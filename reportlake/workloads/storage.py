@@ -90,6 +90,18 @@ def s04_lines(spark, folder):
     return df.select("key", F.col("sequences")["528434"][0][V.CODE_MEANING].alias("meaning"))
 
 
+@register("s04_indented_array", "SELECT 'd' || event_id AS key, event_type AS meaning, CAST(2 AS INT) AS n FROM events")
+def s04_indented(spark, folder):
+    """Arrays of 20,000 indented entries, as an exporter writes them; each file is cut into tasks."""
+    path = scratch(spark, "indented")
+    entry = F.expr("""concat('  {\n    "d', event_id, '": {\n      "528434": [\n        {\n          "524548": "', event_type, '"\n        }\n      ],\n      "5505568": []\n    }\n  }')""")
+    events = table(spark, folder, "events").select(F.floor(F.col("event_id") / 20000).alias("file"), entry.alias("entry"))
+    array = F.concat(F.lit("[\n"), F.array_join(F.collect_list("entry"), ",\n"), F.lit("\n]"))
+    events.groupBy("file").agg(array.alias("value")).repartition("file").write.partitionBy("file").text(path)
+    df = S.keyed_sequences_indented(spark, f"{path}/*")
+    return df.select("key", F.col("sequences")["528434"][0][V.CODE_MEANING].alias("meaning"), F.size("sequences").alias("n"))
+
+
 @register(
     "s05_annotations",
     "SELECT CAST(0 AS BIGINT) AS position, source AS annotation, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 1, lang, count(*) FROM documents GROUP BY 2",
