@@ -255,3 +255,41 @@ def resolve_images(
     listed = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "content"))).alias("_found"))
     joined = df.join(listed, key, "inner")
     return joined.withColumn("pictures", F.transform("_found", lambda s: s["content"])).drop("_found")
+
+
+ROW_BYTES = 256 << 20  # image bytes that one row may carry
+
+
+def with_image_bytes(df: DataFrame, key: str, files: DataFrame, messages: str = "messages", most_bytes: int = ROW_BYTES) -> DataFrame:
+    """N1 with bytes: image elements carry their content in ``image`` and no path, as the reader of files gives them.
+
+    ``files`` is (path, length, content). Until the end, messages carry paths only: paths are looked up in the
+    listing, a row's bytes are summed there, and contents join last, once for each row and path. An image that is not
+    there is left out; a row without any image gets empty messages. A row that would pass ``most_bytes`` keeps the
+    paths of its images, and ``oversized`` tells so. Keys are unique; null messages stay null.
+    """
+    is_image = lambda e: e["type"] == "image"
+    paths = F.flatten(F.transform(messages, lambda m: F.transform(F.filter(m["content"], is_image), lambda e: e["image_path"])))
+    wanted = stage(df.select(key, F.explode(F.array_distinct(paths)).alias("path")), "wanted")
+    # one picture may stand in most rows
+    found = split_heavy(wanted, files.select("path", F.col("length").cast("bigint").alias("_length")), ["path"], "inner")
+    rows = found.groupBy(key).agg(F.sum("_length").alias("_bytes"), F.collect_list("path").alias("_paths"))
+    rows = stage(rows.withColumn("oversized", F.col("_bytes") > int(most_bytes)), "found")
+    fitting = rows.filter(~F.col("oversized")).select(key, F.explode("_paths").alias("path"))
+    named = split_heavy(fitting, files.select("path", "content"), ["path"], "inner", keys=wanted.select("path"))
+    contents = named.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("path", "content"))).alias("_contents"))
+    joined = df.join(rows.select(key, "oversized", "_paths"), key, "left").join(contents, key, "left")
+
+    def shown(e: Column) -> Column:
+        held = F.struct(
+            e["type"].alias("type"), e["text"].alias("text"), F.col("_contents")[e["image_path"]].alias("image"),
+            F.when(F.col("oversized"), e["image_path"]).otherwise(F.lit("")).alias("image_path"),
+        )
+        return F.when(is_image(e), held).otherwise(e)
+
+    def there(m: Column) -> Column:
+        content = F.filter(m["content"], lambda e: ~is_image(e) | F.array_contains("_paths", e["image_path"]))
+        return F.struct(m["role"].alias("role"), F.transform(content, shown).alias("content"))
+
+    full = F.when(F.col("_paths").isNotNull(), F.transform(messages, there)).otherwise(F.filter(messages, lambda m: F.lit(False)))
+    return joined.withColumn(messages, full).withColumn("oversized", F.coalesce("oversized", F.lit(False))).drop("_paths", "_contents")

@@ -65,6 +65,35 @@ def n01(spark, folder):
     return df.select("sample_id", "turn", "role", "pos", "e.type", F.md5("e.text").alias("text"), "e.image_path")
 
 
+PICTURES_SQL = """pictures AS (SELECT 'i/' || conv_id AS path, text AS body FROM conversations WHERE turn = 0 AND conv_id % 5 <> 0
+  UNION ALL SELECT DISTINCT 'j/' || turn, 'picture ' || turn FROM conversations WHERE turn % 4 <> 2 UNION ALL SELECT 'k', r_name FROM region WHERE r_regionkey = 0)"""
+
+
+def pictures(spark, folder) -> DataFrame:
+    """(path, length, content) of the images of the samples, some of them missing; one stands in a third of the rows."""
+    turns = table(spark, folder, "conversations")
+    first = turns.filter("turn = 0 AND conv_id % 5 <> 0").selectExpr("concat('i/', conv_id) AS path", "text AS body")
+    second = turns.filter("turn % 4 <> 2").select("turn").distinct().selectExpr("concat('j/', turn) AS path", "concat('picture ', turn) AS body")
+    third = table(spark, folder, "region").filter("r_regionkey = 0").selectExpr("'k' AS path", "r_name AS body")
+    every = first.unionByName(second).unionByName(third)
+    return every.selectExpr("path", "CAST(octet_length(body) AS BIGINT) AS length", "encode(body, 'UTF-8') AS content")
+
+
+@register(
+    "n01_image_bytes",
+    f"""{GEMMA_SQL}, {PICTURES_SQL}, shown AS (SELECT el.*, p.body FROM el LEFT JOIN pictures p ON el.type = 'image' AND p.path = el.image_path),
+      sizes AS (SELECT sample_id, sum(strlen(body)) > 400 AS oversized FROM shown WHERE body IS NOT NULL GROUP BY sample_id),
+      left_ AS (SELECT *, CAST(row_number() OVER (PARTITION BY sample_id, turn ORDER BY pos) - 1 AS INT) AS place FROM shown WHERE type <> 'image' OR body IS NOT NULL)
+      SELECT sample_id, turn, role, place AS pos, type, md5(text) AS text, CASE WHEN NOT oversized THEN md5(body) END AS image,
+        CASE WHEN oversized AND type = 'image' THEN image_path ELSE '' END AS image_path, oversized FROM left_ JOIN sizes USING (sample_id)""",
+)
+def n01_bytes(spark, folder):
+    df = N.with_image_bytes(chat(spark, folder), "sample_id", pictures(spark, folder), most_bytes=400)
+    turns = df.select("sample_id", "oversized", F.posexplode("messages").alias("turn", "m"))
+    parts = turns.select("sample_id", "oversized", "turn", F.col("m.role").alias("role"), F.posexplode("m.content").alias("pos", "e"))
+    return parts.select("sample_id", "turn", "role", "pos", "e.type", F.md5("e.text").alias("text"), F.md5("e.image").alias("image"), "e.image_path", "oversized")
+
+
 @register("p21_with_messages", f"WITH {SAMPLES_SQL} SELECT sample_id FROM samples WHERE len(image) > 0")
 def p21(spark, folder):
     return C.with_items(chat(spark, folder), "messages").select("sample_id")

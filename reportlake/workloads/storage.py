@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reportlake.functions.sections import sectioned, with_conclusion
 from reportlake.functions import fixed_values as V
+from reportlake.operators import errors as E
 from reportlake.operators.joins import missing
 from reportlake.session import scratch, table
 from reportlake.sources import files as S
@@ -129,6 +130,38 @@ def s06(spark, folder):
     return df.select("unique_id", "image_path", F.md5(F.get_json_object("qa_pair", "$.q")).alias("q"))
 
 
+# every sample has one of eight shapes; five of them are broken, each in its own way
+BROKEN_LINE = """CASE turn % 8 WHEN 2 THEN substr({line}, 1, 30) WHEN 3 THEN replace({line}, '"image_path":["a.png","b.png"]', '"image_path":"[a.png"')
+  WHEN 4 THEN replace({line}, '"unique_id":"s', '"other":"s') WHEN 5 THEN replace({line}, '"qa_pair":{{"q":"x","a":"y"}}', '"qa_pair":[]')
+  WHEN 6 THEN replace({line}, '"qa_pair":{{"q":"x","a":"y"}}', '"qa_pair":[7]') ELSE {line} END"""
+PLAIN_LINE = """concat('{"unique_id":"s', CAST(conv_id AS STRING), '_', CAST(turn AS STRING), '","image_path":["a.png","b.png"],"qa_pair":{"q":"x","a":"y"}}')"""
+SAMPLE_LINE = BROKEN_LINE.format(line=PLAIN_LINE)
+
+
+@register(
+    "f05_error_channel",
+    f"""WITH l AS (SELECT conv_id, turn, {SAMPLE_LINE.replace('STRING', 'VARCHAR')} AS line FROM conversations)
+    SELECT md5(line) AS line, 's' || conv_id || '_' || turn AS unique_id, CAST(2 AS INT) AS n_images, CAST(1 AS INT) AS n_pairs, CAST(NULL AS VARCHAR) AS error
+      FROM l WHERE turn % 8 IN (0, 1, 7)
+    UNION ALL SELECT md5(line), CASE WHEN turn % 8 IN (3, 5, 6) THEN 's' || conv_id || '_' || turn END, NULL, NULL,
+      ['malformed_json', 'bad_images', 'no_id', 'no_pair', 'bad_pairs'][turn % 8 - 1] FROM l WHERE turn % 8 BETWEEN 2 AND 6""",
+)
+def f05(spark, folder):
+    """Lines that Spark wrote, read with their errors, saved in one pass and read back from both sides."""
+    path = scratch(spark, "lines")
+    table(spark, folder, "conversations").selectExpr(f"{SAMPLE_LINE} AS value").write.text(path)
+    parsed = E.parsed_samples(S.lines(spark, path))
+    saved = scratch(spark, "samples")
+    E.save_with_errors(parsed, saved)
+    good = E.good_rows(spark, saved)
+    # the line of a good sample is known from its id
+    line = F.concat(F.lit('{"unique_id":"'), F.col("unique_id"), F.lit('","image_path":["a.png","b.png"],"qa_pair":{"q":"x","a":"y"}}'))
+    good = good.select(F.md5(line).alias("line"), "unique_id", F.size("images").alias("n_images"), F.size("pairs").alias("n_pairs"), F.lit(None).cast("string").alias("error"))
+    bad = E.bad_rows(spark, saved)
+    none = F.lit(None).cast("int")
+    return good.unionByName(bad.select(F.md5("line").alias("line"), "unique_id", none.alias("n_images"), none.alias("n_pairs"), "error"))
+
+
 def _split(spark, folder):
     return derived(spark, folder, "images").withColumn("split", F.expr("CASE split WHEN 'validate' THEN 'val' ELSE split END"))
 
