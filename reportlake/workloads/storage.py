@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from reportlake.functions.sections import sectioned, with_conclusion
@@ -11,6 +16,7 @@ from reportlake.operators.joins import missing
 from reportlake.session import scratch, table
 from reportlake.sources import files as S
 from reportlake.sources import sinks as K
+from reportlake.streaming.changes import current, ingest_changes, versions
 from reportlake.streaming.ingest import ingest
 from reportlake.workloads.base import REPORT, derived, register
 from reportlake.workloads.report_text import CONCLUDED
@@ -289,3 +295,50 @@ def x1(spark, folder):
     for _ in range(2):
         ingest(spark, folder, schema, conclude, f"{root}/out", f"{root}/seen", glob="documents.parquet")
     return spark.read.schema("doc_id bigint, conclusion string").parquet(f"{root}/out")
+
+
+def write_named(df, root: str) -> None:
+    """(name, body) rows as files of these names; the tasks write them."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, base = fs.FileSystem.from_uri(root)
+        where.create_dir(base)
+        for batch in batches:
+            for name, body in zip(batch["name"], batch["body"], strict=True):
+                with where.open_output_stream(f"{base}/{name}") as out:
+                    out.write(body.encode())
+            yield batch[["name"]]
+
+    df.select("name", "body").mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+
+
+@register(
+    "x1_changed_inputs",
+    """SELECT s_suppkey, md5(CASE WHEN s_suppkey % 3 = 0 THEN s_name || ' second' ELSE s_name END) AS body, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS versions FROM supplier""",
+)
+def x1_changed(spark, folder):
+    """A file for each supplier. A third is rewritten, a third only touched; the second run fails behind its write and is tried again."""
+    root, target, work = scratch(spark, "inputs"), scratch(spark, "outputs"), scratch(spark, "work")
+    suppliers = table(spark, folder, "supplier").withColumn("name", F.concat(F.col("s_suppkey").cast("string"), F.lit(".txt")))
+    write_named(suppliers.withColumn("body", F.col("s_name")), root)
+    shown = lambda found: found.select("path", "digest", F.md5("content").alias("body"))
+    ingest_changes(spark, root, shown, target, work, "*.txt")
+    again = suppliers.filter("s_suppkey % 3 < 2").withColumn("body", F.expr("CASE WHEN s_suppkey % 3 = 0 THEN concat(s_name, ' second') ELSE s_name END"))
+    write_named(again, root)
+    failed = []
+
+    def fails_once(found):
+        if not failed:  # the batch has written its rows when the job is lost
+            failed.append(1)
+            shown(found).write.mode("overwrite").parquet(f"{target}/batch=1")
+            raise RuntimeError("lost")
+        return shown(found)
+
+    try:
+        ingest_changes(spark, root, fails_once, target, work, "*.txt", most_files=40)
+    except StreamingQueryException:
+        ingest_changes(spark, root, shown, target, work, "*.txt", most_files=40)
+    written = versions(spark, target)
+    counted = written.groupBy("path").agg(F.count(F.lit(1)).alias("versions"))
+    key = F.regexp_extract("path", r"/([0-9]+)[.]txt$", 1).cast("bigint").alias("s_suppkey")
+    return current(written).join(counted, "path").select(key, "body", "versions")
