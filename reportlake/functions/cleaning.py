@@ -27,9 +27,15 @@ def tidy(text: Column) -> Column:
     return F.regexp_replace(text, BRACKETED, "")
 
 
+# what every date has: a digit behind a stroke, or the stem of a month; cheap to look for
+ANCHOR = r"[-/](?U:\s*\d)|J(?:an|un|ul)|Feb|Ma[ry]|A(?:pr|ug)|Sep|Oct|Nov|Dec"
+
+
 def dates(text: Column | str) -> Column:
-    """Every date in the text, in order."""
-    return F.regexp_extract_all(text, F.lit(V.DATE), F.lit(1))
+    """Every date in the text, in order. The pattern of dates is tried only where there is an anchor."""
+    text = F.col(text) if isinstance(text, str) else text
+    found = F.regexp_extract_all(text, F.lit(V.DATE), F.lit(1))
+    return F.when(text.rlike(ANCHOR), found).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def chunks(text: Column | str) -> Column:
@@ -50,7 +56,7 @@ def without_dates(chunk: Column) -> Column:
         left = F.regexp_replace(acc, pattern, F.lit(""))
         return F.when(left.contains(V.BROKEN_CHUNK), F.lit("")).otherwise(left)
 
-    return F.when(chunk.rlike(V.DATE), F.aggregate(dates(chunk), chunk, remove)).otherwise(chunk)
+    return F.when(chunk.rlike(ANCHOR), F.aggregate(dates(chunk), chunk, remove)).otherwise(chunk)
 
 
 def _capital(token: Column) -> Column:

@@ -8,13 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.operators import images as I
 from reportlake.operators.joins import missing
 from reportlake.session import scratch, table
+from reportlake.sources.tree import opened
 from reportlake.workloads.base import register
 
 
@@ -250,7 +250,7 @@ def image_folder(spark, folder) -> str:
     root, jpegs = scratch(spark, "images"), jpeg_files(spark)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where, base = fs.FileSystem.from_uri(root)
+        where, base = opened(root)
         where.create_dir(base)
         for batch in batches:
             for key, content in zip(batch["path"].astype(int), batch["content"], strict=True):

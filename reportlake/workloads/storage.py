@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyarrow import fs
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
@@ -16,9 +15,10 @@ from reportlake.operators.joins import missing
 from reportlake.session import scratch, table
 from reportlake.sources import files as S
 from reportlake.sources import sinks as K
+from reportlake.sources import tree as T
 from reportlake.streaming.changes import current, ingest_changes, versions
 from reportlake.streaming.ingest import ingest
-from reportlake.workloads.base import REPORT, derived, register
+from reportlake.workloads.base import REPORT, derived, documents, register
 from reportlake.workloads.report_text import CONCLUDED
 
 STUDY = "concat('/files/p', lpad(CAST(doc_id % 20 AS STRING), 2, '0'), '/p', CAST(doc_id % 100 AS STRING), '/', CASE WHEN doc_id % 9 = 0 THEN 'x' ELSE 's' END, CAST(doc_id AS STRING), '.txt')"
@@ -36,6 +36,20 @@ def s01(spark, folder):
     return S.reports_from_files(found).select("study", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
 
 
+@register(
+    "s01_report_tree",
+    """SELECT 's' || doc_id AS study, md5(CASE WHEN doc_id % 11 = 0 THEN '' ELSE text END) AS text_md5, CAST(CASE WHEN doc_id % 11 = 0 THEN 0 ELSE length(text) END AS INT) AS n_chars
+       FROM documents WHERE doc_id % 9 <> 0""",
+)
+def s01_tree(spark, folder):
+    """A tree of report files that the tasks write, listed by a task for each of its 20 folders; every eleventh file is empty."""
+    root = scratch(spark, "tree")
+    name = F.regexp_replace(F.expr(STUDY), "^/files/", "")
+    body = F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.replace("text", F.lit("\n"), F.lit("\r\n")))
+    write_named(documents(spark, folder).select(name.alias("name"), body.alias("body")), root)
+    return T.reports(spark, root).select("study", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
+
+
 NAMED = "concat('/img/', CASE doc_id % 4 WHEN 0 THEN concat('.', source, '.png') WHEN 1 THEN concat(source, '.PNG') WHEN 2 THEN concat(source, '.jpeg') ELSE concat(source, '.png.txt') END)"
 
 
@@ -301,10 +315,10 @@ def write_named(df, root: str) -> None:
     """(name, body) rows as files of these names; the tasks write them."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where, base = fs.FileSystem.from_uri(root)
-        where.create_dir(base)
+        where, base = T.opened(root)
         for batch in batches:
             for name, body in zip(batch["name"], batch["body"], strict=True):
+                where.create_dir(f"{base}/{name}".rsplit("/", 1)[0])
                 with where.open_output_stream(f"{base}/{name}") as out:
                     out.write(body.encode())
             yield batch[["name"]]
