@@ -1,15 +1,14 @@
 """License scans by a positional index of rare words.
 
-Templates are short notices; the index lists, for each of their words, the template and the place
-of the word in it. A text gives the places of its own index words. A text place less a template place is where the
-template would start, so the postings of one template that agree on a start are an alignment;
-their template places are the bits of a number, gathered by a combining OR.
-
-A template is accepted if all words of its key phrase stand at their places and enough of its words do.
-Base phrases are templates that need all of their words. ``looked_up`` limits the search to the so many
-highest-IDF index words of the text (frequencies are counted over all texts), one of which must then take
-part; with None, as in the query, every index word is looked up and no notice of a text is lost.
-Everything is column expressions. Equal texts share one alignment, found once for a key made of their content.
+Templates are short or long notices; the index lists, for each of their words, the template and the place
+of the word in it. A template needs a key phrase (base phrases: all of their words), so it can only start where
+every word of that phrase stands at its place. It is entered through the one with the highest inverse document
+frequency over all texts: a text place of this word less its template place is a start. The other
+words' postings are intersected with the text's words at their places relative to that start.
+
+A start is accepted if all words of the key phrase stand at their places and enough of the template's words do.
+As the entry word is part of the phrase, no notice is lost, however many a text holds. Everything is column
+expressions. Equal texts are looked up once, for a key made of their content.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ def words_of(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Template:
-    """``key``: a phrase of the text that must be there; without one, the whole text must. At most 62 words."""
+    """``key``: a phrase of the text that must be there; without one, the whole text must. Of any length."""
 
     label: str
     text: str
@@ -45,12 +44,14 @@ class Template:
         return words_of(self.text)
 
     @property
-    def must(self) -> int:
-        """Bits of the places that must be filled."""
+    def must(self) -> range:
+        """Places that must be filled."""
         words = self.words
         key = words if self.key is None else words_of(self.key)
-        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        return sum(1 << i for i in range(at, at + len(key)))
+        at = next((i for i in range(len(words)) if words[i : i + len(key)] == key), None)
+        if not key or at is None:
+            raise ValueError(f"template {self.label!r}: its text holds no key phrase {self.key!r}")
+        return range(at, at + len(key))
 
 
 # fixed values: phrases and labels of the base rule
@@ -68,7 +69,6 @@ NOTICES = (
     Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public License"),
     Template("public-domain", "This is free and unencumbered software released into the public domain", "released into the public domain"),
 )
-LOOKED_UP = 8  # highest-IDF words of a text that are looked up where the search is limited
 SHARE = 0.6  # of a template's words that must be at their places
 
 
@@ -89,7 +89,7 @@ def scanned(docs: DataFrame, templates: Sequence[Template], key: str = "doc_id",
     index = vocabulary(templates)
     rows = docs.select(F.col(key), F.sha2(lowered, 256).alias("content"), F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)).alias("words"))
     rows = rows.withColumn("present", F.array_intersect(_strings(index), F.col("words")))
-    keys = sorted({tuple(sorted({w for i, w in enumerate(t.words) if t.must >> i & 1})) for t in templates})
+    keys = sorted({tuple(sorted({t.words[i] for i in t.must})) for t in templates})
     possible = F.lit(False)
     for needed in keys:
         possible = possible | (F.size(F.array_except(_strings(needed), F.col("present"))) == 0)
@@ -98,42 +98,43 @@ def scanned(docs: DataFrame, templates: Sequence[Template], key: str = "doc_id",
     return rows.select(key, "content", F.size("words").cast("long").alias("n_words"), "present", hits.alias("hits"))
 
 
-def licensed(docs: DataFrame, base: Sequence[Template] = BASE, notices: Sequence[Template] = NOTICES, key: str = "doc_id", text: str = "text", looked_up: int | None = LOOKED_UP) -> DataFrame:
+def entries(rows: DataFrame, templates: Sequence[Template]) -> DataFrame:
+    """(template, word, place): the word of each key phrase with the highest IDF; of equal ones the first in order.
+
+    Document frequencies are counted over all rows; the table has a row for each template.
+    """
+    spark = rows.sparkSession
+    keys = spark.createDataFrame(
+        [(n, t.words[i], i) for n, t in enumerate(templates) for i in t.must], "template int, word string, place int"
+    )
+    seen = rows.select(F.explode("present").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "word", "place"))
+    return keys.join(seen, "word", "left").groupBy("template").agg(rarest.alias("e")).select("template", "e.word", "e.place")
+
+
+def licensed(docs: DataFrame, base: Sequence[Template] = BASE, notices: Sequence[Template] = NOTICES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row.
 
-    Null and empty texts have no words and no labels. Repeated rows each get their result. The
-    score is the largest share of a found template's words, 0 where none is found.
+    Null and empty texts have no words and no labels. Repeated rows each get their result. Very long texts and texts
+    with many notices are looked up whole. The score is the largest share of a found template's words, 0 where none is found.
     """
     spark = docs.sparkSession
     templates = [*base, *notices]
     rows = stage(scanned(docs, templates, key, text), "licences")
-
-    if looked_up is None:
-        chosen = F.col("present")
-    else:  # inverse document frequency of the index words: as many rows as the index has words, at most
-        n = rows.count()
-        counted = rows.select(F.explode_outer("present").alias("word")).groupBy("word").count().filter("word IS NOT NULL").collect()
-        seen = {r["word"]: r["count"] for r in counted}
-        by_idf = sorted(vocabulary(templates), key=lambda w: (seen.get(w, 0) / (n or 1), w))
-        chosen = F.slice(F.array_intersect(_strings(by_idf), F.col("present")), 1, looked_up)
-    hits = rows.filter("hits IS NOT NULL").select("content", chosen.alias("chosen"), F.explode_outer("hits").alias("hit"))
-    hits = hits.select("content", "hit.pos", "hit.word", F.array_contains("chosen", F.col("hit.word")).alias("looked_up"))
-    # both are as large as the given templates, whatever the documents are, so they are sent along
+    # equal texts once; a group of copies is reduced before it meets
+    texts = rows.filter("hits IS NOT NULL").groupBy("content").agg(F.first("hits").alias("hits"))
+    hits = stage(texts.select("content", F.inline_outer("hits")), "hits")
+    # as large as the given templates, whatever the documents are, so they are sent along
     postings = spark.createDataFrame(
-        [(w, number, place) for number, t in enumerate(templates) for place, w in enumerate(t.words)], "word string, template int, place int"
-    )
-    facts = spark.createDataFrame(
-        [(i, t.label, i < len(base), len(t.words), t.must) for i, t in enumerate(templates)],
-        "template int, label string, is_base boolean, size int, must long",
-    )
-    bit = F.expr("shiftleft(1L, place)")
-    aligned = hits.join(F.broadcast(postings), "word").withColumn("start", F.col("pos") - F.col("place"))
-    aligned = aligned.groupBy("content", "template", "start").agg(
-        F.bit_or(bit).alias("filled"), F.bit_or(F.when(F.col("looked_up"), bit).otherwise(F.lit(0).cast("long"))).alias("looked_up")
+        [(n, t.label, n < len(base), len(t.words), len(t.must), place, word, place in t.must) for n, t in enumerate(templates) for place, word in enumerate(t.words)],
+        "template int, label string, is_base boolean, size int, needed int, place int, word string, must boolean",
     )
-    share = F.bit_count("filled") / F.col("size")
-    enough = F.when(F.col("is_base"), F.lit(True)).otherwise((F.col("looked_up") != 0) & (share >= SHARE))
-    found = aligned.join(F.broadcast(facts), "template").filter((F.col("filled").bitwiseAND(F.col("must")) == F.col("must")) & enough)
+    starts = hits.join(F.broadcast(entries(rows, templates)), "word").select("content", "template", (F.col("pos") - F.col("place")).alias("start"))
+    wanted = starts.join(F.broadcast(postings), "template").withColumn("pos", F.col("start") + F.col("place"))
+    aligned = wanted.join(hits, ["content", "pos", "word"]).groupBy("content", "template", "start", "label", "is_base", "size", "needed")
+    aligned = aligned.agg(F.count(F.lit(1)).alias("filled"), F.count_if("must").alias("held"))
+    share = F.col("filled") / F.col("size")
+    found = aligned.filter((F.col("held") == F.col("needed")) & (F.col("is_base") | (share >= SHARE)))
     place = F.when(F.col("is_base"), F.col("start").cast("long"))
     labels = lambda x: F.array_join(F.array_sort(F.collect_set(x)), ",")
     per_text = found.groupBy("content").agg(
@@ -158,21 +159,17 @@ def licensed(docs: DataFrame, base: Sequence[Template] = BASE, notices: Sequence
 
 
 def oracle(base: Sequence[Template] = BASE, notices: Sequence[Template] = NOTICES) -> str:
-    """DuckDB SQL of the rule with its limit of ``LOOKED_UP`` words; it finds fewer notices where a text holds many."""
+    """DuckDB SQL of the same rule, with every alignment of every index word."""
     templates = [*base, *notices]
-    postings = ", ".join(f"('{w}', {i}, {p})" for i, t in enumerate(templates) for p, w in enumerate(t.words))
-    facts = ", ".join(f"({i}, '{t.label}', {i < len(base)}, {len(t.words)}, {t.must}::BIGINT)" for i, t in enumerate(templates))
+    postings = ", ".join(f"('{w}', {i}, {p}, {p in t.must})" for i, t in enumerate(templates) for p, w in enumerate(t.words))
+    facts = ", ".join(f"({i}, '{t.label}', {i < len(base)}, {len(t.words)}, {len(t.must)})" for i, t in enumerate(templates))
     return (
-        f"WITH p(word, template, place) AS (VALUES {postings}), f(template, label, is_base, size, must) AS (VALUES {facts}),"
+        f"WITH p(word, template, place, must) AS (VALUES {postings}), f(template, label, is_base, size, needed) AS (VALUES {facts}),"
         f" d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS words FROM documents),"
         " t AS (SELECT k, unnest(words) AS word, unnest(range(0, len(words))) AS pos FROM d),"
-        " h AS (SELECT * FROM t WHERE word IN (SELECT word FROM p)),"
-        " n AS (SELECT word, count(DISTINCT k) AS n FROM h GROUP BY word),"
-        f" c AS (SELECT k, word, row_number() OVER (PARTITION BY k ORDER BY n, word) <= {LOOKED_UP} AS up FROM (SELECT DISTINCT k, word FROM h) JOIN n USING (word)),"
-        " a AS (SELECT k, template, pos - place AS start, bit_or(1::BIGINT << place) AS filled, bit_or(CASE WHEN up THEN 1::BIGINT << place ELSE 0 END) AS up"
-        " FROM h JOIN c USING (k, word) JOIN p USING (word) GROUP BY ALL),"
-        " x AS (SELECT k, label, is_base, bit_count(filled) / size AS share, CASE WHEN is_base THEN start END AS start FROM a JOIN f USING (template)"
-        f" WHERE filled & must = must AND (is_base OR (up <> 0 AND bit_count(filled) / size >= {SHARE}))),"
+        " a AS (SELECT k, template, pos - place AS start, count(*) AS filled, count(*) FILTER (must) AS held FROM t JOIN p USING (word) GROUP BY ALL),"
+        " x AS (SELECT k, label, is_base, filled / size AS share, CASE WHEN is_base THEN start END AS start FROM a JOIN f USING (template)"
+        f" WHERE held = needed AND (is_base OR filled / size >= {SHARE})),"
         " g AS (SELECT k, count(start) AS n_base, min(start) AS first_word, max(start) AS last_word,"
         " string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM x GROUP BY k)"
         " SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,"
