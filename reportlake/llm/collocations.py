@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from reportlake.llm.common import whole_text
 from reportlake.session import stage
 
+ROWS = 2000  # texts that are joined at a time
 SLICE = 2 << 20  # bytes of text that are cut into words at a time
 WAITING = 1 << 16  # keys that a container gathers before they enter its table
 BURST = 1 << 18  # phrases of a container, above which it bursts
@@ -227,7 +228,11 @@ class Counter:
         ids = [(keys >> (BITS * (self.longest - 1 - i))) & ((1 << BITS) - 1) for i in range(self.longest)]
         second = np.where(ids[1] > 0, hashes[ids[1] - 1], 0)
         bucket = (hashes[ids[0] - 1] * 31 + second) % self.buckets
-        order = np.lexsort((*(rank[x] for x in reversed(ids)), bucket))
+        ranks = np.zeros(len(keys), np.int64)
+        for x in ids:
+            ranks = (ranks << BITS) | rank[x]
+        order = np.argsort(ranks)
+        order = order[np.argsort(bucket[order].astype(np.uint16 if self.buckets < 1 << 16 else np.int64), kind="stable")]
         bucket, counts, ids = bucket[order], counts[order], [x[order] for x in ids]
         ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket))
         start = 0
@@ -268,7 +273,8 @@ def counted(docs: DataFrame, text: str = "text", lang: str = "lang", longest: in
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(longest, buckets, held)
         out = lambda runs: (pa.RecordBatch.from_pandas(r, schema=RUNS, preserve_index=False) for r in runs)
-        for batch in batches:
+        parts = (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS))
+        for batch in parts:
             langs = batch.column("lang").dictionary_encode()
             codes = langs.indices.to_numpy()
             for code, name in enumerate(langs.dictionary.to_pylist()):
