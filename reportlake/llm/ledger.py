@@ -12,7 +12,7 @@ a match starts where the pieces and matches before it end. Positions count code
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -62,6 +62,36 @@ RULES = (
 FINDING = "struct<start:long,rank:int,rule:string,kind:string,end:long>"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def blocks(items: Column) -> Column:
+    """An array cut in about as many arrays as each has items."""
+    n = F.size(items)
+    width = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+    numbers = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, lambda b: F.slice(items, b * width + 1, width))
+
+
+def running(items: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array's non-negative numbers, what ``join`` makes of 0 and all before it.
+
+    Two levels of blocks, as appending to one long array copies it each time: n items cost n**1.5 steps.
+    """
+
+    def before(numbers: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<long>").alias("out"))
+        add = lambda seen, x: F.struct(join(seen["at"], x).alias("at"), F.concat(seen["out"], F.array(seen["at"])).alias("out"))
+        return F.aggregate(numbers, start, add)
+
+    zero = F.lit(0).cast("long")
+    inner = lambda items: F.transform(blocks(items), lambda part: before(part, zero))
+    joined = lambda parts: F.zip_with(parts, before(F.transform(parts, lambda p: p["at"]), zero)["out"], lambda p, o: F.transform(p["out"], lambda v: join(v, o)))
+    return let(items, lambda bound: let(inner(bound), lambda parts: F.flatten(joined(parts))))
+
+
 def matches(text: Column, rule: Rule, rank: int) -> Column:
     """Array of FINDING for one rule; empty where nothing matches."""
     expression = F.lit(rule.pattern)
@@ -72,20 +102,22 @@ def matches(text: Column, rule: Rule, rank: int) -> Column:
     else:
         sizes = lengths
     between = F.transform(F.split(text, rule.pattern, -1), F.length)
-    # pieces and matches in turn; the running sum over them gives each match's end
+    # pieces and matches in turn; the running sum over them gives where each match's piece begins
     steps = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), lengths.alias("size"), sizes.alias("counted"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{FINDING}>").alias("out"))
 
-    def step(seen: Column, x: Column) -> Column:
-        first = seen["at"] + x["gap"]
-        end = first + x["size"]
-        row = F.struct(
-            first.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.name).alias("rule"), F.lit(rule.kind).alias("kind"), end.alias("end")
+    def row(x: Column, at: Column) -> Column:
+        first = at + x["gap"]
+        return F.struct(
+            first.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.name).alias("rule"), F.lit(rule.kind).alias("kind"),
+            (first + x["size"]).alias("end"), x["counted"].alias("counted"),
         )
-        good = x["counted"] >= rule.least
-        return F.struct(end.alias("at"), F.when(good, F.concat(seen["out"], F.array(row))).otherwise(seen["out"]).alias("out"))
 
-    scanned = F.aggregate(steps, start, step, lambda seen: seen["out"])
+    def placed(steps: Column) -> Column:
+        taken = F.transform(steps, lambda x: (x["gap"] + x["size"]).cast("long"))
+        rows = F.filter(F.zip_with(steps, running(taken, lambda a, b: a + b), row), lambda x: x["counted"] >= rule.least)
+        return F.transform(rows, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "rank", "rule", "kind", "end")])).cast(f"array<{FINDING}>")
+
+    scanned = let(steps, placed)
     possible = text.rlike(rule.pattern)
     for i, hint in enumerate(rule.hints):
         near = F.contains(text, F.lit(hint)) if not i else near | F.contains(text, F.lit(hint))
@@ -163,19 +195,29 @@ def masked(docs: DataFrame) -> DataFrame:
     text = F.col(place["text"])
     ledger = stage(scanned(marked, None, RULES, place["text"], [place["doc_id"]]), "ledger")
     hits = ledger.filter(F.size("findings") > 0).select("blob", F.array_sort("findings").alias("findings"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    source = F.col(place["text"])
+
+    def cut(whole: Column, start: Column, end: Column) -> Column:
+        return F.substring(whole, (start + 1).cast("int"), (end - start).cast("int"))
+
+    def cleaned(spans: Column) -> Column:
+        """Pieces before each span that begins behind all earlier ones; a block of spans is cut from its own part of the text."""
+
+        def block(part: Column) -> Column:
+            first = F.get(part, F.lit(0))["at"]
+            own = cut(source, first, F.element_at(part, -1)["start"])
+            return let(own, lambda t: F.array_join(F.transform(part, lambda x: F.concat(cut(t, x["at"] - first, x["start"] - first), F.lit("["), x["kind"], F.lit("]"))), ""))
 
-    def step(seen: Column, x: Column) -> Column:
-        piece = F.substring(F.col(place["text"]), (seen["at"] + 1).cast("int"), (x["start"] - seen["at"]).cast("int"))
-        fresh = x["start"] >= seen["at"]
-        out = F.when(fresh, F.concat(seen["out"], F.array(piece, F.concat(F.lit("["), x["kind"], F.lit("]"))))).otherwise(seen["out"])
-        return F.struct(F.greatest(seen["at"], x["end"]).alias("at"), out.alias("out"))
+        return F.array_join(F.transform(blocks(spans), block), "")
 
-    def end(seen: Column) -> Column:
-        return F.concat(F.array_join(seen["out"], ""), F.substring(F.col(place["text"]), (seen["at"] + 1).cast("int"), F.length(text)))
+    def clean(found: Column) -> Column:
+        ends = F.transform(found, lambda x: x["end"])
+        with_at = F.zip_with(found, running(ends, F.greatest), lambda x, at: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), at.alias("at")))
+        tail = cut(source, F.array_max(ends), F.length(text).cast("long"))
+        return F.concat(let(F.filter(with_at, lambda x: x["start"] >= x["at"]), cleaned), tail)
 
     rows = marked.withColumn("blob", F.sha2(whole_text(place["text"]), 256)).join(hits, "blob", "left")
-    rows = rows.withColumn("__clean", F.when(F.col("findings").isNotNull(), F.aggregate("findings", start, step, end)))
+    rows = rows.withColumn("__clean", F.when(F.col("findings").isNotNull(), clean(F.col("findings"))))
     changed = {"text": F.coalesce("__clean", text)}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.coalesce(F.length("__clean").cast(docs.schema["n_chars"].dataType), F.col(place["n_chars"]))

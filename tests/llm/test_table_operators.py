@@ -204,6 +204,29 @@ def test_warc_reader():
             read(packer.compress(broken) + packer.flush())
 
 
+# ledger, many matches
+
+
+def test_many_matches_of_one_text(spark):
+    """Positions and masks of a long checksum list: blocks of matches meet at every size."""
+    rng = random.Random(8)
+    texts = ["\n".join(f"{rng.getrandbits(160):040x} é {i}" for i in range(n)) for n in (1, 2, 3, 4, 5, 8, 9, 10, 16, 17, 5000)]
+    texts.append(" ".join(f"secret=abc{i}defa{'0' * 24} AKIA{'Z' * 16}{i}" for i in range(200)))  # spans that overlap
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = {r.kind: (re.compile(r.pattern), r.group, r.least) for r in ledger.RULES}
+    found = {r.doc_id: [(f.kind, f.start, f.end) for f in r.findings] for r in ledger.secrets(df)[0].collect()}
+    masked = {r.doc_id: r.text for r in ledger.masked(df).collect()}
+    for i, t in enumerate(texts):
+        want = [(m.start(), n, k, m.end()) for n, (k, (p, g, least)) in enumerate(kinds.items()) for m in p.finditer(t) if len(m[g]) >= least]
+        assert found[i] == [(k, s, e) for s, _, k, e in sorted(want)]
+        out, at = "", 0
+        for s, _, k, e in sorted(want):
+            if s >= at:
+                out += t[at:s] + f"[{k}]"
+            at = max(at, e)
+        assert masked[i] == out + t[at:]
+
+
 # licences
 
 
