@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reportlake.plans import folds
 from reportlake.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +137,20 @@ def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """The documents, dealt to all cores: the given file is one row group, which a scan cannot cut."""
     return table(spark, folder, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+
+
+def drawn_sql(source: str, key: str, items: str, rate: float) -> str:
+    """``source`` with a row for each item that W4 draws: its place ``i`` among them and the item ``x``.
+
+    Every swap of the permutation is a nested query.
+    """
+    base = f"(CAST('0x' || substr(md5('42:' || {key}), 1, 8) AS BIGINT) % {folds.PRIME - 1} + 1)"
+    out = f"(SELECT *, CAST(len({items}) AS BIGINT) AS n_, greatest(1, CAST(floor({rate}::DOUBLE * len({items})) AS BIGINT)) AS k_ FROM {source})"
+    out = f"(SELECT *, unnest(range(k_)) AS i FROM {out} WHERE n_ > 0)"
+    out = f"(SELECT *, {base} AS base_, i AS p_ FROM {out})"
+    for r in range(1, folds.SWAPS + 1):
+        key_ = f"(base_ * {pow(folds.KEY_ROOT, r, folds.PRIME)} % {folds.PRIME})"
+        out = f"(SELECT *, {key_} AS key_, ({key_} % n_ + n_ - p_) % n_ AS o_ FROM {out})"
+        bit = f"((((greatest(p_, o_) % {folds.PRIME} * {folds.MIX} + key_) % {folds.PRIME} * {folds.SECOND_MIX}) % {folds.PRIME}) >> 16) % 2"
+        out = f"(SELECT * EXCLUDE (key_, o_) REPLACE (CASE WHEN {bit} = 1 THEN o_ ELSE p_ END AS p_) FROM {out})"
+    return f"(SELECT *, {items}[p_ + 1] AS x FROM {out})"

@@ -11,7 +11,7 @@ from reportlake.plans import folds
 from reportlake.plans import ordinals as W
 from reportlake.plans.packing import pack
 from reportlake.session import table
-from reportlake.workloads.base import derived, documents, register
+from reportlake.workloads.base import derived, documents, drawn_sql, register
 
 WORLD, BATCH = 3, 10
 M = WORLD * BATCH
@@ -70,22 +70,10 @@ def w03(spark, folder):
     return df.select("doc_id", W.part_of(F.col("ordinal"), F.col("n_rows"), 10).alias("part"))
 
 
-def _swapped_sql(source: str) -> str:
-    """Places after each of the swaps, one nested query for each."""
-    base = "(CAST('0x' || substr(md5('42:' || doc_id), 1, 8) AS BIGINT) % 2147483646 + 1)"
-    out = f"(SELECT *, {base} AS base, i AS p FROM {source})"
-    for r in range(1, folds.SWAPS + 1):
-        key = f"(base * {pow(folds.KEY_ROOT, r, folds.PRIME)} % 2147483647)"
-        out = f"(SELECT *, {key} AS key, ({key} % n + n - p) % n AS o FROM {out})"
-        bit = "((((greatest(p, o) % 2147483647 * 48271 + key) % 2147483647 * 69621) % 2147483647) >> 16) % 2"
-        out = f"(SELECT doc_id, words, n, k, i, base, CASE WHEN {bit} = 1 THEN o ELSE p END AS p FROM {out})"
-    return out
-
-
-_DRAWN = "(SELECT *, unnest(range(k)) AS i FROM (SELECT doc_id, words, CAST(len(words) AS BIGINT) AS n, greatest(1, CAST(floor(0.05::DOUBLE * len(words)) AS BIGINT)) AS k FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents)))"
-
-
-@register("w04_sampled_items", f"SELECT doc_id, string_agg(words[p + 1], ' ' ORDER BY i) AS sampled FROM {_swapped_sql(_DRAWN)} GROUP BY doc_id")
+@register(
+    "w04_sampled_items",
+    f"SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS sampled FROM {drawn_sql('(SELECT doc_id, string_split(text, chr(32)) AS words FROM documents)', 'doc_id', 'words', 0.05)} GROUP BY doc_id",
+)
 def w04(spark, folder):
     df = documents(spark, folder).select("doc_id", F.split("text", " ", -1).alias("words"))
     return df.select("doc_id", F.array_join(folds.sample_items("words", 0.05, "doc_id"), " ").alias("sampled"))

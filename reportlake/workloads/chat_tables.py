@@ -17,7 +17,7 @@ from reportlake.plans.batches import image_balanced, image_mix
 from reportlake.plans.folds import sample_items
 from reportlake.session import stage, table
 from reportlake.sources.files import missing_paths
-from reportlake.workloads.base import documents, register
+from reportlake.workloads.base import documents, drawn_sql, register
 from reportlake.workloads.report_text import PROMPT_ROWS, tokens_sql
 
 IMAGES = """CASE u.conv_id % 4 WHEN 0 THEN array() WHEN 1 THEN array(concat('i/', CAST(u.conv_id AS STRING)))
@@ -308,12 +308,11 @@ def f04(spark, folder):
     "flow_instruction_rows",
     f"""WITH {SAMPLES_SQL}, t AS (SELECT sample_id, CASE sample_id % 3 WHEN 0 THEN '[Findings Generation]' WHEN 1 THEN '[Findings Summarization]' END AS task,
           list_filter(image, lambda p: p <> 'k' AND NOT (conv_id % 11 = 0 AND starts_with(p, 'i/'))) AS image, string_split(instruction, '. ') AS q, response FROM samples),
-        u AS (SELECT sample_id, task, image, response, i - 1 AS i, q[i] AS x, len(q) AS n FROM t, unnest(range(1, len(q) + 1)) AS r(i) WHERE task IS NOT NULL AND len(image) > 0),
-        k AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY md5('42:' || sample_id || ':' || i)) AS r FROM u),
+        k AS (SELECT sample_id, task, image, response, x FROM {drawn_sql('(SELECT * FROM t WHERE task IS NOT NULL AND len(image) > 0)', 'sample_id', 'q', 0.3)}),
         d(name, prompts) AS (VALUES {PROMPT_ROWS})
         SELECT sample_id, task, md5(coalesce(prompts[1 + ('0x' || substr(md5('42:' || sample_id || ':' || x), 1, 8))::BIGINT % len(prompts)], '')) AS prompt, md5(x) AS instruction, CAST(3 AS INT) AS n_turns, CAST(len(image) + 1 AS INT) AS n_user_elements,
           CAST(len({tokens_sql('x')}) + len({tokens_sql('response')}) + 256 * len(image) AS BIGINT) AS length
-        FROM k LEFT JOIN d ON name = trim(task, '[]') WHERE r <= greatest(1, CAST(floor(0.3::DOUBLE * n) AS INT))""",
+        FROM k LEFT JOIN d ON name = trim(task, '[]')""",
 )
 def instruction_rows(spark, folder):
     """Images listed and not called missing, a drawn prompt for each pair."""
