@@ -120,15 +120,21 @@ class Shard:
                     met.add((a, b))
                     heapq.heappush(heap, (-(high[a] + low[b]), a, b))
 
+    def exact(self, anchor: np.ndarray) -> np.ndarray:
+        """The anchor as doubles where all sums stay whole in them, else as it is."""
+        fits = self.longest < EXACT and int(np.abs(anchor).max(initial=0)) ** 2 * len(anchor) < EXACT
+        return anchor.astype(float) if fits else anchor
+
     def scores(self, anchor: np.ndarray, span: tuple[int, int]) -> np.ndarray:
         rows = slice(*span)
-        if self.longest < EXACT and int(np.abs(anchor).max(initial=0)) ** 2 * len(anchor) < EXACT:
-            return (self.vectors[rows] @ anchor.astype(float)).astype(np.int64)
+        if anchor.dtype == float:
+            return (self.vectors[rows] @ anchor).astype(np.int64)
         return self.whole[rows] @ anchor
 
     def positives(self, anchor_id: int, label: int, anchor: np.ndarray, wanted: int) -> list[tuple[int, int]]:
         """The best rows of the label as (score, id)."""
         best: list[tuple[int, int]] = []  # (-score, id), sorted
+        anchor = self.exact(anchor)
         for bound, span in self.visits(anchor):
             if len(best) == wanted and -best[-1][0] > bound:
                 break
@@ -144,6 +150,7 @@ class Shard:
     def negatives(self, label: int, anchor: np.ndarray, tops: list[int], mining: Mining) -> dict[int, list[tuple[int, int]]]:
         """For every positive score, the best rows of other labels in its window as (score, id)."""
         low, high, wanted = mining.low_percent, mining.high_percent, mining.negatives
+        anchor = self.exact(anchor)
         # an empty window has nothing to look for
         open_: dict[int, list[tuple[int, int]]] = {p: [] for p in tops if low * p <= high * p}
         found: dict[int, list[tuple[int, int]]] = {}
@@ -164,8 +171,10 @@ class Shard:
                 continue
             score, ids = score[fits], self.ids[rows][fits]
             for p, best in open_.items():
-                inside = (score <= high * p // 100) & (score >= -(-low * p // 100))
-                open_[p] = merged(best, score[inside], ids[inside], wanted)
+                least = max(-(-low * p // 100), -best[-1][0]) if len(best) == wanted else -(-low * p // 100)
+                inside = (score <= high * p // 100) & (score >= least)
+                if inside.any():
+                    open_[p] = merged(best, score[inside], ids[inside], wanted)
         return {p: [(-s, i) for s, i in best] for p, best in (found | open_).items()}
 
 
