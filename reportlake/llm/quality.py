@@ -1,16 +1,20 @@
 """Quality rules: divergence of a document from the language it claims.
 
 The character classes and the common words of a document are two histograms. Each is held
-against the pooled histogram of all documents of the same language by the Jensen-Shannon
-distance (square root of the divergence in bits, 0 to 1). A document too short for a
+against the pooled histogram of all other documents of the same language by the Jensen-Shannon
+distance (square root of the divergence in bits, 0 to 1): what a document adds to the reference is
+taken out before it is judged, so none vouches for itself. A document too short for a
 histogram to mean anything is judged by neither: that is the minimum-length guard.
 
 References are counts over all documents of a language, whatever its share of the corpus: classes
 are summed, words counted and the ``common_words`` most frequent kept. They are a table that is
-joined to the documents by language. A language with under ``least_chars`` characters has no class
-reference and one with under ``least_words`` words no word reference: its documents are not judged
-by that histogram, and never by another language's. A document without a language claims none and
-is judged by neither.
+joined to the documents by language. Where the other documents of a language have under ``least_chars``
+characters there is no class reference and under ``least_words`` words no word reference: the document is
+not judged by that histogram, and never by another language's. A document without a language claims none
+and is judged by neither. Besides, each document is held against the rest of the whole
+corpus by classes that no script decides (letters of any script, digits, stops, symbols, control characters, without
+spaces), where every document weighs the same, whatever its length: a text of symbols that is alone in its language,
+or among its own copies there, diverges; a text in a rare script does not.
 """
 
 from __future__ import annotations
@@ -35,6 +39,18 @@ FLUSH = 200_000  # counted words that a task holds at most
 
 # classes of a character, told by the first byte of its UTF-8 form
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "control", "latin", "two_bytes", "three_bytes", "four_bytes")
+# classes that say nothing about the script; spaces belong to none
+NEUTRAL = (("lower", "upper", "latin", "two_bytes", "three_bytes", "four_bytes"), ("digit",), ("stop",), ("symbol",), ("control",))
+
+
+def neutral_counts(classes: np.ndarray) -> np.ndarray:
+    return np.array([sum(classes[CLASSES.index(c)] for c in group) for group in NEUTRAL], dtype=np.int64)
+
+
+def neutral_shares(classes: np.ndarray) -> np.ndarray:
+    """Shares of the neutral classes in millionths, so that sums over documents are exact."""
+    counts = neutral_counts(classes)
+    return counts * 1_000_000 // max(1, counts.sum())
 
 
 def _class_table() -> np.ndarray:
@@ -84,11 +100,16 @@ def unpacked(reference: str) -> tuple[np.ndarray, dict[bytes, int] | None, np.nd
 class References:
     """``table``: (lang, reference), one row per language that has one; ``everything``: the same of the whole corpus.
 
-    The dictionaries are for looking at and are collected when asked for; jobs only join ``table``.
+    ``corpus`` are the neutral shares summed over all documents; ``least_chars``, ``least_words`` and ``least_documents``
+    are what must be left of a reference without the document that is judged. The dictionaries are for looking at and are collected when asked for; jobs only join ``table``.
     """
 
     table: DataFrame
     everything: DataFrame
+    corpus: np.ndarray
+    least_chars: int
+    least_words: int
+    least_documents: int
 
     @cached_property
     def _unpacked(self) -> dict[str, tuple]:
@@ -109,13 +130,15 @@ def _partial_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     table = _class_table()
     words: dict[str | None, Counter] = {}
     classes: dict[str | None, np.ndarray] = {}
+    shares = np.zeros(len(NEUTRAL), dtype=np.int64)
     held = 0
 
     def flush() -> pd.DataFrame:
         rows = [(lang, 1, w.decode("utf-8", "replace"), n) for lang, counted in words.items() for w, n in counted.items()]
         rows += [(lang, 0, str(i), int(n)) for lang, counted in classes.items() for i, n in enumerate(counted) if n]
         rows += [(lang, 2, "words", counted.total()) for lang, counted in words.items()]
-        words.clear(), classes.clear()
+        rows += [(None, 3, str(i), int(n)) for i, n in enumerate(shares) if n]
+        words.clear(), classes.clear(), shares.fill(0)
         return pd.DataFrame(rows, columns=["lang", "kind", "item", "n"])
 
     for batch in batches:
@@ -125,7 +148,9 @@ def _partial_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             before = len(found)
             found.update(raw.lower().split())
             held += len(found) - before + (lang not in classes)
-            classes[lang] = classes.get(lang, 0) + class_counts(raw, table)
+            own = class_counts(raw, table)
+            classes[lang] = classes.get(lang, 0) + own
+            shares += neutral_shares(own)
             if held > FLUSH:
                 yield flush()
                 held = 0
@@ -153,12 +178,12 @@ def _packed(counts: DataFrame, common_words: int, least_chars: int, least_words:
     return found.filter(by_class | by_word).select("lang", packed.alias("reference"))
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang", common_words: int = 150, least_chars: int = 2000, least_words: int = 1000) -> References:
+def references(docs: DataFrame, text: str = "text", lang: str = "lang", common_words: int = 150, least_chars: int = 2000, least_words: int = 1000, least_documents: int = 20) -> References:
     """Reference histograms of all languages, counted in one pass and pre-aggregated per task.
 
     Null texts count as empty, null languages for none. Of equally frequent words the smaller
     one is taken. Where too little of a language is there for a reference, or nothing at all, no
-    document of it diverges.
+    document of it diverges from its language.
     """
     counts = docs.select(whole_text(text).alias("text"), F.col(lang).cast("string").alias("lang")).mapInPandas(
         _partial_counts, "lang string, kind int, item string, n long"
@@ -166,7 +191,9 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common_w
     counts = stage(counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "quality-counts")
     own = stage(_packed(counts.filter("lang IS NOT NULL"), common_words, least_chars, least_words), "quality-references")
     pooled = counts.groupBy("kind", "item").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(ALL))
-    return References(own, _packed(pooled, common_words, 1, 1))
+    shares = {int(r.item): r.n for r in pooled.filter("kind = 3").select("item", "n").collect()}  # at most one row a neutral class
+    corpus = np.array([shares.get(i, 0) for i in range(len(NEUTRAL))], dtype=np.int64)
+    return References(own, _packed(pooled, common_words, 1, 1), corpus, least_chars, least_words, least_documents)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -184,7 +211,7 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean, neutral_distance double"
 
 
 @dataclass(frozen=True)
@@ -197,16 +224,21 @@ class Limits:
     word_guard: int = 100  # words below which common words are not judged
     class_distance: float = 0.32
     word_distance: float = 0.52
+    neutral_distance: float = 0.5  # about half symbols
 
 
-def measured(docs: DataFrame, refs: References, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
+def measured(docs: DataFrame, refs: References, limits: Limits = Limits(), text: str = "text", lang: str = "lang", counted: bool = True) -> DataFrame:
     """``docs`` with the columns of ``MEASURES``; columns of those names are replaced.
 
+    ``counted`` says that the references were counted over these documents, so that each is judged without
+    its own share; a word that only the document itself uses is then no common word. Copies are other documents.
     A null or empty text has no words, distance 0 and fails the base rules. Repeated rows are
-    each measured. A distance is 0 where the guard leaves it unjudged or the language has no
+    each measured. A distance is 0 where the guard leaves it unjudged or nothing is left of the
     reference.
     """
-    table = _class_table()
+    table, corpus, least_chars, least_words = _class_table(), refs.corpus, refs.least_chars, refs.least_words
+    least_shares = (refs.least_documents - 1) * 1_000_000
+    rest_of = (lambda whole, own: np.maximum(whole - own, 0)) if counted else (lambda whole, own: whole)
 
     def row(text: str, reference: str | None, read: Callable) -> tuple:
         raw = text.encode("utf-8")
@@ -215,17 +247,27 @@ def measured(docs: DataFrame, refs: References, limits: Limits = Limits(), text:
         repeats = repeated_words(words)
         failed = len(words) < limits.least_words or 100 * repeats > limits.repeat_percent * len(words)
         classes, places, counts = (None, None, None) if reference is None else read(reference)
-        by_class = by_word = 0.0
-        if len(text) >= limits.class_guard and classes is not None:
-            by_class = jensen_shannon(class_counts(raw, table), classes)
+        by_class = by_word = neutral = 0.0
+        if len(text) >= limits.class_guard:
+            own = class_counts(raw, table)
+            left = None if classes is None else rest_of(classes, own)
+            if left is not None and left.sum() >= least_chars:
+                by_class = jensen_shannon(own, left)
+            others = rest_of(corpus, neutral_shares(own))
+            if others.sum() > least_shares:
+                neutral = jensen_shannon(neutral_counts(own), others)
         if len(words) >= limits.word_guard and places is not None:
             other = len(counts) - 1
-            at = [places.get(w, other) for w in raw.lower().split()]
-            by_word = jensen_shannon(np.bincount(at, minlength=other + 1), counts)
-        good = not failed and by_class <= limits.class_distance and by_word <= limits.word_distance
+            own = np.bincount([places.get(w, other) for w in raw.lower().split()], minlength=other + 1)
+            left = rest_of(counts, own)
+            own[other] += own[:other][left[:other] == 0].sum()
+            own[:other][left[:other] == 0] = 0
+            if left.sum() >= least_words:
+                by_word = jensen_shannon(own, left)
+        good = not failed and by_class <= limits.class_distance and by_word <= limits.word_distance and neutral <= limits.neutral_distance
         spaces = len(raw) - len(raw.translate(None, SPACES))
         symbols = len(raw) - len(raw.translate(None, SYMBOLS))
-        return len(words), len(text) - spaces, symbols, len(lines) - len(set(lines)), repeats, failed, by_class, by_word, good
+        return len(words), len(text) - spaces, symbols, len(lines) - len(set(lines)), repeats, failed, by_class, by_word, good, neutral
 
     @F.pandas_udf(MEASURES)
     def measure(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

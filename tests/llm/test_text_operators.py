@@ -3,11 +3,12 @@
 import hashlib
 import itertools
 import json
+import math
 import os
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -115,10 +116,91 @@ def test_quality_rare_language_has_its_own_reference(spark, english):
     # the distances are those of the language's documents alone
     table, joined = quality._class_table(), "\n".join(t for t, lang in texts if lang == "el").encode()
     pooled = quality.class_counts(joined, table) - quality.class_counts(b"\n" * 20, table)
-    assert all(rows[i].class_distance == quality.jensen_shannon(quality.class_counts(texts[i][0].encode(), table), pooled) for i in range(21))
+    own = [quality.class_counts(texts[i][0].encode(), table) for i in range(21)]
+    assert all(rows[i].class_distance == quality.jensen_shannon(own[i], pooled - own[i]) for i in range(21))
     assert sorted(quality.keep_good(docs.filter("lang != 'en' OR lang IS NULL")).toPandas()["doc_id"]) == [i for i in range(24) if i != 20]
 
 
+def test_quality_none_vouches_for_itself(spark):
+    """Junk alone in its language, without a language, or among its copies; clean texts in the same places."""
+    rng = random.Random(9)
+    junk, (rare, other) = " ".join(f"#$%&{i}|" for i in range(1200)), prose_of(rng, "абвгдеиклмно", 2)
+    texts = [(t, "en") for t in prose_of(rng, "aeionrst", 30)]
+    texts += [(junk, "j1"), (junk, None), *[(junk, "j3")] * 3, (rare, "ru"), (other, None), ("日本語の文章" * 60 + " w" * 50, "ja")]
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    rows = {r.doc_id: r for r in quality.measured(docs, quality.references(docs)).collect()}
+    assert [i for i in rows if rows[i].neutral_distance > 0.5] == [30, 31, 32, 33, 34] == [i for i in range(37) if not rows[i].kept]
+    assert rows[30].class_distance == rows[30].word_distance == 0 and rows[32].class_distance == 0
+    # references counted elsewhere are whole: the same text then finds itself there
+    alone = docs.filter("doc_id = 30")
+    kept = quality.measured(alone, quality.references(alone), counted=False).collect()[0]
+    assert (kept.class_distance, kept.word_distance, kept.neutral_distance) == (0, 0, 0)
+
+
+def divergence(p, q):
+    total = lambda x: sum(x.values())
+    if not total(p) or not total(q):
+        return 0.0
+    gap = 0.0
+    for k in p.keys() | q.keys():
+        a, b = p[k] / total(p), q[k] / total(q)
+        gap += sum(x * math.log2(2 * x / (a + b)) / 2 for x in (a, b) if x)
+    return max(gap, 0.0) ** 0.5
+
+
+def kinds_of(text):
+    groups = [("space", " \t\n\r\x0b\x0c"), ("stop", ".,;:!?'\"()-"), ("digit", "0123456789")]
+    groups += [("lower", "abcdefghijklmnopqrstuvwxyz"), ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")]
+    plain = {c: name for name, chars in groups for c in chars}
+
+    def kind(c):
+        n = ord(c)
+        if n < 128:
+            return plain.get(c, "control" if n < 32 or n == 127 else "symbol")
+        return "latin" if n < 0x280 else "two" if n < 0x800 else "three" if n < 0x10000 else "four"
+
+    return Counter(map(kind, text))
+
+
+def quality_by_force(docs):
+    """doc_id to (class, word, neutral distance, kept), by counting everything again for every document."""
+    letters = {"lower", "upper", "latin", "two", "three", "four"}
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    kinds = {i: kinds_of(t) for i, t, _ in docs}
+    words = {i: Counter(re.findall(r"[^\x20\x09-\x0D]+", low(t))) for i, t, _ in docs}
+    whole, every, out = defaultdict(Counter), defaultdict(Counter), {}
+    for i, _, lang in docs:
+        whole[lang].update(kinds[i])
+        every[lang].update(words[i])
+    fold = lambda c: Counter({k: sum(n for x, n in c.items() if x == k or (k == "letter" and x in letters)) for k in ("letter", "digit", "stop", "symbol", "control")})
+    shares = {i: Counter({k: n * 10**6 // max(1, fold(c).total()) for k, n in fold(c).items()}) for i, c in kinds.items()}
+    everyone = sum(shares.values(), Counter())
+    common = {}
+    for lang in whole:
+        found = sorted((-n, w) for w, n in every[lang].items() if len(w.encode()) <= 40)
+        common[lang] = {w for _, w in found[:150]}
+    for i, text, lang in docs:
+        rest, said = whole[lang] - kinds[i], every[lang] - words[i]
+        shared = {w for w in common[lang] if said[w]}
+        share = lambda c: Counter({w: c[w] for w in shared} | {None: sum(c.values()) - sum(c[w] for w in shared)})
+        c = divergence(kinds[i], rest) if lang is not None and len(text) >= 200 and rest.total() >= 2000 else 0.0
+        w = divergence(share(words[i]), share(said)) if lang is not None and words[i].total() >= 100 and said.total() >= 1000 else 0.0
+        others = everyone - shares[i]
+        n = divergence(fold(kinds[i]), others) if len(text) >= 200 and others.total() > 19 * 10**6 else 0.0
+        out[i] = (c, w, n, not base_measures(text)[5] and c <= 0.32 and w <= 0.52 and n <= 0.5)
+    return out
+
+
+def test_quality_query_against_counting_again(spark, data):
+    """The registered query, distances and verdicts of the whole table."""
+    docs = [(r.doc_id, r.text or "", r.lang) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    want = quality_by_force(docs)
+    rows = QUERIES["op2_distribution_divergence"](spark, data).collect()
+    assert len(rows) == len(docs) and any(not r.kept and not r.base_failed for r in rows)
+    for r in rows:
+        assert (r.class_distance, r.word_distance, r.neutral_distance, r.kept) == pytest.approx(want[r.doc_id], abs=1e-9)
+
+
 # near-duplicates
 
 
