@@ -6,15 +6,17 @@ corpus would shuffle many times the input, so suffixes are first routed by conte
 1. Each string start is assigned the smallest hash of the ``gram``-byte strings inside its window.
    Neighbouring starts mostly share it; a maximal run of them is a segment. Equal strings have equal
    smallest hashes, so they lie in segments of one hash, wherever these begin.
-2. Segments whose hash occurs once hold nothing repeated. Segments that are equal as a whole are
-   repeated as a whole. Where segments of a hash differ, at the edges of repeated passages, one of
+2. Segments whose hash occurs once hold nothing repeated. Segments that are equal as a whole, by a 128-bit
+   BLAKE2 digest, are repeated as a whole. Where segments of a hash differ, at the edges of repeated passages, one of
    each kind goes on with its bytes.
 3. Segments of a hash meet in a block. Its suffixes are put in buckets by their place relative to
    the hashed gram (equal strings share it) and each bucket is merge-sorted. A comparison finds the
    common extension of two suffixes by binary search over prefix polynomial hashes. Neighbours
    with ``length`` common bytes are equal; their bytes are compared to rule out a collision.
 4. A hash with many segments is dealt to several blocks. There, each block sends one row for every
-   class of equal suffixes, by a 128-bit digest, and classes that meet are repeated.
+   class of equal suffixes, by a 128-bit BLAKE2 digest, and classes that meet are repeated.
+
+A row is told apart by its address, the two halves of the MD5 of its id and text (columns ``doc``, ``tag``).
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ class Setting:
     gram: int = 48
     chunk: int = 1 << 20  # bytes hashed at a time
     part: int = 16384  # segments of one hash that a block takes: about 5 MB and 1.3 million suffixes
+    segment: int = 512  # bytes of a segment beyond which a block takes fewer of them
 
     @property
     def window(self) -> int:
@@ -51,6 +54,11 @@ class Setting:
         return self.length - self.gram + 1
 
 
+def digests(pieces: Iterator[bytes]) -> np.ndarray:
+    """128-bit digests of byte strings, as rows of two numbers."""
+    return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in pieces), dtype=np.int64).reshape(-1, 2)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**i modulo 2**64 for i below n."""
     out = np.ones(max(n, 1), dtype=U)
@@ -170,7 +178,7 @@ def chunks(texts: list[bytes], setting: Setting) -> Iterator[tuple[bytes, list[t
 
 
 def segments(texts: list[bytes], setting: Setting) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, first start, last start, smallest hash, hash of the whole segment, whether it holds its gram twice) of all segments."""
+    """(text, first start, last start, smallest hash, digest of the whole segment, whether it holds its gram twice) of all segments."""
     for buffer, pieces in chunks(texts, setting):
         data = np.frombuffer(buffer, dtype=np.uint8)
         grams = gram_hashes(Hashes(data), 0, len(data), setting)
@@ -182,13 +190,10 @@ def segments(texts: list[bytes], setting: Setting) -> Iterator[tuple[np.ndarray,
         values = least[starts]
         turn = np.flatnonzero((np.diff(values.view(np.int64), prepend=0) != 0) | (np.diff(piece, prepend=-1) != 0))
         last = np.append(turn[1:], len(starts)) - 1
-        whole = np.fromiter(
-            (xxhash.xxh3_64_intdigest(buffer[a : b + setting.length]) for a, b in zip(starts[turn].tolist(), starts[last].tolist(), strict=True)),
-            dtype=U, count=len(turn),
-        )
+        whole = digests(buffer[a : b + setting.length] for a, b in zip(starts[turn].tolist(), starts[last].tolist(), strict=True))
         twice = held_twice(grams, least, starts[turn], starts[last], values[turn], setting.window)
         shift = (offset - place)[piece[turn]]
-        yield number[piece[turn]], starts[turn] + shift, starts[last] + shift, values[turn].view(np.int64), whole.view(np.int64), twice
+        yield number[piece[turn]], starts[turn] + shift, starts[last] + shift, values[turn].view(np.int64), whole, twice
 
 
 def held_twice(grams: np.ndarray, least: np.ndarray, first: np.ndarray, last: np.ndarray, values: np.ndarray, window: int) -> np.ndarray:
@@ -258,21 +263,20 @@ def repeated_in_block(block: pd.DataFrame, setting: Setting) -> pd.DataFrame:
     # for hashes in several blocks, one row for each class
     open_rows = np.flatnonzero((parts[row] > 1) & ~equal)
     if len(open_rows):
-        digests = [xxhash.xxh3_128_intdigest(buffer[s : s + setting.length]) for s in starts[open_rows].tolist()]
+        named = digests(buffer[s : s + setting.length] for s in starts[open_rows].tolist())
         out.append(
             pd.DataFrame(
                 {
                     "kind": np.where(again[open_rows], 2, 1), "doc": docs[row[open_rows]], "tag": tags[row[open_rows]],
                     "first": own[open_rows], "last": own[open_rows],
-                    "d1": np.array([d >> 64 for d in digests], dtype=U).view(np.int64),
-                    "d2": np.array([d & (2**64 - 1) for d in digests], dtype=U).view(np.int64),
+                    "d1": named[:, 0], "d2": named[:, 1],
                 }
             )
         )
     return pd.concat(out)
 
 
-ROWS = "kind int, doc long, tag int, first long, last long, d1 long, d2 long"
+ROWS = "kind int, doc long, tag long, first long, last long, d1 long, d2 long"
 BLOCK = 1 << 20  # bytes of segments that are sorted together, if the groups are small
 SUFFIXES = 1 << 18  # suffixes that are sorted at a time
 
@@ -303,47 +307,54 @@ def _blocks(batches: Iterator[pd.DataFrame], setting: Setting) -> Iterator[pd.Da
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, tag, raw): never null, and told apart by the text where an id repeats."""
-    raw = F.encode(whole_text(text), "utf-8")
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID).cast("long")).alias("doc"), F.hash(whole_text(text)).alias("tag"), raw.alias("raw"))
+    """(id, doc, tag, raw): never null; ``doc`` and ``tag`` are the address of the row."""
+    number = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID).cast("long"))
+    named = docs.select(number.alias("id"), F.encode(whole_text(text), "utf-8").alias("raw"), F.md5(F.concat_ws(":", number.cast("string"), whole_text(text))).alias("m"))
+    halves = [F.conv(F.substring("m", at, 16), 16, -10).cast("long").alias(name) for name, at in (("doc", 1), ("tag", 17))]
+    return named.select("id", *halves, "raw")
 
 
 def repeated_starts(docs: DataFrame, setting: Setting = Setting(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, tag, first, last): ranges of starts of repeated strings, which may touch or overlap."""
-    rows = _keyed(docs, key, text)
+    """(doc, tag, first, last): ranges of starts of repeated strings, which may touch, overlap and repeat."""
+    rows = _keyed(docs, key, text).drop("id")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             docs, tags = batch["doc"].to_numpy(), batch["tag"].to_numpy()
             for number, first, last, least, whole, twice in segments(batch["raw"].tolist(), setting):
-                yield pd.DataFrame({"doc": docs[number], "tag": tags[number], "first": first, "last": last, "least": least, "whole": whole, "twice": twice})
+                yield pd.DataFrame({"doc": docs[number], "tag": tags[number], "first": first, "last": last, "least": least, "whole": whole[:, 0], "whole2": whole[:, 1], "twice": twice})
 
     # written once, as segments are both counted and joined
-    found = stage(rows.mapInPandas(cut, "doc long, tag int, first int, last int, least long, whole long, twice boolean"), "cut")
+    found = stage(rows.mapInPandas(cut, "doc long, tag long, first int, last int, least long, whole long, whole2 long, twice boolean"), "cut")
     shared = found.groupBy("least").agg(F.count("*").alias("total"), F.max("twice").alias("any")).filter("total > 1 OR any").select("least")
     held = stage(found.join(shared, "least"), "segments")
-    copies = held.groupBy("least", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "tag", "first", "last", "twice")).alias("one"))
+    copies = held.groupBy("least", "whole", "whole2").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "tag", "first", "last", "twice")).alias("one"))
     copies = stage(copies, "classes")
-    as_whole = held.join(copies.filter("copies > 1").select("least", "whole"), ["least", "whole"], "left_semi")
+    as_whole = held.join(copies.filter("copies > 1").select("least", "whole", "whole2"), ["least", "whole", "whole2"], "left_semi")
     as_whole = as_whole.select("doc", "tag", F.col("first").cast("long"), F.col("last").cast("long"))
 
     # one segment of each class goes on, if its hash has others or it may repeat itself
-    total = copies.groupBy("least").agg(F.count("*").alias("total"))
-    edges = copies.join(total, "least").select("least", "total", "one.*").filter("total > 1 OR twice")
-    edges = edges.groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "last", "least", "total")).alias("s"))
-    edges = edges.select("doc", "tag", *[F.col(f"s.{c}").alias(c) for c in ("first", "last", "least", "total")])
+    size = F.sum(F.col("one.last") - F.col("one.first") + setting.length)
+    total = copies.groupBy("least").agg(F.count("*").alias("total"), size.alias("size"))
+    parts = F.ceil(F.greatest(F.col("total") / setting.part, F.col("size") / (setting.part * setting.segment)))
+    edges = copies.join(total, "least").select("least", "total", parts.alias("parts"), "one.*").filter("total > 1 OR twice")
+    edges = edges.groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "last", "least", "parts")).alias("s"))
+    edges = edges.select("doc", "tag", *[F.col(f"s.{c}").alias(c) for c in ("first", "last", "least", "parts")])
     bodies = rows.join(edges.hint("shuffle_hash"), ["doc", "tag"])
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = set()  # rows of one address, which the join brings to one task, give one body
         for batch in batches:
             out = []
-            for doc, tag, raw, firsts, lasts, leasts, totals in batch[["doc", "tag", "raw", "first", "last", "least", "total"]].itertuples(index=False):
-                for first, last, least, total in zip(firsts.tolist(), lasts.tolist(), leasts.tolist(), totals.tolist(), strict=True):
-                    parts = -(-total // setting.part)
+            for doc, tag, raw, firsts, lasts, leasts, several in batch[["doc", "tag", "raw", "first", "last", "least", "parts"]].itertuples(index=False):
+                if (doc, tag) in seen:
+                    continue
+                seen.add((doc, tag))
+                for first, last, least, parts in zip(firsts.tolist(), lasts.tolist(), leasts.tolist(), several.tolist(), strict=True):
                     out.append((least, xxhash.xxh3_64_intdigest(f"{doc}:{tag}:{first}") % parts, parts, doc, tag, first, raw[first : last + setting.length]))
             yield pd.DataFrame(out, columns=["least", "part", "parts", "doc", "tag", "first", "body"])
 
-    bodies = bodies.mapInPandas(extract, "least long, part long, parts long, doc long, tag int, first long, body binary")
+    bodies = bodies.mapInPandas(extract, "least long, part long, parts long, doc long, tag long, first long, body binary")
     bodies = bodies.repartition("least", "part").sortWithinPartitions("least", "part")
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -366,10 +377,10 @@ def deduplicated(docs: DataFrame, setting: Setting = Setting(), key: str = "doc_
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row, and ``kept`` (the bytes left) if asked for.
 
     Null texts count as empty; texts shorter than ``length`` lose nothing. Rows that repeat an id and a text are
-    copies of each other. Strings are judged on the input, not on what is left.
+    copies of each other, whatever their number. Strings are judged on the input, not on what is left.
     """
     rows = _keyed(docs, key, text)
-    ranges = repeated_starts(docs, setting, key, text).groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "last")).alias("s"))
+    ranges = repeated_starts(docs, setting, key, text).groupBy("doc", "tag").agg(F.collect_set(F.struct("first", "last")).alias("s"))
     ranges = ranges.select("doc", "tag", F.col("s.first").alias("first"), F.col("s.last").alias("last"))
     joined = rows.join(ranges.hint("shuffle_hash"), ["doc", "tag"], "left")
     names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep
@@ -377,7 +388,7 @@ def deduplicated(docs: DataFrame, setting: Setting = Setting(), key: str = "doc_
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc, raw, firsts, lasts in batch[["doc", "raw", "first", "last"]].itertuples(index=False):
+            for number, raw, firsts, lasts in batch[["id", "raw", "first", "last"]].itertuples(index=False):
                 kept, removed, spans = raw, 0, 0
                 if firsts is not None:
                     change = np.zeros(len(raw) + 1, dtype=np.int64)
@@ -386,7 +397,7 @@ def deduplicated(docs: DataFrame, setting: Setting = Setting(), key: str = "doc_
                     gone = np.cumsum(change[:-1]) > 0
                     kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
                     removed, spans = int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                out.append((None if doc == NO_ID else doc, len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), *([kept] * keep)))
+                out.append((None if number == NO_ID else number, len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), *([kept] * keep)))
             yield pd.DataFrame(out, columns=names).astype({key: "Int64"})
 
     return joined.mapInPandas(strip, f"{key} long, {RESULT}" + (", kept binary" if keep else ""))

@@ -11,7 +11,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from reportlake.llm import bpe, neardup, ogg, quality, suffixes
@@ -315,6 +317,35 @@ def test_suffixes_rows_that_repeat(spark):
     assert suffixes.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_suffixes_many_rows_without_id(spark):
+    long = os.urandom(2000).hex()
+    docs = spark.range(0, 100_000, 1, 8).select(F.lit(None).cast("long").alias("doc_id"), F.lit(long).alias("text"))
+    out = suffixes.deduplicated(docs.unionByName(docs.limit(1).select(F.lit(7).alias("doc_id"), F.lit(long[:300] + "z").alias("text"))))
+    assert {tuple(r) for r in out.groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()} == {(None, 4000, 4000, 1, 100_000), (7, 301, 300, 1, 1)}
+
+
+def test_suffixes_polynomial_hashes_that_collide(monkeypatch):
+    """Every hash collides: whether neighbours are equal is then decided by their bytes."""
+    rng = random.Random(5)
+    texts = [("ab" * rng.randrange(120, 400)) + rng.randbytes(120).hex() for _ in range(8)]
+    block = pd.DataFrame({"least": 0, "part": 0, "parts": 1, "doc": range(8), "tag": 0, "first": 0, "body": [t.encode() for t in texts]})
+    monkeypatch.setattr(suffixes.Hashes, "common", lambda self, x, y, most: np.full(len(x), most, dtype=np.int64))
+    monkeypatch.setattr(suffixes, "gram_hashes", lambda h, a, b, s: np.zeros(max(0, b - a - s.gram + 1), dtype=np.uint64))
+    found = suffixes.repeated_in_block(block, suffixes.Setting())
+    for r in found[found.kind == 0].itertuples():
+        for at in range(r.first, r.last + 1):
+            piece = texts[r.doc][at : at + 200]
+            assert sum(len(re.findall(f"(?={piece})", t)) for t in texts) > 1
+
+
+def test_suffixes_query_against_brute_force(spark, data):
+    """The registered query with its own setting over the whole table."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    want = {d.doc_id: w for d, w in zip(docs, strip_by_force([d.text for d in docs], 200), strict=True)}
+    rows = QUERIES["op8_hash_compared_suffix_sort"](spark, data).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in rows} == want
+
+
 def test_merge_sort():
     rng = random.Random(3)
     raw = bytes(rng.choice(b"ab") for _ in range(3000))
