@@ -7,8 +7,9 @@ checksum. Each stream begins with a page that holds its description.
 
 Reading: pages are found by their capture pattern, the checksum is computed anew, pages
 are dealt to their streams by serial number and must follow in sequence, packets are put together from the
-lacing values across pages, and a page's granule position gives the time of its last packet.
-The streams' packets then interleave by granule position to the samples.
+lacing values across pages, and a page's granule position gives the end of its last packet, from which the
+packets before it on that page are counted back. Packets are placed at the positions so derived, over all streams; they must
+follow without a gap or an overlap from the first sample to the last, or the file is refused.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -140,6 +142,8 @@ def streams_of(data: bytes) -> tuple[dict[int, Logical], int]:
             stream.open = (stream.open or bytearray()) + body[at : at + value]
             at += value
             if value < 255:
+                if granule == NO_PACKET_ENDS:
+                    raise ValueError(f"a packet of stream {serial} ends without a time")
                 stream.packets.append((bytes(stream.open), granule))
                 stream.open = None
         if granule != NO_PACKET_ENDS:
@@ -152,23 +156,35 @@ def streams_of(data: bytes) -> tuple[dict[int, Logical], int]:
     return found, count
 
 
+def placed(packets: list[tuple[bytes, int]], step: int) -> Iterator[tuple[int, bytes]]:
+    """(first sample, packet) by the granule positions; packets of a stream begin ``step`` samples apart."""
+    for granule, page in groupby(packets, key=lambda x: x[1]):
+        pieces = [piece for piece, _ in page]
+        first = granule - len(pieces[-1]) - (len(pieces) - 1) * step
+        yield from ((first + n * step, piece) for n, piece in enumerate(pieces))
+
+
 def read_back(data: bytes) -> tuple[bytes, dict]:
-    """The samples of a file that ``stored`` made, and what its pages tell."""
+    """The samples of a file that ``stored`` made, and what its pages tell; ``times`` holds the serial number and first second of each packet."""
     found, pages = streams_of(data)
-    by_place: dict[int, bytes] = {}
-    rate = packet = total = 0
-    seconds = 0.0
-    for stream in found.values():
-        mark, rate, packet, streams, index, total = struct.unpack(ABOUT, stream.packets[0][0])
-        if mark != MARK:
+    pieces: list[tuple[int, int, bytes]] = []
+    rate = total = 0
+    for serial, stream in found.items():
+        mark, rate, packet, streams, _, total = struct.unpack(ABOUT, stream.packets[0][0])
+        if mark != MARK or stream.packets[0][1]:
             raise ValueError("not a stream of samples")
-        for n, (piece, _) in enumerate(stream.packets[1:]):
-            by_place[(index + n * streams) * packet] = piece
-        seconds = max(seconds, stream.granule / rate)
-    samples = b"".join(by_place[k] for k in sorted(by_place))
-    if len(samples) != total:
+        pieces += [(first, serial, piece) for first, piece in placed(stream.packets[1:], packet * streams)]
+    pieces.sort(key=lambda x: x[0])
+    reached = 0
+    for first, serial, piece in pieces:
+        if first != reached:
+            raise ValueError(f"times of stream {serial} leave sample {reached} and go on at {first}")
+        reached += len(piece)
+    if reached != total:
         raise ValueError("samples are missing")
-    return samples, {"streams": len(found), "pages": pages, "packets": sum(len(s.packets) for s in found.values()), "seconds": seconds}
+    told = {"streams": len(found), "pages": pages, "packets": sum(len(s.packets) for s in found.values())}
+    told |= {"seconds": max(s.granule / rate for s in found.values()), "times": [(serial, first / rate) for first, serial, _ in pieces]}
+    return b"".join(piece for *_, piece in pieces), told
 
 
 def padded(raw: bytes) -> bytes:

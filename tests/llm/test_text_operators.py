@@ -421,6 +421,27 @@ def test_ogg_pages_out_of_sequence():
         ogg.streams_of(b"".join(pages[:-1]))
 
 
+def with_granule(page, granule):
+    page = page[:6] + granule.to_bytes(8, "little", signed=True) + page[14:22] + bytes(4) + page[26:]
+    return page[:22] + slow_checksum(page).to_bytes(4, "little") + page[26:]
+
+
+def test_ogg_times_decide_places():
+    samples = random.Random(4).randbytes(200_500)
+    data = ogg.stored(samples, ogg.Layout(rate=1000, packet=1000, streams=3))
+    starts = [m.start() for m in re.finditer(b"OggS\x00[\x00-\x07]", data)] + [len(data)]
+    pages = [data[a:b] for a, b in itertools.pairwise(starts)]
+    got, told = ogg.read_back(data)
+    assert got == samples and told["times"] == [(1 + i % 3, float(i)) for i in range(201)]
+    assert len(pages) > 6 and ogg.read_back(b"".join(with_granule(p, int.from_bytes(p[6:14], "little", signed=True)) for p in pages))[0] == samples
+    # a page whose checksum is right but whose time is not
+    for at in (0, 3, len(pages) - 1):
+        true = int.from_bytes(pages[at][6:14], "little", signed=True)
+        for wrong in (true - 1, true + 3000, ogg.NO_PACKET_ENDS):
+            with pytest.raises(ValueError):
+                ogg.read_back(b"".join([*pages[:at], with_granule(pages[at], wrong), *pages[at + 1 :]]))
+
+
 def test_ogg_columns(spark, data):
     texts = ODD + sample(spark, data, 20)
     for r in ogg.media(table(spark, texts), keep=True).collect():
