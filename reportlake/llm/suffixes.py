@@ -45,7 +45,7 @@ class Setting:
     length: int = 200
     gram: int = 48
     chunk: int = 1 << 20  # bytes hashed at a time
-    part: int = 16384  # segments of one hash that a block takes: about 5 MB and 1.3 million suffixes
+    part: int = 512  # segments of one hash that a block takes; more are dealt to several blocks, so that no passage keeps one task
     segment: int = 512  # bytes of a segment beyond which a block takes fewer of them
 
     @property
