@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from reportlake.sources.files import REPORT_PATH, reports_from_files
@@ -26,6 +27,14 @@ def opened(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", root) if ":" in root else f"file://{root}")
 
 
+def address_start(root: str, base: str) -> str:
+    """What stands before a path of the file system where Spark names the file."""
+    if ":" not in root or root.startswith("file:"):
+        return "file:"
+    whole, base = root.rstrip("/"), base.rstrip("/")
+    return whole[: len(whole) - len(base)] if whole.endswith(base) else root.split(":", 1)[0] + ":"
+
+
 class Folder(InputPartition):
     """A folder to walk, or the files that lie in the root itself."""
 
@@ -45,8 +54,8 @@ class TreeReader(DataSourceReader):
         return [Folder(base, False), *sorted(deep, key=lambda f: f.path)]
 
     def read(self, part: Folder) -> Iterator[pa.RecordBatch]:
-        where, _ = opened(self.root)
-        scheme = self.root.split(":", 1)[0] + ":" if ":" in self.root else "file:"
+        where, base = opened(self.root)
+        start = address_start(self.root, base)
         todo = [part.path]
         while todo:  # folder by folder, so a task holds one folder's list
             rows = []
@@ -54,7 +63,7 @@ class TreeReader(DataSourceReader):
                 if info.type == fs.FileType.Directory and part.deep:
                     todo.append(info.path)
                 elif info.type == fs.FileType.File and fnmatch.fnmatchcase(info.base_name, self.names):
-                    rows.append((f"{scheme}{info.path}", info.size, info.mtime))
+                    rows.append((f"{start}{info.path}", info.size, info.mtime))
             if rows:
                 columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.timestamp("us", "UTC")), strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=["path", "length", "modified"])
@@ -80,15 +89,52 @@ def tree_listing(spark: SparkSession, root: str, folders: str = "*", names: str
     return spark.read.format("tree").option("folders", folders).option("names", names).load(root)
 
 
+def glob_pattern(glob: str) -> str:
+    """The regular expression of a file pattern as Spark's ``pathGlobFilter`` takes it: ``* ? [] {,}`` and escapes."""
+    out, at, depth = "", 0, 0
+    while at < len(glob):
+        sign = glob[at]
+        if sign == "\\" and at + 1 < len(glob):
+            at += 1
+            out += re.escape(glob[at])
+        elif sign == "[" and "]" in glob[at + 2 :]:
+            end = glob.index("]", at + 2)
+            kind = "^" if glob[at + 1] in "!^" else ""
+            out += f"[{kind}{re.sub(r'([&~|[])', r'\\\1', glob[at + 1 + len(kind) : end])}]"
+            at = end
+        elif sign == "," and depth:
+            out += "|"
+        elif sign in "{}" and (sign == "{" or depth):
+            depth += 1 if sign == "{" else -1
+            out += "(?:" if sign == "{" else ")"
+        else:
+            out += {"*": "[^/]*", "?": "[^/]"}.get(sign) or re.escape(sign)
+        at += 1
+    return f"^{out}$"
+
+
+def visible_files(spark: SparkSession, root: str, glob: str = "*", recursive: bool = True) -> DataFrame:
+    """(path, length, modified) of the files that Spark's sources would read below ``root``, listed by tasks.
+
+    Like these it passes over empty files and names that begin with ``_`` or ``.``.
+    """
+    found = tree_listing(spark, root, "*" if recursive else "")
+    _, base = opened(root)
+    below = F.substr("path", F.lit(len(address_start(root, base) + base.rstrip("/")) + 1))
+    named = F.substring_index("path", "/", -1).rlike(glob_pattern(glob))
+    return found.filter("length > 0").filter(named & ~below.rlike(r"/([.]|_[^/=]*/|_[^/]*$)|[.]_COPYING_$"))
+
+
 def with_content(listing: DataFrame, root: str, parts: int | None = None) -> DataFrame:
     """(path, length, content): the listed files, dealt to ``parts`` tasks by path and read there one by one."""
     parts = parts or int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, _ = opened(root)
+        where, base = opened(root)
+        start = address_start(root, base)
         for batch in batches:
             for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
-                with where.open_input_stream(path.split(":", 1)[1]) as source:
+                with where.open_input_stream(path.removeprefix(start)) as source:
                     content = source.read()
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([length], pa.int64()), pa.array([content], pa.binary())], names=["path", "length", "content"])
 

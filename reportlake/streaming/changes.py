@@ -2,8 +2,10 @@
 
 Spark's file source takes a path once, however often the file is rewritten. So the stream is one of listings: every
 run notes the listing of the source, without content, in a feed; a state for each path holds the last size and time seen,
-and paths whose entry differs go on. Their contents are read in bounded lists, compared by digest with
-what was written before, so a file that was only touched is not done again, and transformed.
+and paths whose entry differs go on. Their contents are read by tasks, compared by digest with
+what was written before, so a file that was only touched is not done again, and transformed. A batch is done in
+rounds of bounded lists: the first of one list, each later one of twice as many as the round before. So a transform that fails
+does so early, and the number of rounds does not grow with that of the lists.
 
 Results of a batch lie in a folder of the batch's number, which a repetition overwrites. A path may have several
 versions; :func:`current` gives the last one of each.
@@ -19,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from reportlake.operators.images import LIST_BYTES, LIST_FILES, literal_path, planned_lists
+from reportlake.operators.images import LIST_BYTES, LIST_FILES, planned_lists
 from reportlake.session import stage
+from reportlake.sources.tree import visible_files, with_content
 
 LISTING = "path string, length long, modified timestamp"
 STATE = "length long, modified timestamp"
@@ -28,8 +31,7 @@ STATE = "length long, modified timestamp"
 
 def note_listing(spark: SparkSession, root: str, feed: str, glob: str = "*") -> None:
     """Append the present listing of ``root`` to the feed; contents are not read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
-    found.select("path", "length", F.col("modificationTime").alias("modified")).write.mode("append").parquet(feed)
+    visible_files(spark, root, glob).write.mode("append").parquet(feed)
 
 
 def changed_entries(listings: DataFrame) -> DataFrame:
@@ -77,17 +79,17 @@ def ingest_changes(
     def write(changed: DataFrame, batch: int) -> None:
         planned = stage(planned_lists(changed, most_files, most_bytes), "changed")
         last = planned.agg(F.max("list").alias("n")).first().n
-        for number in range(0 if last is None else last + 1):
-            paths = [literal_path(r.path) for r in planned.filter(F.col("list") == number).select("path").collect()]
-            if not paths:
-                continue
-            found = spark.read.format("binaryFile").load(sorted(paths)).select("path", F.sha2("content", 256).alias("digest"), "content")
+        first, lists = 0, 1
+        while last is not None and first <= last:
+            listed = planned.filter(F.col("list").between(first, first + lists - 1))
+            found = with_content(listed, root).select("path", F.sha2("content", 256).alias("digest"), "content")
             before = versions(spark, target)
             if before is not None:  # what this batch wrote when it was first tried does not count
                 known = current(before.filter(F.col("batch") < batch)).select("path", "digest").distinct()
                 found = found.join(known, ["path", "digest"], "left_anti")
-            mode = "overwrite" if number == 0 else "append"
+            mode = "overwrite" if first == 0 else "append"
             transform(found).write.mode(mode).parquet(f"{target}/batch={batch}")
+            first, lists = first + lists, 2 * lists
 
     stream = changed_entries(spark.readStream.schema(LISTING).parquet(feed))
     query = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()

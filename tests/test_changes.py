@@ -47,3 +47,21 @@ def test_replaced_touched_and_retried(spark, tmp_path):
     os.remove(f"{root}/c")
     X.ingest_changes(spark, root, shown, target, work)
     assert ("c", "one") in [w[:2] for w in words()]
+
+
+def test_rounds_do_not_grow_with_the_lists(spark, tmp_path):
+    root, target, work = (str(tmp_path / n) for n in ("in", "out", "work"))
+    os.mkdir(root)
+    for i in range(20):
+        with open(f"{root}/{i} [50%].txt", "w") as f:
+            f.write(f"body {i}")
+    calls = []
+
+    def shown(df):
+        calls.append(1)
+        return df.select("path", "digest", F.decode("content", "UTF-8").alias("body"))
+
+    X.ingest_changes(spark, root, shown, target, work, "*.{txt,text}", most_files=1)
+    found = X.current(X.versions(spark, target)).collect()
+    assert sorted(r.body for r in found) == sorted(f"body {i}" for i in range(20)) and {r.batch for r in found} == {0}
+    assert len(calls) <= 6  # twenty lists or more

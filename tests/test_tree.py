@@ -28,3 +28,17 @@ def test_listing_and_reports(spark, tmp_path):
     assert {p.rsplit("/", 1)[-1] for p in mine ^ theirs} == {"s2.txt"} and theirs < mine
     assert [r.path.rsplit("/", 1)[-1] for r in S.first_files(T.tree_listing(spark, str(tmp_path), "p??", "s*.txt"), 2).collect()] == ["s1.txt", "s2.txt"]
     assert T.tree_listing(spark, str(tmp_path / "p13")).count() == 0
+
+
+def test_visible_files_are_those_of_spark(spark, tmp_path):
+    names = ["a.txt", "b{1}.txt", "c%20+[x].csv", ".hidden.txt", "_made.txt", "e.bin", "sub/f.txt", "sub/_tmp/g.txt", "sub/_k=1/h.txt", ".x/i.txt", "k=2/j.txt", "y._COPYING_", "flat/k.txt", "flat/x/l.txt"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / name).write_bytes(b"" if name == "a.txt" else b"body")
+    (tmp_path / "a2.txt").write_bytes(b"x")
+    for glob in ("*", "*.txt", "*.{txt,csv}", "[a-b]*", "[^a-b]*", "?.bin", "b\\{1*"):
+        for root in (str(tmp_path), f"file://{tmp_path}/"):
+            mine = T.visible_files(spark, root, glob).select("path", "length")
+            assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, S.files(spark, root, glob, content=False).collect())), glob
+    mine = T.visible_files(spark, f"{tmp_path}/flat", recursive=False).select("path", "length")
+    assert list(map(tuple, mine.collect())) == list(map(tuple, S.files(spark, f"{tmp_path}/flat", recursive=False, content=False).collect()))
