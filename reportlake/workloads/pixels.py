@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from reportlake.operators import images as I
 from reportlake.operators.joins import missing
 from reportlake.session import scratch, table
-from reportlake.sources.tree import opened
+from reportlake.sources.tree import opened, visible_files
 from reportlake.workloads.base import register
 
 
@@ -269,7 +269,7 @@ def image_folder(spark, folder) -> str:
 def prepared_images(spark, folder) -> DataFrame:
     """I7, I9 over files: every fourth image is finished, the rest is decoded in lists of at most 150 files."""
     root = image_folder(spark, folder)
-    listing = I.files(spark, root, content=False)
+    listing = visible_files(spark, root)
     key = F.regexp_extract("path", r"/([0-9]+)[^/]*$", 1).cast("bigint")
     finished = listing.filter(key % 4 == 0)
     done = I.prepare_folder(spark, root, "covidx", 16, finished, most_files=150)

@@ -39,3 +39,13 @@ def test_characters_of_patterns_are_names(spark, tmp_path):
     rows = I.prepare_folder(spark, str(tmp_path), "padchest", 8).collect()
     assert sorted(r.path.rsplit("/", 1)[-1] for r in rows) == ["a{b}.png", "c[d]?.png", "e*.png"]
     assert {r.error for r in rows} == {"not an image file"}
+
+
+def test_a_folder_of_many_lists_is_one_small_plan(spark, data):
+    root = image_folder(spark, data)
+    done = I.prepare_folder(spark, root, "covidx", 8, most_files=10)
+    parts = I.prepared_lists(spark, root, "covidx", 8)
+    whole = sorted(map(tuple, next(parts).collect()))
+    assert sorted(map(tuple, done.collect())) == whole and next(parts, None) is None
+    # a scan of what the lists wrote and two of the PNG files, not several for each of fifty lists
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 4
