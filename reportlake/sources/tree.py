@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from reportlake.sources.files import REPORT_PATH, reports_from_files
 
+BATCH_BYTES = 1 << 20  # bytes of files that leave together, or one file
 LISTED = "path string, length long, modified timestamp"
 
 
@@ -132,11 +133,22 @@ def with_content(listing: DataFrame, root: str, parts: int | None = None) -> Dat
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = opened(root)
         start = address_start(root, base)
+        kinds = (pa.string(), pa.int64(), pa.binary())
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "length", "content"])
+
         for batch in batches:
+            rows, size = [], 0  # small files share a batch, whose start costs more than they do
             for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
                 with where.open_input_stream(path.removeprefix(start)) as source:
-                    content = source.read()
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([length], pa.int64()), pa.array([content], pa.binary())], names=["path", "length", "content"])
+                    rows.append((path, length, source.read()))
+                size += len(rows[-1][2])
+                if size >= BATCH_BYTES:
+                    yield packed(rows)
+                    rows, size = [], 0
+            if rows:
+                yield packed(rows)
 
     return listing.select("path", "length").repartition(parts, "path").mapInArrow(read, "path string, length long, content binary")
 

@@ -38,9 +38,8 @@ def changed_entries(listings: DataFrame) -> DataFrame:
     """Of streamed listings, the entries that differ from the last one of their path."""
 
     def latest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("modified")
-        last = rows.iloc[-1]
-        entry = (int(last.length), last.modified.to_pydatetime())
+        length, modified = max((r for b in batches for r in zip(b["length"], b["modified"], strict=True)), key=lambda r: r[1])
+        entry = (int(length), modified.to_pydatetime())
         if not state.exists or state.get != entry:
             state.update(entry)
             yield pd.DataFrame({"path": [key[0]], "length": [entry[0]]})
