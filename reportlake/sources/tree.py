@@ -8,6 +8,7 @@ files is held anywhere. Files are then opened by the tasks that the paths are de
 from __future__ import annotations
 
 import fnmatch
+import os
 import re
 from collections.abc import Iterator
 
@@ -25,7 +26,9 @@ LISTED = "path string, length long, modified timestamp"
 
 def opened(root: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or address, and the path in it."""
-    return fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", root) if ":" in root else f"file://{root}")
+    if ":" not in root or root.startswith("file:"):  # no address to parse: names may hold blanks and percent signs
+        return fs.LocalFileSystem(), os.path.abspath(re.sub("^file:/+", "/", root))
+    return fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", root))
 
 
 def address_start(root: str, base: str) -> str:
