@@ -8,13 +8,16 @@ corpus would shuffle many times the input, so suffixes are first routed by conte
    smallest hashes, so they lie in segments of one hash, wherever these begin.
 2. Segments whose hash occurs once hold nothing repeated. Segments that are equal as a whole, by a 128-bit
    BLAKE2 digest, are repeated as a whole. Where segments of a hash differ, at the edges of repeated passages, one of
-   each kind goes on with its bytes.
+   each kind goes on with its bytes. Segments are dealt by their hash once, and all this is judged there.
 3. Segments of a hash meet in a block. Its suffixes are put in buckets by their place relative to
    the hashed gram (equal strings share it) and each bucket is merge-sorted. A comparison finds the
    common extension of two suffixes by binary search over prefix polynomial hashes. Neighbours
    with ``length`` common bytes are equal; their bytes are compared to rule out a collision.
-4. A hash with many segments is dealt to several blocks. There, each block sends one row for every
-   class of equal suffixes, by a 128-bit BLAKE2 digest, and classes that meet are repeated.
+4. Segments of a hash that has many are cut once more, by ranges of that place. All strings of a piece share
+   its middle, and equal strings lie in pieces of one middle, so these meet by hash and middle. Pieces of the same
+   bytes are repeated as a whole, and one of them is sorted.
+5. Where still too many pieces of one middle differ, they are sorted in several blocks. Each block sends one row for
+   every class of equal suffixes, by a 128-bit BLAKE2 digest, and classes that meet are repeated.
 
 A row is told apart by its address, the two halves of the MD5 of its id and text (columns ``doc``, ``tag``).
 """
@@ -28,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportlake.llm.common import whole_text
@@ -45,8 +48,9 @@ class Setting:
     length: int = 200
     gram: int = 48
     chunk: int = 1 << 20  # bytes hashed at a time
-    part: int = 512  # segments of one hash that a block takes; more are dealt to several blocks, so that no passage keeps one task
+    part: int = 512  # segments of one hash that a block takes; more are cut in pieces, so that no passage keeps one task
     segment: int = 512  # bytes of a segment beyond which a block takes fewer of them
+    wide: int = 32  # places of the gram that a piece covers
 
     @property
     def window(self) -> int:
@@ -208,13 +212,8 @@ def held_twice(grams: np.ndarray, least: np.ndarray, first: np.ndarray, last: np
     return np.searchsorted(keys, own + last + window - 1, side="right") - np.searchsorted(keys, own + first) > 1
 
 
-def repeated_in_block(block: pd.DataFrame, setting: Setting) -> pd.DataFrame:
-    """Rows of kind 0 (repeated starts first..last), and for hashes in several blocks of kind 1 (a
-    start that is single here) and 2 (a class that is repeated here), with digests.
-
-    block: (least, part, parts, doc, tag, first, body) of whole groups (least, part).
-    """
-    bodies = block["body"].tolist()
+def strings(bodies: list[bytes], least: np.ndarray, setting: Setting) -> tuple:
+    """Of segments end to end: buffer, hashes, place of each; of their strings: segment, start, place of the hashed gram in it."""
     sizes = np.array([len(b) for b in bodies], dtype=np.int64)
     buffer = b"".join(bodies)
     data = np.frombuffer(buffer, dtype=np.uint8)
@@ -223,15 +222,49 @@ def repeated_in_block(block: pd.DataFrame, setting: Setting) -> pd.DataFrame:
     count = sizes - setting.length + 1
     row = np.repeat(np.arange(len(bodies)), count)
     starts = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + place[row]
-    # where the hashed gram stands in each string
-    least = block["least"].to_numpy()
     grams = []
     for at in range(0, len(data), 1 << 18):
         g = gram_hashes(hashes, at, min(len(data), at + (1 << 18) + setting.gram - 1), setting).view(np.int64)
         own = np.searchsorted(place, np.arange(at, at + len(g)), side="right") - 1
         grams.append(at + np.flatnonzero(g == least[own]))
     grams = np.concatenate(grams)
-    shift = grams[np.searchsorted(grams, starts)] - starts
+    return buffer, hashes, place, row, starts, grams[np.searchsorted(grams, starts)] - starts
+
+
+def pieces(block: pd.DataFrame, setting: Setting) -> Iterator[pd.DataFrame]:
+    """Segments (least, doc, tag, first, body) cut by ranges of the gram's place; ``part`` names range and shared middle.
+
+    Of pieces of the same bytes one goes on; all are told as ranges, which have no body and are dealt by their row.
+    """
+    leasts, docs, tags, firsts = (block[c].to_numpy() for c in ("least", "doc", "tag", "first"))
+    buffer, _, place, row, starts, shift = strings(block["body"].tolist(), leasts, setting)
+    level = shift // setting.wide
+    turn = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(level, prepend=-1) != 0) | (np.diff(shift, prepend=-5) != -1))
+    end = starts[np.append(turn[1:], len(starts)) - 1]
+    for at in range(0, len(turn), PIECES):
+        x, y = turn[at : at + PIECES], end[at : at + PIECES]
+        of, begin = row[x], starts[x]
+        middle = begin + shift[x] - level[x] * setting.wide
+        named = [xxhash.xxh3_64_intdigest(buffer[m : m + setting.length - setting.wide + 1], seed=k) for m, k in zip(middle.tolist(), level[x].tolist(), strict=True)]
+        first, body = firsts[of] + begin - place[of], [buffer[m : n + setting.length] for m, n in zip(begin.tolist(), y.tolist(), strict=True)]
+        cut = pd.DataFrame({"least": leasts[of], "part": np.array(named, dtype=U).view(np.int64), "doc": docs[of], "tag": tags[of], "first": first, "last": first + y - begin, "body": body})
+        name = ["least", "part", "body"]
+        yield cut[~cut.duplicated(name)]
+        again = cut.duplicated(name, keep=False).to_numpy()
+        told, own = cut[again], of[again]
+        goes_on = (np.diff(own, prepend=-1) == 0) & (told["first"] == told["last"].shift(fill_value=-5) + 1).to_numpy()
+        ranges = told[~goes_on].assign(last=told["last"].to_numpy()[np.append(~goes_on[1:], True)[: len(told)]], body=None)
+        yield ranges.assign(least=ranges["doc"], part=ranges["tag"])
+
+
+def repeated_in_block(block: pd.DataFrame, setting: Setting) -> pd.DataFrame:
+    """Rows of kind 0 (repeated starts first..last), and for groups in several blocks of kind 1 (a
+    start that is single here) and 2 (a class that is repeated here), with digests.
+
+    block: (least, part, parts, doc, tag, first, body) of groups (least, part), whole ones where ``parts`` is 1.
+    """
+    buffer, hashes, place, row, starts, shift = strings(block["body"].tolist(), block["least"].to_numpy(), setting)
+    data = np.frombuffer(buffer, dtype=np.uint8)
     group = block.groupby(["least", "part"], sort=False).ngroup().to_numpy()
     # strings of different shifts never meet, so a large block is sorted in turns of bounded size
     turns = -(-len(starts) // SUFFIXES)
@@ -260,7 +293,7 @@ def repeated_in_block(block: pd.DataFrame, setting: Setting) -> pd.DataFrame:
     end = np.append(turn[1:], len(hit)) - 1
     a, b = hit[turn], hit[end] if len(hit) else hit[turn]
     out = [pd.DataFrame({"kind": 0, "doc": docs[row[a]], "tag": tags[row[a]], "first": own[a], "last": own[b], "d1": own[a], "d2": docs[row[a]]})]
-    # for hashes in several blocks, one row for each class
+    # for groups in several blocks, one row for each class
     open_rows = np.flatnonzero((parts[row] > 1) & ~equal)
     if len(open_rows):
         named = digests(buffer[s : s + setting.length] for s in starts[open_rows].tolist())
@@ -277,89 +310,154 @@ def repeated_in_block(block: pd.DataFrame, setting: Setting) -> pd.DataFrame:
 
 
 ROWS = "kind int, doc long, tag long, first long, last long, d1 long, d2 long"
+NAMES = [part.split()[0] for part in ROWS.split(", ")]
 BLOCK = 1 << 20  # bytes of segments that are sorted together, if the groups are small
 SUFFIXES = 1 << 18  # suffixes that are sorted at a time
+PIECES = 1 << 15  # pieces that are cut at a time
+SEGMENTS = 1 << 17  # segments among which a task finds copies before they are dealt out
+
 
+def copies_here(held: list[pd.DataFrame]) -> pd.DataFrame:
+    """Segments with ``state``: 0, 1 (has copies here) or 2 (a copy of one here, which needs no hash and is dealt by its row)."""
+    rows = pd.concat(held, ignore_index=True)
+    name = ["least", "whole", "whole2"]
+    copy = rows.duplicated(name).to_numpy()
+    state = rows.duplicated(name, keep=False).to_numpy().astype(np.int8) + copy
+    least, whole, whole2 = (np.where(copy, x, rows[c]) for x, c in ((rows["doc"], "least"), (rows["tag"], "whole"), (0, "whole2")))
+    return rows.assign(least=least, whole=whole, whole2=whole2, twice=rows["twice"].to_numpy() & ~copy, state=state)
 
-def _blocks(batches: Iterator[pd.DataFrame], setting: Setting) -> Iterator[pd.DataFrame]:
-    """Whole groups (least, part) of a sorted partition, as many as fill a block."""
 
-    def cut(rows: pd.DataFrame, rest: bool) -> tuple[list[pd.DataFrame], pd.DataFrame]:
-        new = rows[["least", "part"]].ne(rows[["least", "part"]].shift()).any(axis=1).to_numpy()
-        starts = np.append(np.flatnonzero(new), len(rows))
-        ends = np.cumsum(rows["body"].map(len).to_numpy())
-        done, first = [], 0
-        for x, y in zip(starts, starts[1:], strict=False):
+def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+    """Of a partition sorted by (least, part, body): ranges of rows that share a body or have none, and one row for each body."""
+    head = None  # of the last class, which may go on
+    for batch in batches:
+        bare = batch["body"].isna().to_numpy()
+        rows = batch[~bare] if head is None else pd.concat([head, batch[~bare]], ignore_index=True)
+        same = np.zeros(len(rows), dtype=bool)
+        same[1:] = True
+        for c in ("least", "part", "body"):
+            same[1:] &= rows[c].to_numpy()[1:] == rows[c].to_numpy()[:-1]
+        shared = same.copy()
+        shared[:-1] |= same[1:]
+        ranges = pd.concat([rows[shared], batch[bare]])[["doc", "tag", "first", "last"]]
+        yield ranges.assign(kind=0, d1=ranges["first"], d2=ranges["doc"])[NAMES], rows[~same].iloc[0 if head is None else 1 :]
+        head = rows[~same].iloc[-1:] if len(rows) else None
+
+
+def _blocks(batches: Iterator[pd.DataFrame], setting: Setting) -> Iterator[list[pd.DataFrame]]:
+    """Groups (least, part) of sorted rows, as many as fill a block; a larger one goes on in several, and then ``parts`` is 2."""
+    most = setting.part * setting.segment
+
+    def cut(rows: pd.DataFrame, rest: bool, begun: tuple | None) -> tuple[list[pd.DataFrame], pd.DataFrame, tuple | None]:
+        keys = rows[["least", "part"]].to_numpy()
+        new = np.append(True, (keys[1:] != keys[:-1]).any(axis=1))
+        size = rows["body"].map(len).to_numpy()
+        ends = np.cumsum(size)
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]  # of each row's group
+        chunk = np.maximum((np.arange(len(rows)) - first) // setting.part, (ends - size - (ends - size)[first]) // most)
+        starts = np.flatnonzero(new | (np.diff(chunk, prepend=0) != 0))
+        bounds = np.append(starts, len(rows))
+        # whether a chunk is not its whole group
+        open_ = (chunk[starts] > 0) | np.append(~new[starts[1:]], False)
+        if begun is not None and tuple(keys[0]) == begun:
+            open_[first[starts] == 0] = True
+        done, at = [], 0
+        for x, y, several, goes_on in zip(starts.tolist(), bounds[1:].tolist(), open_.tolist(), [*open_[1:].tolist(), True], strict=True):
             if y == len(rows) and not rest:
                 break  # the last group may go on
-            if ends[y - 1] - (ends[first - 1] if first else 0) >= BLOCK or y == len(rows):
-                done.append(rows.iloc[first:y])
-                first = y
-        return done, rows.iloc[first:]
+            if several or goes_on or ends[y - 1] - (ends[at - 1] if at else 0) >= BLOCK or y == len(rows):
+                done.append(rows.iloc[at:y].assign(parts=1 + several))
+                at = y
+        return done, rows.iloc[at:], tuple(keys[-1]) if open_[-1] else None
 
-    kept = None
+    kept, begun = None, None
     for batch in batches:
-        kept = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-        done, kept = cut(kept, False)
-        yield from done
+        kept = batch if kept is None or not len(kept) else pd.concat([kept, batch], ignore_index=True)
+        done = []
+        if len(kept):
+            done, kept, begun = cut(kept, False, begun)
+        yield done
     if kept is not None and len(kept):
-        yield from cut(kept, True)[0]
+        yield cut(kept, True, begun)[0]
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, doc, tag, raw): never null; ``doc`` and ``tag`` are the address of the row."""
     number = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID).cast("long"))
     named = docs.select(number.alias("id"), F.encode(whole_text(text), "utf-8").alias("raw"), F.md5(F.concat_ws(":", number.cast("string"), whole_text(text))).alias("m"))
-    halves = [F.conv(F.substring("m", at, 16), 16, -10).cast("long").alias(name) for name, at in (("doc", 1), ("tag", 17))]
+    halves = [F.coalesce(F.conv(F.substring("m", at, 16), 16, -10).cast("long"), F.lit(0).cast("long")).alias(name) for name, at in (("doc", 1), ("tag", 17))]
     return named.select("id", *halves, "raw")
 
 
 def repeated_starts(docs: DataFrame, setting: Setting = Setting(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, tag, first, last): ranges of starts of repeated strings, which may touch, overlap and repeat."""
-    rows = _keyed(docs, key, text).drop("id")
+    rows = _keyed(docs, key, text)  # all columns, so that the texts are dealt out once for this and for ``deduplicated``
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             docs, tags = batch["doc"].to_numpy(), batch["tag"].to_numpy()
+            held = []
             for number, first, last, least, whole, twice in segments(batch["raw"].tolist(), setting):
-                yield pd.DataFrame({"doc": docs[number], "tag": tags[number], "first": first, "last": last, "least": least, "whole": whole[:, 0], "whole2": whole[:, 1], "twice": twice})
-
-    # written once, as segments are both counted and joined
-    found = stage(rows.mapInPandas(cut, "doc long, tag long, first int, last int, least long, whole long, whole2 long, twice boolean"), "cut")
-    shared = found.groupBy("least").agg(F.count("*").alias("total"), F.max("twice").alias("any")).filter("total > 1 OR any").select("least")
-    held = stage(found.join(shared, "least"), "segments")
-    copies = held.groupBy("least", "whole", "whole2").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "tag", "first", "last", "twice")).alias("one"))
-    copies = stage(copies, "classes")
-    as_whole = held.join(copies.filter("copies > 1").select("least", "whole", "whole2"), ["least", "whole", "whole2"], "left_semi")
-    as_whole = as_whole.select("doc", "tag", F.col("first").cast("long"), F.col("last").cast("long"))
-
+                held.append(pd.DataFrame({"doc": docs[number], "tag": tags[number], "first": first, "last": last, "least": least, "whole": whole[:, 0], "whole2": whole[:, 1], "twice": twice}))
+                if sum(map(len, held)) >= SEGMENTS:
+                    yield copies_here(held)
+                    held = []
+            if held:
+                yield copies_here(held)
+
+    found = rows.mapInPandas(cut, "doc long, tag long, first int, last int, least long, whole long, whole2 long, twice boolean, state byte")
+    of_hash, of_class = Window.partitionBy("least"), Window.partitionBy("least", "whole", "whole2")
+    held = found.select("*", F.count("*").over(of_hash).alias("total"), F.max("twice").over(of_hash).alias("any"))
+    held = held.filter("total > 1 OR any OR state > 0").drop("total", "any")
+    held = held.select("*", F.count("*").over(of_class).alias("copies"), (F.row_number().over(of_class.orderBy("doc", "tag", "first", "last")) == 1).alias("one"))
     # one segment of each class goes on, if its hash has others or it may repeat itself
-    size = F.sum(F.col("one.last") - F.col("one.first") + setting.length)
-    total = copies.groupBy("least").agg(F.count("*").alias("total"), size.alias("size"))
-    parts = F.ceil(F.greatest(F.col("total") / setting.part, F.col("size") / (setting.part * setting.segment)))
-    edges = copies.join(total, "least").select("least", "total", parts.alias("parts"), "one.*").filter("total > 1 OR twice")
-    edges = edges.groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "last", "least", "parts")).alias("s"))
-    edges = edges.select("doc", "tag", *[F.col(f"s.{c}").alias(c) for c in ("first", "last", "least", "parts")])
+    size = F.sum(F.when(F.col("one"), F.col("last") - F.col("first") + setting.length)).over(of_hash)
+    held = held.select("*", F.sum(F.col("one").cast("long")).over(of_hash).alias("classes"), size.alias("size"))
+    goes_on = F.expr("one AND state < 2 AND (classes > 1 OR twice)")
+    many = (F.col("classes") > setting.part) | (F.col("size") > setting.part * setting.segment)
+    held = held.select("doc", "tag", "first", "last", F.expr("copies > 1 OR state > 0").alias("copied"), F.when(goes_on, F.col("least")).alias("least"), (goes_on & many).alias("many"))
+    held = stage(held.filter("copied OR least IS NOT NULL"), "segments")  # written once, as it is read for the copies and for the edges
+    as_whole = held.filter("copied").select("doc", "tag", F.col("first").cast("long"), F.col("last").cast("long"))
+
+    edges = held.filter("least IS NOT NULL").groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "last", "least", "many")).alias("s"))
+    edges = edges.select("doc", "tag", *[F.col(f"s.{c}").alias(c) for c in ("first", "last", "least", "many")])
     bodies = rows.join(edges.hint("shuffle_hash"), ["doc", "tag"])
+    names = ["least", "part", "doc", "tag", "first", "last", "body"]
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = set()  # rows of one address, which the join brings to one task, give one body
         for batch in batches:
-            out = []
-            for doc, tag, raw, firsts, lasts, leasts, several in batch[["doc", "tag", "raw", "first", "last", "least", "parts"]].itertuples(index=False):
+            out, long, size = [], [], 0
+            for doc, tag, raw, firsts, lasts, leasts, several in batch[["doc", "tag", "raw", "first", "last", "least", "many"]].itertuples(index=False):
                 if (doc, tag) in seen:
                     continue
                 seen.add((doc, tag))
-                for first, last, least, parts in zip(firsts.tolist(), lasts.tolist(), leasts.tolist(), several.tolist(), strict=True):
-                    out.append((least, xxhash.xxh3_64_intdigest(f"{doc}:{tag}:{first}") % parts, parts, doc, tag, first, raw[first : last + setting.length]))
-            yield pd.DataFrame(out, columns=["least", "part", "parts", "doc", "tag", "first", "body"])
-
-    bodies = bodies.mapInPandas(extract, "least long, part long, parts long, doc long, tag long, first long, body binary")
-    bodies = bodies.repartition("least", "part").sortWithinPartitions("least", "part")
+                for first, last, least, many in zip(firsts.tolist(), lasts.tolist(), leasts.tolist(), several.tolist(), strict=True):
+                    (long if many else out).append((least, 0, doc, tag, first, last, raw[first : last + setting.length]))
+                    size += many * (last - first + setting.length)
+                    if size >= BLOCK:
+                        yield from pieces(pd.DataFrame(long, columns=names), setting)
+                        long, size = [], 0
+            if long:
+                yield from pieces(pd.DataFrame(long, columns=names), setting)
+            yield pd.DataFrame(out, columns=names)
+
+    bodies = bodies.mapInPandas(extract, "least long, part long, doc long, tag long, first long, last long, body binary")
+    bodies = bodies.repartition("least", "part").sortWithinPartitions("least", "part", "body")
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in _blocks(batches, setting):
-            yield repeated_in_block(block, setting)
+        ranges = []
+
+        def heads() -> Iterator[pd.DataFrame]:
+            for known, rows in _classes(batches):
+                ranges.append(known)
+                yield rows
+
+        for blocks in _blocks(heads(), setting):
+            while ranges:
+                yield ranges.pop()
+            for block in blocks:
+                yield repeated_in_block(block, setting)
 
     sorted_rows = bodies.mapInPandas(sort, ROWS)
     # classes of several blocks meet; a digest has at most one row from each block, a range stands alone

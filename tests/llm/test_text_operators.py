@@ -338,6 +338,69 @@ def test_suffixes_polynomial_hashes_that_collide(monkeypatch):
             assert sum(len(re.findall(f"(?={piece})", t)) for t in texts) > 1
 
 
+def test_suffixes_texts_are_dealt_out_once(spark):
+    """The join that fetches bytes for sorting and the one that strips share one shuffle of the texts."""
+    rng = random.Random(7)
+    same = rng.randbytes(300).hex()
+    out = suffixes.deduplicated(table(spark, [same[: rng.randrange(300, 600)] + rng.randbytes(300).hex() for _ in range(40)]))
+    assert all(r.n_removed >= 300 for r in out.collect())
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan
+    # nor are hashes counted by one shuffle and joined by another: what is read again are the segments kept
+    assert "SortMergeJoin" not in plan
+
+
+def edited_passages(rng):
+    """Copies of a passage with an edit each, runs of one byte, and a line that returns at uneven distances."""
+    base, line = rng.randbytes(400).hex(), rng.randbytes(50).hex()
+    texts = []
+    for _ in range(60):
+        at = rng.randrange(780)
+        texts.append(base[:at] + rng.choice("xyz") + base[at + rng.randrange(2) :])
+    texts += ["z" * rng.randrange(200, 900) + rng.randbytes(60).hex() for _ in range(8)]
+    return texts + ["".join(line + rng.randbytes(rng.randrange(5, 20)).hex() for _ in range(12)) for _ in range(8)]
+
+
+@pytest.mark.parametrize("part, rows", [(3, 1), (20, 7)])
+def test_suffixes_many_different_segments_of_one_hash(monkeypatch, part, rows):
+    """Cut in pieces, whatever the batches: fewer rows than strings, and the repeated starts of brute force."""
+    texts = [t.encode() for t in edited_passages(random.Random(9))]
+    setting = suffixes.Setting(part=part)
+    monkeypatch.setattr(suffixes, "PIECES", 50)
+    found = [(least, number, 0, first, last, texts[number][first : last + 200]) for each in suffixes.segments(texts, setting) for number, first, last, least in zip(*(x.tolist() for x in each[:4]), strict=True)]
+    cut = pd.concat(suffixes.pieces(pd.DataFrame(found, columns=["least", "doc", "tag", "first", "last", "body"]), setting))
+    starts = sum(len(t) - 199 for t in texts)
+    assert len(cut) < starts / 8
+    ranges = [cut[cut.body.isna()]]
+    cut = cut[~cut.body.isna()].sort_values(["least", "part", "body"], ignore_index=True)
+    out = []
+
+    def heads():
+        for known, head in suffixes._classes(cut.iloc[at : at + rows] for at in range(0, len(cut), rows)):
+            ranges.append(known)
+            yield head
+
+    for blocks in suffixes._blocks(heads(), setting):
+        assert all(len(b) <= part for b in blocks if b.parts.max() > 1)
+        out += [suffixes.repeated_in_block(b, setting) for b in blocks]
+    out = pd.concat(out)
+    several = out[out.kind > 0]
+    several = several[(several.kind == 1) & several.duplicated(["d1", "d2"], keep=False)]
+    got = {(r.doc, p) for x in (*ranges, out[out.kind == 0], several) for r in x.itertuples() for p in range(r.first, r.last + 1)}
+    seen = defaultdict(list)
+    for number, t in enumerate(texts):
+        for p in range(len(t) - 199):
+            seen[t[p : p + 200]].append((number, p))
+    assert got == {x for places in seen.values() if len(places) > 1 for x in places}
+
+
+def test_suffixes_near_copies(spark):
+    texts = edited_passages(random.Random(11))
+    for part in (4, 30):
+        out = suffixes.deduplicated(table(spark, texts), suffixes.Setting(part=part))
+        assert {r.doc_id: tuple(r)[1:] for r in out.collect()} == dict(enumerate(strip_by_force(texts, 200)))
+
+
 def test_suffixes_query_against_brute_force(spark, data):
     """The registered query with its own setting over the whole table."""
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
