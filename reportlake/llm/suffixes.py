@@ -86,59 +86,57 @@ class Hashes:
             self.prefix[at + 1 : at + 1 + (1 << 18)] *= letters[data[at : at + (1 << 18)]]
         np.cumsum(self.prefix, out=self.prefix)
 
-    def of(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-        return (self.prefix[start + size] - self.prefix[start]) * self.inverse[start]
-
     def common(self, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-        """Common extension of the suffixes at x and y, up to ``most`` bytes, by binary search."""
-        low = np.zeros(len(x), dtype=np.int64)
-        high = np.full(len(x), most, dtype=np.int64)
-        for _ in range(most.bit_length()):
-            middle = (low + high + 1) // 2
-            same = self.of(x, middle) == self.of(y, middle)
-            low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
-        return low
+        """Common extension of the suffixes at x and y, up to ``most`` bytes, by binary search where they are not equal."""
+        out = np.full(len(x), most, dtype=np.int64)
+        ends = [(self.prefix[at], self.inverse[at], at) for at in (x, y)]
+
+        def same(size: np.ndarray | int) -> np.ndarray:
+            one, other = ((self.prefix[at + size] - begin) * inverse for begin, inverse, at in ends)
+            return one == other
+
+        differ = np.flatnonzero(~same(most))
+        ends = [tuple(each[differ] for each in end) for end in ends]
+        low, span = np.zeros(len(differ), dtype=np.int64), most  # low to low + span - 1 bytes are common
+        while span > 1:
+            low, span = low + same(low + span // 2) * (span // 2), span - span // 2
+        out[differ] = low
+        return out
 
 
 def merge_sorted(hashes: Hashes, data: np.ndarray, starts: np.ndarray, bucket: np.ndarray, length: int) -> np.ndarray:
     """Order of ``starts`` (sorted by bucket already) by suffix within each bucket: bottom-up mergesort.
 
-    All merges of a level run together: an element's place is its place in its own run and the
-    number of smaller ones in the other run, which a binary search with suffix comparisons finds.
+    All merges of a level run together: an element of a right run finds the number of elements of the left run
+    that go before it by a binary search with suffix comparisons, and the left run fills the places between.
     """
     n = len(starts)
     order = np.arange(n)
     first = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1)) if n else np.zeros(0, dtype=np.int64)
     sizes = np.diff(np.append(first, n))
-    base, size = np.repeat(first, sizes), np.repeat(sizes, sizes)
-    local = np.arange(n) - base
+    local = np.arange(n) - np.repeat(first, sizes)
 
-    def less(x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
+    def less_or_equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         same = hashes.common(x, y, length)
-        whole = same >= length
         at = np.minimum(same, length - 1)
-        return np.where(whole, or_equal, data[x + at] < data[y + at])
+        return (same >= length) | (data[x + at] < data[y + at])
 
     run = 1
     while n and run < sizes.max():
-        which = local // run
-        odd = which % 2 == 1
-        other = np.where(odd, which - 1, which + 1) * run
-        low = np.minimum(other, size)
-        high = np.minimum(other + run, size)
-        begin = low.copy()
-        live = np.flatnonzero(low < high)
-        while len(live):
-            middle = (low[live] + high[live]) // 2
-            mine, theirs = starts[order[live]], starts[order[base[live] + middle]]
+        right = np.flatnonzero(local & run)
+        left = right - (local[right] & (2 * run - 1))  # where the run before begins, which is a whole one
+        now = starts[order]
+        mine = now[right]
+        low, span = np.zeros(len(right), dtype=np.int64), run + 1  # low to low + span - 1 elements go before
+        while span > 1:
             # an element of the right run goes behind equal ones of the left run
-            goes_on = less(theirs, mine, odd[live])
-            low[live] = np.where(goes_on, middle + 1, low[live])
-            high[live] = np.where(goes_on, high[live], middle)
-            live = live[low[live] < high[live]]
-        place = base + (which // 2) * 2 * run + (local - which * run) + (low - begin)
+            goes_on = less_or_equal(now[left + low + span // 2 - 1], mine)
+            low, span = low + goes_on * (span // 2), span - span // 2
+        place = left + low + (local[right] & (run - 1))
+        stays, free = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
+        stays[right] = free[place] = False
         merged = np.empty_like(order)
-        merged[place] = order
+        merged[place], merged[free] = order[right], order[stays]
         order = merged
         run *= 2
     return order
@@ -146,7 +144,8 @@ def merge_sorted(hashes: Hashes, data: np.ndarray, starts: np.ndarray, bucket: n
 
 def gram_hashes(hashes: Hashes, begin: int, end: int, setting: Setting) -> np.ndarray:
     """Hash of the gram at each place of data[begin:end], mixed so that its order says nothing about the text."""
-    g = hashes.of(np.arange(begin, max(begin, end - setting.gram + 1)), setting.gram)
+    last = max(begin, end - setting.gram + 1)
+    g = (hashes.prefix[begin + setting.gram : last + setting.gram] - hashes.prefix[begin:last]) * hashes.inverse[begin:last]
     g = (g ^ (g >> U(31))) * U(0xBF58476D1CE4E5B9)
     return g ^ (g >> U(29))
 

@@ -421,6 +421,47 @@ def test_merge_sort():
         assert [raw[s : s + 200] for s in starts[order[at]]] == sorted(raw[s : s + 200] for s in starts[at])
 
 
+class Counted:
+    """An array that counts what is looked up by index."""
+
+    def __init__(self, values):
+        self.values, self.seen = values, 0
+
+    def __getitem__(self, at):
+        self.seen += np.size(at)
+        return self.values[at]
+
+
+def test_common_extension_looks_up_little():
+    """Equal strings are known by one look at each end, others by one more look for each halving."""
+    rng = random.Random(13)
+    base = rng.randbytes(300)
+    texts = [base[:at] + b"!" + base[at + 1 :] for at in (rng.randrange(300) for _ in range(200))] + [base] * 50
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    x, y = (300 * np.array([rng.randrange(a, b) for _ in range(400)]) for a, b in ((0, 250), (100, 250)))
+    hashes = suffixes.Hashes(data)
+    hashes.prefix, hashes.inverse = Counted(hashes.prefix), Counted(hashes.inverse)
+    for most in (1, 2, 199, 200, 256):
+        unlike = data[x[:, None] + np.arange(most)] != data[y[:, None] + np.arange(most)]
+        want = np.where(unlike.any(axis=1), unlike.argmax(axis=1), most)
+        hashes.prefix.seen = hashes.inverse.seen = 0
+        assert hashes.common(x, y, most).tolist() == want.tolist()
+        assert hashes.prefix.seen <= 4 * len(x) + 2 * most.bit_length() * (want < most).sum()
+        assert hashes.inverse.seen <= 2 * len(x)
+
+
+def test_merge_sort_compares_once_for_both_runs(monkeypatch):
+    """Only right runs look for their places: half a comparison of each element for each halving of a run."""
+    rng = random.Random(17)
+    raw = bytes(rng.choice(b"ab") for _ in range(1500))
+    compared, common = [], suffixes.Hashes.common
+    monkeypatch.setattr(suffixes.Hashes, "common", lambda self, x, y, most: compared.append(len(x)) or common(self, x, y, most))
+    starts, data = np.array(rng.sample(range(1300), 1000)), np.frombuffer(raw, dtype=np.uint8)
+    order = suffixes.merge_sorted(suffixes.Hashes(data), data, starts, np.zeros(1000, dtype=np.int64), 200)
+    assert order.tolist() == sorted(range(1000), key=lambda k: raw[starts[k] : starts[k] + 200])
+    assert sum(compared) <= 512 * sum(range(1, 11))
+
+
 # BPE
 
 
